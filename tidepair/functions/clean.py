@@ -15,6 +15,25 @@ RESPONSE_TEXT = {
 }
 # fixed values: texts that mean a progression happened
 PROGRESSION_TEXT = ["yes", "true", "1", "progression", "recurrence", "progression or recurrence"]
+# fixed values: response words of the binary label
+RESPONDER_TEXT = ["response", "partial_response", "disease_control", "complete_response"]
+NON_RESPONDER_TEXT = ["non_response", "no_disease_control", "non_pr"]
+# fixed values: tumour words of the two focus categories (one common misspelling)
+BREAST_KEYS = ["breast", "mammary"]
+PROSTATE_KEYS = ["prostate", "prostatic", "prostrate"]
+# fixed values: drug names per target, in priority order
+DRUG_TARGETS = {
+    "PD1": ["NIVOLUMAB", "PEMBROLIZUMAB", "CEMIPLIMAB"],
+    "PDL1": ["ATEZOLIZUMAB", "DURVALUMAB", "AVELUMAB"],
+    "CTLA4": ["IPILIMUMAB", "TREMELIMUMAB"],
+}
+# fixed values: cancer name -> cohort code
+CANCER_CODES = {
+    "MELANOMA": "SKCM", "GLIOBLASTOMA": "GBM", "COLORECTAL CANCER": "COAD", "BREAST CANCER": "BRCA",
+    "HER2-RECEPTOR NEGATIVE BREAST CANCER": "BRCA", "HER2-RECEPTOR POSITIVE BREAST CANCER": "BRCA",
+    "ESTROGEN-RECEPTOR POSITIVE BREAST CANCER": "BRCA", "HEAD AND NECK SQUAMOUS CELL CARCINOMA": "HNSC",
+    "OVARIAN CANCER": "OV", "OVARIAN SEROUS CARCINOMA": "OV", "PROSTATE CANCER": "PRAD", "ESOPHAGEAL CANCER": "ESCA",
+}
 # fixed value: study accession prefix of a dataset id
 STUDY_PATTERN = r"^([A-Z]-[A-Z]+-\d+|GSE\d+|SRP\d+|PRJ[A-Z]+\d+)"
 
@@ -76,15 +95,25 @@ def max_nonnegative(values: Column) -> Column:
     return F.array_max(F.filter(F.transform(values, lambda x: to_number(x, True)), lambda x: x.isNotNull()))
 
 
-def gene_label(symbol: Column, gene: Column, name: Column, gene_id: Column | None = None,
-               upper: bool = False) -> Column:
-    """First usable of symbol, gene, name (Ensembl ids skipped); then the id, or '' without one."""
-    picks = []
-    for c in (symbol, gene, name):
-        t = clean_str(c)
-        picks.append(F.when((t != "") & ~F.upper(t).startswith("ENSG"), t))
-    out = F.coalesce(*picks, clean_str(gene_id) if gene_id is not None else F.lit(""))
-    return F.upper(out) if upper else out
+def loader_symbol(symbol: Column, gene_id: Column) -> Column:
+    """Symbol, or the id where the symbol is blank or a missing word."""
+    return F.when(F.lower(symbol).isin("", "nan", "none", "null") | symbol.isNull(), gene_id).otherwise(symbol)
+
+
+def _symbols(*cols: Column):
+    texts = [trimmed(c) for c in cols]
+    return [F.when((t != "") & ~F.upper(t).startswith("ENSG"), t) for t in texts]
+
+
+def gene_label(symbol: Column, gene: Column, name: Column, *ids: Column) -> Column:
+    """First non-Ensembl of symbol, gene, name; then the first non-blank id."""
+    fall = [F.when(trimmed(c) != "", trimmed(c)) for c in ids]
+    return F.coalesce(*_symbols(symbol, gene, name), *fall, F.lit(""))
+
+
+def gene_symbol_upper(*cols: Column) -> Column:
+    """First non-blank, non-Ensembl column in upper case, else ''."""
+    return F.upper(F.coalesce(*_symbols(*cols), F.lit("")))
 
 
 def first_finite(*cols: Column) -> Column:
@@ -93,10 +122,10 @@ def first_finite(*cols: Column) -> Column:
 
 
 def tumor_category(scope: Column, tumor: Column) -> Column:
-    t = F.lower(trimmed(tumor))
-    return (F.when(F.lower(trimmed(scope)) == "global", "global")
-            .when(t.contains("breast"), "breast")
-            .when(t.contains("prostate") | t.contains("prostrate"), "prostate"))
+    t = F.lower(tumor)
+    has = lambda keys: F.array_contains(F.array(*[t.contains(k) for k in keys]), True)
+    return (F.when((F.lower(scope) == "global") | (t == "all"), "global")
+            .when(has(BREAST_KEYS), "breast").when(has(PROSTATE_KEYS), "prostate"))
 
 
 def response_class(c: Column) -> Column:
@@ -111,6 +140,51 @@ def progression_flag(c: Column) -> Column:
     return F.lower(clean(c)).isin(PROGRESSION_TEXT)
 
 
+def response_binary(c: Column) -> Column:
+    t = F.regexp_replace(F.lower(trimmed(c)), "[- ]", "_")
+    return F.when(t.isin(RESPONDER_TEXT), 1.0).when(t.isin(NON_RESPONDER_TEXT), 0.0)
+
+
+def drug_target(regimen: Column) -> Column:
+    """Target of the first drug class named in the regimen, in priority order."""
+    t, out = F.upper(regimen), F.lit("NA")
+    for target, drugs in reversed(DRUG_TARGETS.items()):
+        out = F.when(t.rlike("|".join(drugs)), target).otherwise(out)
+    return out
+
+
+def cancer_code(subtype: Column) -> Column:
+    t, out = F.upper(subtype), F.lit("NA")
+    for name, code in CANCER_CODES.items():
+        out = F.when(t == name, code).otherwise(out)
+    return out
+
+
 def slug(c: Column) -> Column:
-    t = F.regexp_replace(trimmed(c), "[^A-Za-z0-9]+", "_")
-    return F.regexp_replace(t, "^_+|_+$", "")
+    t = F.regexp_replace(F.regexp_replace(clean(c), "[^A-Za-z0-9._-]+", "_"), "^[_.]+|[_.]+$", "")
+    return F.when(t == "", "unknown").otherwise(t)
+
+
+def safe_text(c: Column) -> Column:
+    t = F.regexp_replace(c, r"[^\p{L}\p{N}._-]", "_")
+    t = F.substring(F.regexp_replace(t, "^_+|_+$", ""), 1, 100)
+    return F.when(t == "", "unknown").otherwise(t)
+
+
+def clean_term(c: Column, width: int = 95) -> Column:
+    """Cut the ontology id, then shorten to `width` characters (95 in reports, 100 in combined tables)."""
+    t = F.when(c.contains("(GO:"), F.trim(F.substring_index(c, "(GO:", 1))).otherwise(c)
+    return F.substring(t, 1, width)
+
+
+def library_label(c: Column, other_first_word: bool = True) -> Column:
+    rest = F.substring_index(c, "_", 1) if other_first_word else c
+    return (F.when(c.startswith("KEGG"), "KEGG").when(c.startswith("Reactome"), "Reactome")
+            .when(c.startswith("GO_"), "GO BP").otherwise(rest))
+
+
+def parse_overlap(c: Column) -> tuple[Column, Column]:
+    """'k/n' -> (k, n); a bad part -> 0."""
+    k = F.coalesce(F.split(c, "/", 2)[0].try_cast("int"), F.lit(0))
+    n = F.coalesce(F.get(F.split(c, "/", 2), F.lit(1)).try_cast("int"), F.lit(0))
+    return k, n
