@@ -39,11 +39,12 @@ def clean_str(t):
     return _dirty(t).select("id", F.when(F.col("id") % 13 == 10, "number").otherwise(C.clean_str(F.col("raw"))).alias("cleaned"))
 
 
-@query(f"""WITH {DIRTY}, c AS (SELECT id, {CLEAN} AS x FROM dirty WHERE id % 13 <> 10)
+@query(f"""WITH {DIRTY}, c AS (SELECT id, CASE WHEN id % 13 = 10 THEN 'number' ELSE {CLEAN} END AS x FROM dirty)
  SELECT id, CASE WHEN upper(x) LIKE 'ENSG%' THEN regexp_replace(upper(x), '\\.[0-9]+$', '') ELSE x END AS gene FROM c""")
 def strip_ensembl_version(t):
-    # the numeric spelling of doubles differs between engines; those rows are covered by to_number
-    return _dirty(t).where(F.col("id") % 13 != 10).select("id", C.strip_ensembl_version(F.col("raw")).alias("gene"))
+    # the numeric spelling of doubles differs between engines; those rows are compared by to_number
+    raw = F.when(F.col("id") % 13 == 10, "number").otherwise(F.col("raw"))
+    return _dirty(t).select("id", C.strip_ensembl_version(raw).alias("gene"))
 
 
 @query("SELECT ord, grp, regexp_replace(source_cell, '_[01]$', '') AS source_id FROM edges")

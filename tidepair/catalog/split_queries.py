@@ -22,20 +22,21 @@ def bin_n(t):
     return S.bin_n(t("expr"), 51).select("cell_id", "gene_id", "bin")
 
 
-BULK = """al AS (SELECT l_suppkey AS sample_id, concat('G', l_partkey) AS gene_id, sum(l_quantity) AS value FROM lineitem WHERE l_partkey >= 200 GROUP BY ALL),
+BULK = """al AS (SELECT l_suppkey AS sample_id, concat('G', l_partkey) AS gene_id, sum(l_quantity) AS value FROM lineitem JOIN genes ON l_partkey = gene_index WHERE brand <> 'Brand#7' GROUP BY ALL),
  lib AS (SELECT l_suppkey AS sample_id, sum(l_quantity) AS library FROM lineitem GROUP BY 1)"""
 
 
 def _bulk(t, kind):
     li = t("lineitem")
     lib = li.groupBy(F.col("l_suppkey").alias("sample_id")).agg(F.sum("l_quantity").alias("library"))
-    al = li.where(F.col("l_partkey") >= 200).groupBy(
+    panel = t("genes").where(F.col("brand") != "Brand#7")
+    al = li.join(panel, F.col("l_partkey") == F.col("gene_index")).groupBy(
         F.col("l_suppkey").alias("sample_id"), F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("gene_id")).agg(
         F.sum("l_quantity").alias("value"))
     return S.bulk_transform(al, lib, kind).select("sample_id", "gene_id", _r("value", 8))
 
 
-# the model panel leaves out the first 200 genes, so library size (all genes) and aligned genes differ
+# the model panel leaves out one brand, so library size (all genes) and aligned genes differ
 for _kind, _sql in (("cpm", "value / greatest(library, 1) * 1e6"), ("log1p_cpm", "ln(1 + value / greatest(library, 1) * 1e6)"),
                     ("log1p_10k_bulk", "ln(1 + value / greatest(library, 1) * 1e4)")):
     query(f"WITH {BULK} SELECT sample_id, gene_id, round({_sql}, 8) AS value FROM al JOIN lib USING (sample_id)", name=_kind)(
@@ -202,9 +203,9 @@ def epoch_shuffle(t):
 
 @query("""WITH p AS (SELECT pair_id, ord, ord // 500 AS shard, floor(probability * 500000) AS w FROM pairs),
  c AS (SELECT *, sum(w) OVER (PARTITION BY shard ORDER BY ord) AS hi, sum(w) OVER (PARTITION BY shard) AS mass FROM p),
- d AS (SELECT shard, mass, draw, (('0x' || substr(md5(concat('2:', shard, ':', draw)), 1, 13))::BIGINT)::DOUBLE / pow(16, 13) * mass AS at
+ d AS (SELECT shard, mass, draw, (('0x' || substr(md5(concat('2:', shard, ':', draw)), 1, 13))::BIGINT)::DOUBLE / pow(16, 13) * mass AS pt
   FROM (SELECT DISTINCT shard, mass FROM c), (SELECT unnest(range(1, 201)) AS draw))
- SELECT d.shard, draw, pair_id FROM d JOIN c ON c.shard = d.shard AND hi - w <= at AND at < hi""")
+ SELECT d.shard, draw, pair_id FROM d JOIN c ON c.shard = d.shard AND hi - w <= pt AND pt < hi""")
 def probability_sampling(t):
     p = t("pairs").select("pair_id", "ord", F.floor(F.col("ord") / 500).alias("shard"), F.floor(F.col("probability") * 500000).alias("w"))
     return S.probability_sampling(p, "shard", "ord", "w", 200, 2).select("shard", F.col("draw").cast("bigint").alias("draw"), "pair_id")
@@ -233,8 +234,8 @@ def spatial_eligibility(t):
     return S.spatial_eligibility(stats, schema, 1000).select("file", "eligible_reason")
 
 
-@query("""SELECT doc_id AS id, quality AS response_binary, (['PD1', 'PDL1', 'NA', 'CTLA4'])[doc_id % 4 + 1] AS drug_target FROM documents LEFT JOIN labels USING (doc_id)
- WHERE quality IS NOT NULL AND doc_id % 4 <> 2""")
+@query("""WITH r AS (SELECT doc_id AS id, quality AS response_binary, (['PD1', 'PDL1', 'NA', 'CTLA4'])[doc_id % 4 + 1] AS drug_target FROM documents LEFT JOIN labels USING (doc_id))
+ SELECT * FROM r WHERE response_binary IS NOT NULL AND drug_target IN ('PD1', 'PDL1', 'CTLA4')""")
 def response_subset(t):
     target = F.element_at(F.array(*map(F.lit, ["PD1", "PDL1", "NA", "CTLA4"])), (F.col("doc_id") % 4 + 1).cast("int"))
     rows = t("documents").join(t("labels"), "doc_id", "left").select(

@@ -195,7 +195,7 @@ def bh_fdr(df: DataFrame, keys, p: str, out: str, probe: DataFrame | int | None
     if not is_hot(df, keys, probe):
         group = Window.partitionBy(*keys)
         upto = group.orderBy(F.col(p).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        after = group.orderBy(F.col(p).asc_nulls_first()).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+        after = group.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         df = df.withColumn("_raw", F.col(p) * F.count(p).over(group) / F.count(p).over(upto))
         q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min("_raw").over(after)))
         return df.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_raw")
@@ -214,10 +214,10 @@ def suffix_min(df: DataFrame, keys, order: str, value: str, out: str,
     keys = list(keys)
     rows, groups, parts = split_hot(df, keys, [(order, True)], probe)
     group = keys + (["_part"] if groups else [])
-    w = Window.partitionBy(*group).orderBy(F.col(order)).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*group).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     if not groups:
         return rows.withColumn(out, F.min(value).over(w))
-    w_after = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    w_after = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     mins = rows.where("_hot").groupBy(*group).agg(F.min(value).alias("_m0"))
     after = mins.select(*group, F.min("_m0").over(w_after).alias("_rest"))
     if groups * parts <= broadcast_rows(df.sparkSession):
