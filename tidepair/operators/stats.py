@@ -14,7 +14,7 @@ def t_columns(n: Column, mean: Column, m2: Column, low: Column, high: Column, fi
     """
     tol = F.lit(1e-8) + F.lit(1e-5) * F.abs(first)
     same = (high - first <= tol) & (first - low <= tol)
-    se = F.sqrt(m2 / F.greatest(n - 1, F.lit(1)) / n)
+    se = F.sqrt(m2 / F.greatest(n - 1, F.lit(1)) / F.nullif(n, F.lit(0)))
     t = F.when(n >= 2, F.when(same, 0.0).otherwise(F.when(se > 0, mean / se)))
     p = F.when(n >= 2, F.when(same, 1.0).otherwise(student_t_p(t, (n - 1).cast("double"))))
     return t, p
@@ -56,7 +56,7 @@ def auroc(df: DataFrame, keys, score: str, label: str, min_rows: int = 3, probe=
     out = steps.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_pos").alias("n_pos"),
                                    F.sum(rank * F.col("_pos")).alias("_ranks"))
     neg = F.col("n") - F.col("n_pos")
-    area = (F.col("_ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / F.lit(2.0)) / (F.col("n_pos") * neg)
+    area = F.try_divide(F.col("_ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / F.lit(2.0), F.col("n_pos") * neg)
     return out.withColumn("auroc", F.when((F.col("n") >= min_rows) & (F.col("n_pos") > 0) & (neg > 0), area)).drop("_ranks")
 
 
@@ -77,7 +77,7 @@ def cohen_d(df: DataFrame, keys, value: str, label: str) -> DataFrame:
     out = df.groupBy(*keys).agg(
         side(F.avg, 1).alias("mean_1"), side(F.avg, 0).alias("mean_0"), side(F.var_samp, 1).alias("_v1"),
         side(F.var_samp, 0).alias("_v0"), side(F.count, 1).alias("n_1"), side(F.count, 0).alias("n_0"))
-    pooled = F.sqrt(((F.col("n_1") - 1) * F.col("_v1") + (F.col("n_0") - 1) * F.col("_v0")) / (F.col("n_1") + F.col("n_0") - 2))
+    pooled = F.sqrt(F.try_divide((F.col("n_1") - 1) * F.col("_v1") + (F.col("n_0") - 1) * F.col("_v0"), F.col("n_1") + F.col("n_0") - 2))
     ok = (F.col("n_1") >= 2) & (F.col("n_0") >= 2) & (pooled > 0)
     return out.withColumn("cohen_d", F.when(ok, (F.col("mean_1") - F.col("mean_0")) / pooled)).drop("_v1", "_v0")
 
@@ -195,7 +195,7 @@ def classification_metrics(df: DataFrame, keys, prob: str, label: str, cut: floa
     c = df.groupBy(*keys).agg(hit(1, 1).alias("tp"), hit(0, 0).alias("tn"), hit(1, 0).alias("fp"), hit(0, 1).alias("fn"))
     tp, tn, fp, fn = (F.col(x).cast("double") for x in ("tp", "tn", "fp", "fn"))
     den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    c = c.withColumn("balanced_accuracy", 0.5 * (tp / (tp + fn) + tn / (tn + fp))).withColumn(
+    c = c.withColumn("balanced_accuracy", 0.5 * (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp))).withColumn(
         "mcc", F.when(den > 0, (tp * tn - fp * fn) / den).otherwise(0.0))
     a = auroc(df, keys, prob, label, 0).select(*keys, "auroc")
     b = auprc(df, keys, prob, label, 0).select(*keys, "auprc")
