@@ -191,3 +191,18 @@ def blake_fold(folds: int, seed: int):
         return group.map(lambda g: int.from_bytes(digest(g), "big") % folds)
 
     return fold
+
+
+@F.pandas_udf(DoubleType())
+def hypergeom_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """P(overlap >= a) of the table [[a, b], [c, d]]."""
+    def tail(a, b, c, d):
+        a, row, col, n = int(a), int(a + b), int(a + c), int(a + b + c + d)
+        low = max(0, row + col - n)
+        if a <= low:
+            return 1.0
+        upper = _walk(a, row, col, n, 1, False)
+        mode = (row + 1) * (col + 1) / (n + 2)
+        return min(1.0, upper if a > mode else 1.0 - _walk(a - 1, row, col, n, -1, False))
+
+    return pd.Series([tail(*v) for v in zip(a, b, c, d)], dtype=float)
