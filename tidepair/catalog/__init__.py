@@ -4,7 +4,7 @@ import importlib
 
 from .tables import ORACLES, REGISTRY
 
-MODULES = ["edge_queries", "scalar_queries", "split_queries", "de_queries", "outcome_queries", "latent_queries", "enrich_queries"]
+MODULES = ["edge_queries", "scalar_queries", "split_queries", "de_queries", "outcome_queries", "latent_queries", "enrich_queries", "source_queries"]
 
 
 def load():

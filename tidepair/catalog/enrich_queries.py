@@ -246,14 +246,18 @@ def gene_alignment_summary(t):
 @query(f"WITH {GENES} SELECT sample_id, model_gene_index, sum(value) AS value FROM rs WHERE model_gene_index IS NOT NULL GROUP BY ALL")
 def align_expression(t):
     rows, resolved, _ = _genes(t)
-    return J.align_expression(rows.select("row_id", "sample_id", "value"), resolved, ["row_id"])
+    keys = ["gene_id", "gene_symbol"]
+    genes = resolved.select(*keys, "model_gene_index").distinct()
+    return J.align_expression(rows.select("sample_id", *keys, "value"), genes, keys)
 
 
 @query(f"""WITH {GENES}, me AS (SELECT gene_index, gene_index IN (SELECT model_gene_index FROM rs WHERE model_gene_index IS NOT NULL) AS measured FROM mo), su AS (SELECT model_gene_index, sum(value) AS total, count(DISTINCT sample_id) AS n_samples FROM rs WHERE model_gene_index IS NOT NULL GROUP BY 1)
  SELECT gene_index, measured, coalesce(total, 0) AS total, coalesce(n_samples, 0) AS n_samples FROM me LEFT JOIN su ON model_gene_index = gene_index""")
 def spatial_align(t):
     rows, resolved, model = _genes(t)
-    counts, mask = J.spatial_align(rows.select("row_id", "sample_id", "value"), resolved, model, ["row_id"])
+    keys = ["gene_id", "gene_symbol"]
+    genes = resolved.select(*keys, "model_gene_index").distinct()
+    counts, mask = J.spatial_align(rows.select("sample_id", *keys, "value"), genes, model, keys)
     total = counts.groupBy(F.col("model_gene_index").alias("gene_index")).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n_samples"))
     return mask.select("gene_index", "measured").join(total, "gene_index", "left").na.fill(0, ["total", "n_samples"])
 

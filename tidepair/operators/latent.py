@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepair.operators.neighbors import knn_join
+from tidepair.operators.stats import safe_corr
 from tidepair.plans.ordered import attach_one, quantiles
 
 # fixed values: bandwidths of the kernel family, k = exp(-d2 / (2 bw))
@@ -141,10 +142,8 @@ def masked_reconstruction(long: DataFrame, mask: DataFrame | None = None) -> Dat
     rows = long.join(mask.distinct(), ["dataset_id", "gene_id"], "left_semi") if mask is not None else long
     err = (F.col("pred") - F.col("truth")) * (F.col("pred") - F.col("truth"))
     cell = rows.groupBy("cell_id").agg(
-        F.sum(err).alias("_se"), F.count(F.lit(1)).alias("_n"), F.corr("pred", "truth").alias("_r"),
-        F.stddev_pop("pred").alias("_sp"), F.stddev_pop("truth").alias("_st"))
-    r = F.when((F.col("_sp") > 0) & (F.col("_st") > 0), F.col("_r")).otherwise(0.0)
-    cell = cell.withColumn("pearson", r)
+        F.sum(err).alias("_se"), F.count(F.lit(1)).alias("_n"), safe_corr("pred", "truth").alias("_r"))
+    cell = cell.withColumn("pearson", F.coalesce("_r", F.lit(0.0)))
     base = cell.agg((F.sum("_se") / F.greatest(F.sum("_n"), F.lit(1))).alias("mse"), F.avg("pearson").alias("pearson_mean"),
                     F.count(F.lit(1)).alias("n_cells"))
     return attach_one(base, quantiles(cell, [], "pearson", {"pearson_median": 0.5}))

@@ -224,7 +224,7 @@ def endpoint_metrics(long: DataFrame, keys) -> DataFrame:
     """Per key over genes (truth, pred, source): errors, correlations (constant -> null) and shift norms."""
     dp, dt = F.col("pred") - F.col("source"), F.col("truth") - F.col("source")
     err = F.col("pred") - F.col("truth")
-    safe = lambda a, b: F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    safe = S.safe_corr
     return long.groupBy(*keys).agg(
         F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"), safe(F.col("pred"), F.col("truth")).alias("post_pearson"),
         safe(dp, dt).alias("delta_pearson"), F.sqrt(F.sum(dp * dp)).alias("predicted_delta_l2"),

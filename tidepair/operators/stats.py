@@ -7,6 +7,13 @@ from tidepair.functions.pvalues import mannwhitney_p, student_t_p, wilcoxon_p
 from tidepair.plans.ordered import attach_one, avg_rank, quantiles, row_rank, running, with_totals
 
 
+def safe_corr(x, y) -> Column:
+    """Pearson aggregate that is null (not an error) for a constant or single-row side."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    r = F.try_divide(F.covar_pop(x, y), spread)
+    return F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def t_columns(n: Column, mean: Column, m2: Column, low: Column, high: Column, first: Column):
     """(t, p) of a one-sample t on n values with mean, squared deviations, range and first value.
 
@@ -87,11 +94,7 @@ def spearman(df: DataFrame, keys, x: str, y: str, probe=None) -> DataFrame:
     keys = list(keys)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = avg_rank(avg_rank(both, keys, x, "_rx", probe), keys, y, "_ry", probe)
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"),
-                                    F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
-    ok = (F.col("n") >= 2) & (F.col("_sx") > 0) & (F.col("_sy") > 0)
-    rho = F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho"))))
-    out = out.withColumn("rho", rho).drop("_sx", "_sy")
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias("rho"))
     df_ = (F.col("n") - 2).cast("double")
     t = F.when((F.col("n") > 2) & F.col("rho").isNotNull(), F.when(F.abs("rho") >= 1, F.lit(float("inf"))).otherwise(
         F.col("rho") * F.sqrt(df_ / (1 - F.col("rho") * F.col("rho")))))
