@@ -22,6 +22,7 @@ def session(hot=None):
     spark.sparkContext.setLogLevel("ERROR")
     if hot:
         spark.conf.set("spark.tidepair.hotGroupRows", str(hot))
+        spark.conf.set("spark.tidepair.knnLeafRows", "20")
     return spark
 
 

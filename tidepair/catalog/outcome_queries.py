@@ -241,7 +241,7 @@ def _expl(t):
  s AS ({_sides('layer', 'z', 'label', 'ec')}), c AS ({_sides('layer', 'z', 'correct', 'ec')}),
  x AS (SELECT layer, {D} AS d FROM s), y AS (SELECT layer, {D} AS cd, n1, n0 FROM c)
  SELECT layer, n, round(auroc, 8) AS auroc, round(rho, 8) AS rho, round(d, 8) AS cohen_d, round(cd, 8) AS correct_cohen_d, n1 AS n_correct, n0 AS n_incorrect,
- round(coalesce(auroc, 0.5) - 0.5 + 0.25 * coalesce(abs(rho), 0) + 0.05 * least(coalesce(abs(d), 0), 5), 8) AS clarification_score FROM a JOIN x USING (layer) JOIN y USING (layer)""")
+ round(coalesce(auroc, 0.5) - 0.5 + 0.25 * coalesce(abs(rho), 0) + 0.05 * least(coalesce(abs(d), 0), 5), 8) AS clarification_score FROM a JOIN x USING (layer) JOIN y USING (layer) WHERE n >= 4""")
 def clarification_rank(t):
     rows = _expl(t).withColumn("z", F.round("z", 12))
     out = O.clarification_rank(rows, ["layer"])
@@ -337,7 +337,7 @@ CM = f"""pb AS (SELECT layer, score / 20000 AS p, label FROM scores), r AS (SELE
   (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0) AS auroc FROM r GROUP BY 1)"""
 
 
-@query(f"""WITH {CM}, {AP} SELECT layer, tp, tn, fp, fn, round(0.5 * (tp / (tp + fn) + tn / (tn + fp)), 9) AS balanced_accuracy,
+@query(f"""WITH {CM}, {AP} SELECT layer, tp, tn, fp, fn, round(0.5 * (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)), 9) AS balanced_accuracy,
  round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END, 9) AS mcc,
  round(auroc, 9) AS auroc, round(auprc, 9) AS auprc FROM c JOIN ap USING (layer)""")
 def classification_metrics(t):

@@ -61,19 +61,24 @@ def knn_join(points: DataFrame, keys, id_col: str, vec_col: str, k: int, query_c
     rows = points.select(*keys, F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
                          (F.col(query_col) if query_col else F.lit(True)).alias("_q"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest, hot = sizes.agg(F.max("_n"), F.sum(F.when(F.col("_n") > leaf_rows, F.col("_n")))).first()
+    hot = sizes.agg(F.sum(F.when(F.col("_n") > leaf_rows, F.col("_n")))).first()[0]
     kinds = ", ".join(f"`{c}` {d}" for c, d in points.select(*keys).dtypes) + (", " if keys else "")
     schema = kinds + "_id long, neighbor long, dist2 double"
     key_cols = keys
+    text_keys = [c for c, d in points.select(*keys).dtypes if d == "string"] if keys else []
 
     def out(pdf, idx, ids, dist, q):
         base = q.iloc[idx][key_cols + ["_id"]].reset_index(drop=True)
+        base = base.astype({c: object for c in text_keys})
         return base.assign(neighbor=ids, dist2=dist)[key_cols + ["_id", "neighbor", "dist2"]]
 
+    def nothing(pdf):
+        return pdf.iloc[:0][key_cols + ["_id"]].assign(neighbor=np.zeros(0, dtype="int64"), dist2=np.zeros(0))
+
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["_q"]].reset_index(drop=True)
         if not len(q) or len(pdf) < 2:
-            return pd.DataFrame({c: [] for c in key_cols + ["_id", "neighbor", "dist2"]})
+            return nothing(pdf)
         idx, ids, dist = _nearest(*_frame(q), *_frame(pdf), k)
         return out(pdf, idx, ids, dist, q)
 
@@ -92,7 +97,7 @@ def knn_join(points: DataFrame, keys, id_col: str, vec_col: str, k: int, query_c
             v, node = np.stack(pdf["_v"].to_numpy()), np.zeros(len(pdf), dtype=int)
             for _ in range(depth):
                 node = 2 * node + 1 + (v[np.arange(len(v)), dims[node]] >= cuts[node])
-            yield pdf.assign(_leaf=np.where(pdf["_big"], node, 0))
+            yield pdf.astype({c: object for c in text_keys}).assign(_leaf=np.where(pdf["_big"], node, 0))
 
     flagged = rows.join(sizes.select(*keys, (F.col("_n") > leaf_rows).alias("_big")), keys) if keys else rows.withColumn("_big", F.lit(True))
     placed = cut(flagged.mapInPandas(place, kinds + "_id long, _v array<double>, _q boolean, _big boolean, _leaf long"))
@@ -113,7 +118,7 @@ def knn_join(points: DataFrame, keys, id_col: str, vec_col: str, k: int, query_c
 
     def visit(batches):
         for pdf in batches:
-            parts = []
+            pdf = pdf.astype({c: object for c in text_keys})  # plain objects: slices stay one Arrow array
             groups = pdf.groupby(key_cols, sort=False) if key_cols else [((), pdf)]
             for g, q in groups:
                 leaves, lo, hi = shared.value[g if isinstance(g, tuple) else (g,)]
@@ -124,9 +129,8 @@ def knn_join(points: DataFrame, keys, id_col: str, vec_col: str, k: int, query_c
                     near = (gap ** 2).sum(axis=2) <= r[s:s + _BLOCK, None]
                     near &= leaves[None, :] != q["_leaf"].to_numpy()[s:s + _BLOCK, None]
                     i, j = np.nonzero(near)
-                    parts.append(q.iloc[s:s + _BLOCK].iloc[i].assign(_leaf=leaves[j]).drop(columns="_r"))
-            if parts:
-                yield pd.concat(parts)
+                    if len(i):
+                        yield q.iloc[s:s + _BLOCK].iloc[i].assign(_leaf=leaves[j]).drop(columns="_r")
 
     sent = cut(asks.mapInPandas(visit, kinds + "_id long, _v array<double>, _leaf long"))
     # a region asked by many points is solved in chunks of bounded size, its own points repeated per chunk
@@ -137,7 +141,7 @@ def knn_join(points: DataFrame, keys, id_col: str, vec_col: str, k: int, query_c
 
     def foreign(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({c: [] for c in key_cols + ["_id", "neighbor", "dist2"]})
+            return nothing(p if len(p) else q)
         q = q.reset_index(drop=True)
         idx, ids, dist = _nearest(*_frame(q), *_frame(p), k)
         return out(p, idx, ids, dist, q)
