@@ -55,7 +55,7 @@ def _norm(t, side):
 
 
 def _ranked(t, side):
-    return E.rank_side(_norm(t, side), side)
+    return E.ranked_side(E.prepare(t("edges")), side)
 
 
 def _scored(t):
@@ -89,7 +89,7 @@ def rank_in_target(t):
 
 
 def _flags(t):
-    ranked = E.rank_side(E.normalize(_ranked(t, "source"), "target"), "target")
+    ranked = E.ranked_side(_ranked(t, "source"), "target", E.prepare(t("edges")))
     return ranked.select("grp", "ord", (F.col("source_rank") == 1).cast("int").alias("is_top1_target"),
                          (F.col("target_rank") == 1).cast("int").alias("is_top1_source"))
 
@@ -191,7 +191,7 @@ def confidence_score(t):
  UNION ALL SELECT 'mutual_top1', grp, ord FROM scored WHERE source_rank = 1 AND target_rank = 1)
  SELECT selection, grp, count(*) AS n, sum(ord)::BIGINT AS ord_sum FROM u GROUP BY ALL""")
 def pair_selection(t):
-    ranked = E.rank_side(E.normalize(_ranked(t, "source"), "target"), "target")
+    ranked = E.ranked_side(_ranked(t, "source"), "target", E.prepare(t("edges")))
     flags = ranked.select("grp", "ord", (F.col("source_rank") == 1).alias("a"), (F.col("target_rank") == 1).alias("b"))
     picked = F.array_compact(F.array(
         F.lit("all"), F.when(F.col("a"), F.lit("top1")), F.when(F.col("b"), F.lit("top1_target")),
@@ -372,7 +372,7 @@ def stability_confidence(t):
  target_rank <= 1 AS cycle_1, target_rank <= 5 AS cycle_5, target_rank <= 10 AS cycle_10
  FROM n_source s JOIN n_target t ON s.grp = t.grp AND s.ord = t.ord WHERE source_rank = 1""")
 def cycle_consistency(t):
-    return E.cycle_consistency(E.rank_side(E.normalize(_ranked(t, "source"), "target"), "target"))
+    return E.cycle_consistency(E.ranked_side(_ranked(t, "source"), "target", E.prepare(t("edges"))))
 
 
 @query(f"""WITH {PREP}, m AS (SELECT grp, source_id, sum(probability) AS moved, count(*) / 32.0::DOUBLE AS prior_mass FROM prep GROUP BY ALL)

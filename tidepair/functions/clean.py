@@ -60,8 +60,10 @@ def strip_ensembl_version(c: Column) -> Column:
     return F.when(F.upper(t).startswith("ENSG"), F.regexp_replace(F.upper(t), r"\.\d+$", "")).otherwise(t)
 
 
-def strip_concat_suffix(c: Column) -> Column:
-    return F.regexp_replace(c, "_[01]$", "")
+def strip_concat_suffix(c) -> Column:
+    """Drop one trailing _0 or _1 (plain string tests: this runs on every edge)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.endswith("_0") | c.endswith("_1"), F.substring(c, F.lit(1), F.length(c) - 2)).otherwise(c)
 
 
 def source_study(dataset: Column) -> Column:

@@ -1,11 +1,11 @@
 """Confidence of probabilistic source -> target edges within each pair-file group."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepair.functions.clean import strip_concat_suffix, to_number
+from tidepair.functions.clean import finite, strip_concat_suffix, to_number
 from tidepair.plans.session import cut
-from tidepair.plans.ordered import (attach_one, percent_rank_avg, quantiles, row_rank, running,
+from tidepair.plans.ordered import (attach_one, is_hot, percent_rank_avg, quantiles, row_rank, running,
                                     with_totals)
 
 EPS = 1e-8
@@ -35,10 +35,12 @@ BANDS = {
 
 def prepare(edges: DataFrame) -> DataFrame:
     """Suffix-stripped ids and a clean probability (bad -> 0, clipped at 0)."""
+    text = dict(edges.dtypes)["probability"] == "string"
+    p = to_number(F.col("probability")) if text else finite(F.col("probability"))
     return edges.select(
         "grp", "ord", strip_concat_suffix("source_cell").alias("source_id"),
         strip_concat_suffix("target_cell").alias("target_id"),
-        F.greatest(F.coalesce(to_number(F.col("probability")), F.lit(0.0)), F.lit(0.0)).alias("probability"))
+        F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(0.0)).alias("probability"))
 
 
 def normalize(edges: DataFrame, side: str) -> DataFrame:
@@ -54,6 +56,17 @@ def rank_side(edges: DataFrame, side: str) -> DataFrame:
     return row_rank(edges, ["grp", side + "_id"], [(p, False), ("ord", True)], side + "_rank", probe)
 
 
+def ranked_side(edges: DataFrame, side: str, probe: DataFrame | None = None) -> DataFrame:
+    """normalize + rank_side. Without a hot cell both come from one window over one sorted shuffle."""
+    keys = ["grp", side + "_id"]
+    if is_hot(edges, keys, (edges if probe is None else probe).select(*keys)):
+        return rank_side(normalize(edges, side), side)
+    w = Window.partitionBy(*keys).orderBy(F.desc("probability"), "ord")
+    mass = F.sum("probability").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = edges.withColumn(side + "_mass", mass).withColumn(side + "_rank", F.row_number().over(w).cast("bigint"))
+    return out.withColumn(side + "_p", F.col("probability") / (F.col(side + "_mass") + F.lit(EPS)))
+
+
 def cell_metrics(ranked: DataFrame, sizes: DataFrame, side: str) -> DataFrame:
     """One row per (group, cell): max, second, margin, ratio, entropy, effective number, mass."""
     p, rank = F.col(side + "_p"), F.col(side + "_rank")
@@ -108,8 +121,8 @@ def score_edges(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     base = prepare(edges)
     out = base
     for side in ("source", "target"):
-        out = rank_side(normalize(out, side), side)
-        ranked = rank_side(normalize(base, side), side)
+        ranked = ranked_side(base, side)
+        out = ranked_side(out, side, base)
         cells = concentration(cell_metrics(ranked, sizes, side), side, cell_bound(sizes, side))
         keep = [c for c in cells.columns if c not in ("grp", side + "_id", "mass")]
         cells = cells.select("grp", side + "_id", *[F.col(c).alias(f"{side}_{c}") for c in keep])
@@ -194,8 +207,7 @@ def matrix_confidence(entries: DataFrame, dim: DataFrame, sizes: DataFrame, side
     row still has entropy 0, confidence 1, and takes part in the percentile ranks.
     """
     cell, p = side + "_id", side + "_p"
-    entries = normalize(entries, side)
-    ranked = rank_side(entries, side)
+    ranked = entries = ranked_side(entries, side)
     n = sizes.withColumn("n_other", F.greatest(
         F.col("n_target" if side == "source" else "n_source"), F.lit(2)).cast("double"))
     cells = dim.join(cell_metrics(ranked, sizes, side), ["grp", cell], "left").join(
