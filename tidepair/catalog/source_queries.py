@@ -1,13 +1,12 @@
 """Reader and writer round trips over data that Spark derives from the given tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidepair.operators import edges as E
 from tidepair.operators.joins import gather_pair_expression
-from tidepair.plans.session import cut
+from tidepair.plans.session import cut, shared_folder
 from tidepair.sources import readers as R
 from tidepair.sources import writers as W
 
@@ -21,11 +20,8 @@ def _r(c, n=9, alias=None):
 
 
 def workdir(spark) -> str:
-    """Fresh folder beside the cluster's checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/work-{uuid.uuid4().hex}"
+    """Fresh folder inside the cluster's shared folder."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
 
 
 def _pair_files(t):
