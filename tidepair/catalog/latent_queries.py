@@ -420,21 +420,20 @@ def score_delta_summary(t):
 
 
 # ---------------------------------------------------------------- model selection
-LOGS = """lo AS (SELECT user_id AS run_id, event_type AS kind, CASE WHEN event_type IN ('view', 'click') THEN 'chreode' ELSE 'pair_mse' END AS arm, event_id AS epoch, value AS loss, value / 3 + event_id % 7 AS loss_pair,
+LOGS = """lo AS (SELECT user_id AS run_id, event_type AS kind, CASE WHEN event_type IN ('view', 'click') THEN 'population' ELSE 'pair_mse' END AS arm, event_id AS epoch, value AS loss, value / 3 + event_id % 7 AS loss_pair,
  value * value AS metric_mmd, user_id % 5 AS fold, user_id // 5 AS config, CASE WHEN user_id < 20 THEN 0 ELSE user_id % 6 END AS level FROM events),
- lb AS (SELECT *, CASE WHEN arm = 'chreode' THEN loss ELSE loss_pair END AS best, count(*) OVER (PARTITION BY arm, run_id) AS n_epochs FROM lo), be AS (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY arm, run_id ORDER BY best, epoch) = 1)"""
+ lb AS (SELECT *, CASE WHEN arm = 'population' THEN loss ELSE loss_pair END AS best, count(*) OVER (PARTITION BY arm, run_id) AS n_epochs FROM lo), be AS (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY arm, run_id ORDER BY best, epoch) = 1)"""
 
 
 def _logs(t):
     u, v = F.col("user_id"), F.col("value")
-    arm = F.when(F.col("event_type").isin("view", "click"), "chreode").otherwise("pair_mse")
+    arm = F.when(F.col("event_type").isin("view", "click"), "population").otherwise("pair_mse")
     return t("events").select(u.alias("run_id"), arm.alias("arm"), F.col("event_id").alias("epoch"), v.alias("loss"), (v / 3 + F.col("event_id") % 7).alias("loss_pair"),
                               (v * v).alias("metric_mmd"), (u % 5).alias("fold"), F.floor(u / 5).alias("config"), F.when(u < 20, 0).otherwise(u % 6).alias("level"))
 
 
 def _best(t):
-    logs = _logs(t)
-    return R.best_epoch(logs, ["arm", "run_id"], R.arm_metric("arm", logs.columns))
+    return R.best_epoch(_logs(t), ["arm", "run_id"], R.arm_metric("arm", ["population"]))
 
 
 @query(f"WITH {LOGS} SELECT arm, run_id, epoch, n_epochs, round(best, 9) AS best, round(metric_mmd, 7) AS metric_mmd FROM be")

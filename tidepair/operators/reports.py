@@ -5,20 +5,16 @@ from pyspark.sql import functions as F
 
 from tidepair.plans.ordered import row_rank, top_rows, with_totals
 
-# fixed values: the metric every arm is selected on
-ARM_METRIC = {"pair_mse": "loss_pair", "chreode": "loss", "cellflow": "loss"}
+# fixed values: selection metric of the population-loss arms and of every other arm
+POPULATION_METRIC = "loss"
 DEFAULT_METRIC = "loss_pair"
 # fixed values: weights of the composite score
 COMPOSITE = {"role": 0.5, "recon": 0.3, "mix": 0.2}
 
 
-def arm_metric(arm: str, columns) -> Column:
-    """Value of the arm's own selection metric."""
-    out = F.col(DEFAULT_METRIC)
-    for name, metric in ARM_METRIC.items():
-        if metric in columns:
-            out = F.when(F.col(arm) == name, F.col(metric)).otherwise(out)
-    return out
+def arm_metric(arm: str, population_arms) -> Column:
+    """Value of the arm's own selection metric: the full loss for population-loss arms, else the pair loss."""
+    return F.when(F.col(arm).isin(list(population_arms)), F.col(POPULATION_METRIC)).otherwise(F.col(DEFAULT_METRIC))
 
 
 def best_epoch(logs: DataFrame, run, metric: Column, order: str = "epoch") -> DataFrame:
