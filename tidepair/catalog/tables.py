@@ -8,6 +8,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidepair.plans.session import ship_package
+
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
 
@@ -104,6 +106,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.made = spark, folder, {}
+        ship_package(spark)
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self.made:

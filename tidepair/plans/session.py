@@ -1,5 +1,7 @@
 """Session helpers: size limits and lineage cuts."""
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -43,3 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application (needed by the Arrow functions)."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = pathlib.Path(__file__).resolve().parents[2]
+        target = pathlib.Path(tempfile.mkdtemp(prefix="spark-")) / "tidepair"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", root, "tidepair"))
+        _SHIPPED.add(app)
