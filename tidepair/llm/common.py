@@ -32,9 +32,9 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def packed(df: DataFrame, *needs: str) -> DataFrame:
-    """Whole rows as column row, beside copies of the needed columns: names that an operator adds can't clash."""
-    return df.select(F.struct("*").alias("row"), *[F.col(c).alias(f"row_{c}") for c in needs])
+def packed(df: DataFrame, *needs: str, carry: tuple = ("*",)) -> DataFrame:
+    """The columns to carry as column row, beside copies of needed columns: names that an operator adds can't clash."""
+    return df.select(F.struct(*carry).alias("row"), *[F.col(c).alias(f"row_{c}") for c in needs])
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

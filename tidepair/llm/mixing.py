@@ -37,8 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, epochs: float = M
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple = WEIGHTS,
-        epochs: float = MAX_EPOCHS, seed: int = 11, digits: int = 2) -> DataFrame:
-    """Repetitions of every document: row (whole input row), size, source_size, target, repeats, taken.
+        epochs: float = MAX_EPOCHS, seed: int = 11, digits: int = 2, carry: tuple = ("*",)) -> DataFrame:
+    """Repetitions of every document: row (the columns to carry), size, source_size, target, repeats, taken.
 
     A source that shall give r times its size repeats all its documents floor(r) times and, once more, those documents
     that come first in a seeded order, up to the rest. The seeded order is the md5 of seed, key and text, so reruns agree.
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     known = lambda c: F.coalesce(F.col(f"row_{c}").cast("string"), F.lit(""))
     turn = F.md5(F.concat(F.lit(f"{seed}:"), known(key), F.lit(":"), known(text)))
-    sized = packed(docs, text, source, key).withColumn("size", n_words(F.col(f"row_{text}"))).withColumn("_turn", turn)
+    sized = packed(docs, text, source, key, carry=carry).withColumn("size", n_words(F.col(f"row_{text}"))).withColumn("_turn", turn)
     sized = cut(sized.drop(f"row_{text}", f"row_{key}").withColumnRenamed(f"row_{source}", "_source")
                 .withColumn("_bucket", F.substring("_turn", 1, digits)))
     sizes = cut(sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_part")))
@@ -73,4 +73,4 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "source", "text")).select("row.doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, carry=("doc_id",)).select("row.doc_id", "size", "source_size", "target", "taken")

@@ -58,14 +58,14 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, limit: float = 0.5)
     return hosts.join(F.broadcast(prior)).select("host", "host_docs", rate.alias("host_rate"), (rate > limit).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
-    """Host-level quality rules. Returns row (the whole input row), the rule columns, host_rate, host_rejected, kept.
+def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5, carry: tuple = ("*",)) -> DataFrame:
+    """Host-level quality rules. Returns row (the columns to carry), the rule columns, host_rate, host_rejected, kept.
 
     A text fails below 10 words or with over 20 % of its words in repeated windows; a document is kept if it passes and
     its host is not rejected. Null and empty texts have no words and fail; a null host is one host; equal rows get equal
     verdicts; an empty table gives no rows. Measured rows are written once, so the text rules run once.
     """
-    judged = cut(text_rules(packed(docs, text, host), f"row_{text}"))
+    judged = cut(text_rules(packed(docs, text, host, carry=carry), f"row_{text}").drop(f"row_{text}"))
     hosts = host_verdicts(judged, f"row_{host}", "base_failed", limit)
     out = judged.join(hosts, judged[f"row_{host}"].eqNullSafe(hosts["host"]), "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
@@ -78,4 +78,4 @@ def filter_documents(docs: DataFrame, text: str = "text", host: str = "source",
 
 def op9_quality_rules(docs: DataFrame) -> DataFrame:
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"]
-    return judge(docs.select("doc_id", "source", "text")).select("row.doc_id", *columns)
+    return judge(docs, carry=("doc_id",)).select("row.doc_id", *columns)

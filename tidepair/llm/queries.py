@@ -1,6 +1,6 @@
 """All queries of this subpackage and their SQL twins."""
 
-from . import native_queries
+from . import map_queries, native_queries
 
-QUERIES = {**native_queries.QUERIES}
+QUERIES = {**native_queries.QUERIES, **map_queries.QUERIES}
 ORACLES = {**native_queries.ORACLES}
