@@ -1,6 +1,6 @@
 """All queries of this subpackage and their SQL twins."""
 
-from . import map_queries, native_queries
+from . import dedup_queries, map_queries, native_queries
 
-QUERIES = {**native_queries.QUERIES, **map_queries.QUERIES}
+QUERIES = {**native_queries.QUERIES, **map_queries.QUERIES, **dedup_queries.QUERIES}
 ORACLES = {**native_queries.ORACLES}
