@@ -2,7 +2,9 @@
 
 from .common import table
 from .neardup import op6_minhash_near_dedup
+from .substrings import op3_suffix_array_dedup
 
 QUERIES = {
+    "op3_suffix_array_dedup": lambda spark, d: op3_suffix_array_dedup(table(spark, d, "documents")),
     "op6_minhash_near_dedup": lambda spark, d: op6_minhash_near_dedup(table(spark, d, "documents")),
 }
