@@ -241,3 +241,57 @@ def test_es_of_full_scan(spark):
         run = np.cumsum(w / w.sum() - (~hit) / (~hit).sum())
         want = run.max() if abs(run.max()) >= abs(run.min()) else run.min()
         assert got[name] == pytest.approx(want, abs=1e-12)
+
+
+# ------------------------------------------------------------- null keys and reader shapes
+@pytest.mark.parametrize("limit", ["3", "4000000"])
+def test_null_keys_are_groups(spark, limit):
+    from tidepair.plans import ordered as O
+
+    spark.conf.set("spark.tidepair.hotGroupRows", limit)
+    try:
+        rows = [(None if i % 2 else "g", float(i % 5), i) for i in range(40)]
+        df = spark.createDataFrame(rows, "g string, v double, i int").repartition(3)
+        ranks = {r.i: r.r for r in O.row_rank(df, ["g"], ["v", "i"], "r").collect()}
+        for g in ("g", None):
+            mine = sorted((v, i) for k, v, i in rows if k == g)
+            assert [ranks[i] for _, i in mine] == list(range(1, 21))
+        assert {(r.g, r.q) for r in O.quantiles(df, ["g"], "v", {"q": 0.5}).collect()} == {("g", 2.0), (None, 2.0)}
+        average = O.avg_rank(df, ["g"], "v", "r", count="n").collect()
+        assert len(average) == 40 and all(r.r == 4 * r.v + 2.5 and r.n == 20 for r in average)
+        assert O.with_totals(df, ["g"], n=F.count(F.lit(1))).where("n = 20").count() == 40
+        assert O.bh_fdr(df.withColumn("p", (F.col("v") + 1) / 10), ["g"], "p", "q").where("q IS NOT NULL").count() == 40
+    finally:
+        spark.conf.unset("spark.tidepair.hotGroupRows")
+
+
+def test_pair_files_by_column_name(spark, tmp_path):
+    from tidepair.sources import readers as R
+
+    folder = tmp_path / "p1" / "d1" / "nonzero_pairs_source_to_target"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("extra,probability,target_cell,source_cell\nx,0.25,T1,S1\ny,0.5,T2,S2\n")
+    (folder / "b.csv").write_text("source_cell,target_cell,probability\nS3,T3,1\n")
+    got = {(r.source_cell, r.target_cell, r.probability) for r in R.scan_pair_files(spark, str(tmp_path)).collect()}
+    assert got == {("S1", "T1", 0.25), ("S2", "T2", 0.5), ("S3", "T3", 1.0)}
+    (folder / "c.csv").write_text("source_cell,target_cell\nS3,T3\n")
+    with pytest.raises(ValueError):
+        R.scan_pair_files(spark, str(tmp_path))
+
+
+def test_ids_are_cleaned_before_grouping(spark):
+    from tidepair.functions.clean import strip_concat_suffix
+
+    df = spark.createDataFrame([(" s1 ",), ("s1_0",), ("nan",), (None,)], "c string")
+    assert [r[0] for r in df.select(strip_concat_suffix("c")).collect()] == ["s1", "s1", "", ""]
+
+
+def test_clinical_json_shapes(spark):
+    from tidepair.sources import readers as R
+
+    case = '{"submitter_id": "A"}'
+    good = [f"[{case}]", f'{{"data": {{"hits": [{case}]}}}}', f'{{"data": [{case}]}}', f'{{"hits": [{case}]}}']
+    assert R.parse_clinical_json(spark.createDataFrame([(g,) for g in good], "value string")).count() == 4
+    for bad in ("{broken", '{"other": 1}'):
+        with pytest.raises(Exception, match="no list of cases"):
+            R.parse_clinical_json(spark.createDataFrame([(bad,)], "value string")).collect()

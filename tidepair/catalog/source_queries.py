@@ -65,7 +65,7 @@ def _known_cells(t):
         li.select("file_path", F.lit("target"), "x")).distinct()
 
 
-MATCH = """h AS (SELECT grp, source_cell, target_cell FROM edges QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ord) <= 1000),
+MATCH = """h AS (SELECT grp, source_cell, target_cell FROM edges),
  s AS (SELECT DISTINCT grp, regexp_replace(source_cell, '_[01]$', '') AS c FROM h), x AS (SELECT DISTINCT grp, target_cell AS c FROM h),
  m AS (SELECT grp, avg((substr(c, 2)::INT < 90)::INT) AS sm FROM s GROUP BY 1), n AS (SELECT DISTINCT grp, 1.0::DOUBLE AS tm FROM x)"""
 

@@ -61,8 +61,8 @@ def strip_ensembl_version(c: Column) -> Column:
 
 
 def strip_concat_suffix(c) -> Column:
-    """Drop one trailing _0 or _1 (plain string tests: this runs on every edge)."""
-    c = F.col(c) if isinstance(c, str) else c
+    """Cleaned id without one trailing _0 or _1; missing words and null become the blank id."""
+    c = clean_str(F.col(c) if isinstance(c, str) else c)
     return F.when(c.endswith("_0") | c.endswith("_1"), F.substring(c, F.lit(1), F.length(c) - 2)).otherwise(c)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidepair.functions.clean import finite, strip_concat_suffix, to_number
 from tidepair.plans.session import cut
-from tidepair.plans.ordered import (attach_one, is_hot, percent_rank_avg, quantiles, row_rank, running,
+from tidepair.plans.ordered import (attach_one, is_hot, join_on, percent_rank_avg, quantiles, row_rank, running,
                                     with_totals)
 
 EPS = 1e-8
@@ -76,7 +76,7 @@ def cell_metrics(ranked: DataFrame, sizes: DataFrame, side: str) -> DataFrame:
         F.coalesce(F.max(F.when(rank == 2, p)), F.lit(0.0)).alias("second"),
         (-F.sum(p * F.log(p + F.lit(EPS)))).alias("entropy"),
         F.max(side + "_mass").alias("mass"))
-    cells = cells.join(sizes, "grp")
+    cells = join_on(cells, sizes, ["grp"])
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     return (cells
             .withColumn("margin", F.col("max") - F.col("second"))
@@ -112,7 +112,7 @@ def concentration(cells: DataFrame, side: str, bound: int | None = None, keys=("
         F.max(F.when(F.col("metric") == "max", F.col("share"))).alias("max_rank"))
     weighted = (F.lit(0.40) * F.col("entropy_rank") + F.lit(0.30) * F.col("margin_rank")
                 + F.lit(0.30) * F.col("max_rank"))
-    return cells.join(combined.withColumn("combined", weighted), keys + [cell])
+    return join_on(cells, combined.withColumn("combined", weighted), keys + [cell])
 
 
 def score_edges(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def score_edges(edges: DataFrame, sizes: DataFrame) -> DataFrame:
         cells = concentration(cell_metrics(ranked, sizes, side), side, cell_bound(sizes, side))
         keep = [c for c in cells.columns if c not in ("grp", side + "_id", "mass")]
         cells = cells.select("grp", side + "_id", *[F.col(c).alias(f"{side}_{c}") for c in keep])
-        out = out.join(cells, ["grp", side + "_id"])
+        out = join_on(out, cells, ["grp", side + "_id"])
     return (out
             .withColumn("is_top1_target", (F.col("source_rank") == 1).cast("int"))
             .withColumn("is_top1_source", (F.col("target_rank") == 1).cast("int"))

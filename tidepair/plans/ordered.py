@@ -1,18 +1,16 @@
 """Ordered computations (running totals, ranks, quantiles) that survive hot groups.
 
 A plain window sends each group to one task. Here the group sizes are counted
-first (map-side combined); only when some group exceeds `hot_rows` is it cut
-into range parts by sampled split points, windowed per part, and shifted by the
-totals of the parts before it. Without a hot group the plan is the plain window.
+first (map-side combined); only when some group exceeds `hot_rows` is it dealt
+to range partitions, windowed per part, and shifted by the totals of the parts
+before it. Without a hot group the plan is the plain window. A null key is a
+group like any other: groups are joined back null-safely.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import broadcast_rows, hot_rows
-
-MAX_PARTS = 1024
-SAMPLE_PER_PART = 50
+from .session import broadcast_rows, cut, hot_rows
 
 
 def _sort(order):
@@ -24,13 +22,15 @@ def _asc(order):
     return [(c, True) if isinstance(c, str) else c for c in order]
 
 
-def _after(split, order) -> Column:
-    """Row sorts strictly after the split point (lexicographic, per direction)."""
-    test = F.lit(False)
-    for name, up in reversed(order):
-        here, there = F.col(name), split[name]
-        test = ((here > there) if up else (here < there)) | ((here == there) & test)
-    return test
+def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi join in which null keys meet each other; the keys of the left side stay."""
+    keys = list(keys)
+    for k in keys:
+        right = right.withColumnRenamed(k, "_on_" + k)
+    test = F.lit(True)
+    for k in keys:
+        test = test & left[k].eqNullSafe(right["_on_" + k])
+    return left.join(right, test, how).drop(*["_on_" + k for k in keys])
 
 
 def split_hot(df: DataFrame, keys, order, probe: DataFrame | int | None = None):
@@ -49,23 +49,16 @@ def split_hot(df: DataFrame, keys, order, probe: DataFrame | int | None = None):
     groups, total = hot.agg(F.count(F.lit(1)), F.sum("_size")).first()
     if not groups:
         return df, 0, 0
-    parts = max(2, min(MAX_PARTS, 2 * (total // limit + 1)))
+    parts = max(2, 2 * (total // limit + 1))
     if keys:
         flags = hot.select(*keys, F.lit(True).alias("_hot"))
         if groups <= broadcast_rows(spark):
             flags = F.broadcast(flags)
-        rows = df.join(flags, keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        rows = join_on(df, flags, keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     else:
         rows = df.withColumn("_hot", F.lit(True))
-    names = [c for c, _ in order]
-    fraction = min(1.0, SAMPLE_PER_PART * parts / total)
-    sample = rows.where("_hot").select(*names).sample(fraction, 7).orderBy(*_sort(order)).collect()
-    step = max(1, len(sample) // parts)
-    splits = sample[step - 1 :: step][: parts - 1]
-    types = dict(df.select(*names).dtypes)
-    points = F.array(*[F.struct(*[F.lit(s[n]).cast(types[n]).alias(n) for n in names]) for s in splits])
-    place = F.size(F.filter(points, lambda s: _after(s, order)))
-    return rows.withColumn("_part", F.when(F.col("_hot"), place).otherwise(F.lit(0))), groups, parts
+    dealt = rows.where("_hot").repartitionByRange(parts, *_sort(order)).withColumn("_part", F.spark_partition_id() + 1)
+    return cut(dealt).unionByName(rows.where(~F.col("_hot")).withColumn("_part", F.lit(0))), groups, parts
 
 
 def running(df: DataFrame, keys, order, sums: dict, probe: DataFrame | int | None = None) -> DataFrame:
@@ -86,7 +79,7 @@ def running(df: DataFrame, keys, order, sums: dict, probe: DataFrame | int | Non
             *group, *[F.coalesce(F.sum("_t_" + c).over(w_before), F.lit(0)).alias("_b_" + c) for c in sums])
         if groups * parts <= broadcast_rows(df.sparkSession):
             before = F.broadcast(before)
-        out = out.join(before, group, "left")
+        out = join_on(out, before, group, "left")
     for c in sums:
         value = F.sum("_in_" + c).over(w)
         if groups:
@@ -105,7 +98,7 @@ def with_totals(df: DataFrame, keys, **aggs) -> DataFrame:
     """Attach per-group aggregates: partial aggregation plus an equi join (AQE splits skew)."""
     keys = list(keys)
     totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(totals, keys) if keys else attach_one(df, totals)
+    return join_on(df, totals, keys) if keys else attach_one(df, totals)
 
 
 def attach_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -146,7 +139,7 @@ def avg_rank(df: DataFrame, keys, value: str, out: str, probe: DataFrame | int |
         return df.withColumn(count, F.count(value).over(group)) if count else df
     ranks = value_counts(df, keys, value, probe).select(
         *keys, value, (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(out))
-    df = df.join(ranks, keys + [value], "left")
+    df = join_on(df, ranks, keys + [value], "left")
     return with_totals(df, keys, **{count: F.count(value)}) if count else df
 
 
@@ -172,7 +165,7 @@ def quantiles(df: DataFrame, keys, value: str, qs: dict, probe: DataFrame | int
     if not is_hot(valid, keys, probe):
         return valid.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(n) for n, q in qs.items()])
     steps = value_counts(valid, keys, value)
-    steps = steps.join(sizes, keys) if keys else attach_one(steps, sizes)
+    steps = join_on(steps, sizes, keys) if keys else attach_one(steps, sizes)
     picks = []
     for n, q in qs.items():
         h = (F.col("_size") - 1) * F.lit(float(q))
@@ -201,11 +194,11 @@ def bh_fdr(df: DataFrame, keys, p: str, out: str, probe: DataFrame | int | None
         return df.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_raw")
     steps = value_counts(df, keys, p, probe)
     totals = df.groupBy(*keys).agg(F.count(p).alias("_m"))
-    steps = steps.join(totals, keys) if keys else attach_one(steps, totals)
+    steps = join_on(steps, totals, keys) if keys else attach_one(steps, totals)
     steps = steps.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_cum"))
     q = suffix_min(steps, keys, p, "_raw", out, probe)
     q = q.select(*keys, p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))).alias(out))
-    return df.join(q, keys + [p], "left")
+    return join_on(df, q, keys + [p], "left")
 
 
 def suffix_min(df: DataFrame, keys, order: str, value: str, out: str,
@@ -222,7 +215,7 @@ def suffix_min(df: DataFrame, keys, order: str, value: str, out: str,
     after = mins.select(*group, F.min("_m0").over(w_after).alias("_rest"))
     if groups * parts <= broadcast_rows(df.sparkSession):
         after = F.broadcast(after)
-    rows = rows.join(after, group, "left")
+    rows = join_on(rows, after, group, "left")
     return rows.withColumn(out, F.least(F.min(value).over(w), F.col("_rest"))).drop("_part", "_hot", "_rest")
 
 

@@ -20,16 +20,41 @@ def with_file_order(df: DataFrame) -> DataFrame:
     rows = df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_b"),
                      F.monotonically_increasing_id().alias("_m"))
     rows = with_totals(rows, ["file_path", "_b"], _m0=F.min("_m"))
-    return rows.withColumn("ord", F.col("_b") + F.col("_m") - F.col("_m0")).drop("_b", "_m", "_m0")
+    return rows.withColumn("ord", F.col("_b") + F.col("_m") - F.col("_m0")).drop("_b", "_m", "_m0", "_metadata")
+
+
+def by_header(spark: SparkSession, paths, columns, sep: str = ",") -> DataFrame:
+    """String columns of delimited files by their names in each file's own header, whatever their order; other columns
+    are left out and a missing one fails. The hidden _metadata column stays available.
+
+    A file's header is the row at byte 0; only headers are brought together, one row a file.
+    """
+    text = spark.read.text(paths)
+    heads = text.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), "value",
+                        F.monotonically_increasing_id().alias("_m")).where(F.col("_s") == 0)
+    heads = heads.groupBy("_f").agg(F.min_by("value", "_m").alias("header"))
+    options = {"sep": sep, "mode": "PERMISSIVE"}
+    kinds = sorted({r["header"] for r in heads.select("header").distinct().collect()})
+    out = None
+    for header in kinds:
+        names = [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sep)]
+        missing = [c for c in columns if c not in names]
+        if missing:
+            raise ValueError(f"missing columns {missing} in a file with the header {header!r}")
+        files = [r["_f"] for r in heads.where(F.col("header") == header).select("_f").collect()]
+        schema = ", ".join(f"`_{i}` string" for i in range(len(names)))
+        rows = spark.read.options(**options).option("header", True).schema(schema).csv(files)
+        rows = rows.select(*[F.col(f"_{names.index(c)}").alias(c) for c in columns], "_metadata")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
 
 
 def scan_pair_files(spark: SparkSession, base: str, direction: str = "source_to_target", ordered: bool = True) -> DataFrame:
     """Pair CSVs under <base>/<patient>/<dataset>/nonzero_pairs_<direction>/; 'both' reads both directions."""
     names = DIRECTIONS if direction == "both" else (direction,)
     paths = [f"{base}/*/*/nonzero_pairs_{d}/*.csv" for d in names]
-    schema = ", ".join(f"{c} {'double' if c == 'probability' else 'string'}" for c in PAIR_COLUMNS)
-    rows = spark.read.option("header", True).schema(schema).csv(paths)
-    return with_file_order(rows) if ordered else rows.select("*", F.col("_metadata.file_path").alias("file_path"))
+    rows = by_header(spark, paths, PAIR_COLUMNS).withColumn("probability", F.expr("try_cast(probability AS double)"))
+    return with_file_order(rows) if ordered else rows.withColumn("file_path", F.col("_metadata.file_path")).drop("_metadata")
 
 
 def target_file(transition: Column) -> Column:
@@ -62,12 +87,14 @@ def path_metadata(df: DataFrame, base: str, path: str = "file_path", prefix: str
             F.concat_ws("/", "patient_id", "dataset_id", target_file(F.col("transition")))))
 
 
-def pair_cell_match_fraction(pairs: DataFrame, cells: DataFrame, file: str = "file_path", rows: int = 1000) -> DataFrame:
-    """First `rows` rows of every file: share of distinct stripped ids that exist in the cell index.
+def pair_cell_match_fraction(pairs: DataFrame, cells: DataFrame, file: str = "file_path", rows: int | None = None) -> DataFrame:
+    """Share of each file's distinct stripped ids that exist in the cell index.
 
-    cells(file, side, cell_id). The row count is the check's own sample size.
+    cells(file, side, cell_id). All rows are checked; `rows` limits the check to a file's first rows.
     """
-    if rows <= 1000:  # pruned to the first rows per task before the shuffle
+    if rows is None:
+        head = pairs
+    elif rows <= 1000:  # pruned to the first rows per task before the shuffle
         head = top_rows(pairs, [file], ["ord"], rows, "_k")
     else:
         head = row_rank(pairs, [file], ["ord"], "_k").where(F.col("_k") <= rows)
@@ -117,8 +144,7 @@ def read_wide_counts(spark: SparkSession, path: str, columns, samples, dataset:
 
     A negative, non-numeric or non-finite count fails the job.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    wide = spark.read.option("sep", "\t").option("header", True).schema(schema).csv(path)
+    wide = by_header(spark, path, columns, "\t").drop("_metadata")
     long = wide.select("gene_id", "gene_symbol", *samples).unpivot(["gene_id", "gene_symbol"], list(samples), "sample_id", "raw")
     value = to_number(F.col("raw"), True)
     checked = F.when(value.isNotNull(), value).otherwise(F.raise_error("invalid count"))
@@ -147,12 +173,14 @@ def read_gene_sets(spark: SparkSession, path: str, variant: str = "A", low: int
 
 
 def parse_clinical_json(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Cases from a JSON text: a top-level list, {data: {hits: [..]}} or {data: [..]}."""
+    """Cases from a JSON text: a top-level list, {data: {hits: [..]}}, {data: [..]} or {hits: [..]}; any other text fails."""
     case = f"array<struct<{', '.join(_fields())}>>"
     listed = F.from_json(column, case)
     hits = F.from_json(column, f"struct<data: struct<hits: {case}>>")["data"]["hits"]
     data = F.from_json(column, f"struct<data: {case}>")["data"]
-    kind = F.when(F.trim(F.col(column)).startswith("["), listed).otherwise(F.coalesce(hits, data))
+    top = F.from_json(column, f"struct<hits: {case}>")["hits"]
+    failed = F.raise_error(F.lit("a clinical document is no list of cases"))
+    kind = F.when(F.trim(F.col(column)).startswith("["), F.coalesce(listed, failed)).otherwise(F.coalesce(hits, data, top, failed))
     return texts.select(*[c for c in texts.columns if c != column], F.explode(kind).alias("_c")).select(
         *[c for c in texts.columns if c != column], "_c.*")
 
