@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepair.plans.session import cut, shared_folder, ship_package  # noqa: F401  (re-exported)
+from tidepair.plans.session import shared_folder, ship_package
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows once, well compressed, to the shared folder and read them back."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes that Spark puts into one Arrow batch for Python: a few whole texts rather than thousands.
+BATCH_BYTES = "16m"
+
+
+def ready(spark: SparkSession) -> None:
+    """What Python helpers need on the executors: the package, and small batches."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ RADIUS, BLOCKS = 11, 4
 #: Window sizes grow by RATIO; items above LONGEST words are cut into segments of at most that size.
 RATIO, SHORTEST, LONGEST = 1.1, 5, 200
 #: Items searched for at once, and bytes of text handled at once.
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 20
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 19
 
 LOW = np.uint64(0x0101010101010101)
 

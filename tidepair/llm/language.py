@@ -30,7 +30,7 @@ class Model:
     langs: list[str]
     symbols: np.ndarray  # symbol of each code point
     width: int
-    tables: list[np.ndarray]  # per language: next state of (state, symbol), negative (-1 - state) if a phrase ends there
+    tables: list[np.ndarray]  # per language: next state of (state, symbol), negative (-1 - state) if a phrase begins there
     sizes: list[int]
 
 
@@ -73,9 +73,11 @@ def suffix_automaton(sequence: list[int], width: int) -> np.ndarray:
 
 
 def parsing_table(automaton: np.ndarray) -> np.ndarray:
-    """Where no transition goes on, the phrase ends and the symbol begins the next one from the root."""
+    """Where no transition goes on, the symbol begins a phrase from the root; so it does at the root itself, where one is
+    also after a symbol that the language never had."""
     root = np.maximum(automaton[0], 0)
     out = np.where(automaton >= 0, automaton, -1 - root[None, :]).astype(np.int32)
+    out[0] = -1 - root
     out[:, PAD] = 0
     return out
 
@@ -106,7 +108,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
 
 def phrases(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Phrases (sequence, language) of symbol sequences. Sequences are parsed in chunks of CHUNK symbols side by side,
-    each begun anew: the last phrase of a chunk counts as one, for every language alike."""
+    each begun anew."""
     per = np.array([-(-len(s) // CHUNK) for s in sequences])
     grid = np.zeros((int(per.sum()), CHUNK), np.uint8)
     row = 0
@@ -117,13 +119,13 @@ def phrases(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sequences), len(model.langs)))
     owner = np.repeat(np.arange(len(sequences)), per)
     for j, table in enumerate(model.tables):
-        flat, state, ended = table.ravel(), np.zeros(len(grid), np.int64), np.ones(len(grid), np.int64)
+        flat, state, begun = table.ravel(), np.zeros(len(grid), np.int64), np.zeros(len(grid), np.int64)
         for column in steps:
             state = flat[state * model.width + column].astype(np.int64)
             new = state < 0
-            ended += new
-            state ^= -new.astype(np.int64)  # -1 - state where a phrase ended
-        np.add.at(out[:, j], owner, ended)
+            begun += new
+            state ^= -new.astype(np.int64)  # -1 - state where a phrase begins
+        np.add.at(out[:, j], owner, begun)
     return out
 
 
