@@ -18,7 +18,7 @@ REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 48
 SIMILARITY = 80  # percent
 #: A pair is verified unless its estimate is this many standard deviations below the similarity (3e-7 of true pairs).
 DEVIATIONS = 5.0
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 19
 SIGNATURE = "struct<n:long,set_key:binary,registers:binary>"
 
 
@@ -157,21 +157,19 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         roots = new.select("node", "root")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, held: DataFrame, size: int) -> DataFrame:
     """Those of the pairs (u, v) whose estimate and then whose full sets reach the similarity."""
     of = lambda name: nodes.select(F.col("rid").alias(name), F.col("n").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}"))
     kept = pairs.join(of("u"), "u").join(of("v"), "v")
     kept = kept.where(100 * F.least("n_u", "n_v") >= SIMILARITY * F.greatest("n_u", "n_v"))
     kept = cut(kept.where(plausible(F.col("r_u"), F.col("r_v"), F.col("n_u"), F.col("n_v"))).select("u", "v"))
-    needed = kept.select(F.col("u").alias("rid")).union(kept.select("v")).distinct()
-    held = cut(texts.join(needed, "rid").select("rid", "text"))
     pair = kept.join(held.select(F.col("rid").alias("u"), F.col("text").alias("text_u")), "u")
     pair = pair.join(held.select(F.col("rid").alias("v"), F.col("text").alias("text_v")), "v")
     return cut(pair.where(linked(F.col("text_u"), F.col("text_v"), size)).select("u", "v"))
 
 
-def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = ("*",)) -> DataFrame:
-    """Near-duplicate classes: row (columns to carry), rid, n_shingles, root.
+def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = ("*",)) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate classes: rows (row: the columns to carry, rid, n_shingles) and labels (rid, root).
 
     Words are runs between white space, A-Z lower-cased; a text's set has its distinct shingles of so many words (all
     words as one if there are fewer). Texts are linked from SIMILARITY percent Jaccard similarity on; root is the least
@@ -183,16 +181,19 @@ def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = (
     components is lost and a band that has become one component costs nothing. Both rounds verify the full sets. Shingles
     are compared by 64-bit hashes.
     """
+    whole = carry == ("*",)
     signed = packed(docs, text, carry=carry).withColumn("rid", F.monotonically_increasing_id())
-    signed = cut(signed.select("row", F.col(f"row_{text}").alias("text"), "rid", signatures(size)(F.col(f"row_{text}")).alias("s"))
-                 .select("row", "text", "rid", "s.*"))
+    signed = signed.withColumn("s", signatures(size)(F.col(f"row_{text}"))).withColumnRenamed(f"row_{text}", "text")
+    signed = cut(signed.select("row", "rid", "s.*", *([] if whole else ["text"])))
     filled = signed.where(F.col("set_key").isNotNull())
+    texts = filled.select("rid", (F.col("row").getField(text) if whole else F.col("text")).alias("text"))
     keys = cut(filled.groupBy("set_key").agg(F.min("rid").alias("rid")))
     nodes = cut(filled.select("rid", "n", "registers").join(keys.select("rid"), "rid"))
     bands = nodes.select("rid", F.explode(band_keys(F.col("registers"))).alias("key"))
     heads = bands.groupBy("key").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "head")
     shared = cut(bands.join(heads, "key"))
-    first = verified(shared.where("rid <> head").select(F.col("head").alias("u"), F.col("rid").alias("v")).distinct(), nodes, filled, size)
+    held = cut(texts.join(shared.select("rid").distinct(), "rid").select("rid", "text"))  # texts with any candidate
+    first = verified(shared.where("rid <> head").select(F.col("head").alias("u"), F.col("rid").alias("v")).distinct(), nodes, held, size)
     roots = components(first)
     member = shared.select("key", F.col("rid").alias("node")).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     member = cut(member)
@@ -202,10 +203,11 @@ def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = (
     rest = left.select("key", F.col("node").alias("u"), F.col("root").alias("root_u")).join(other, "key").where("root_u < root_v").select("u", "v").distinct()
     tried = shared.where("rid <> head").select(F.least("head", "rid").alias("u"), F.greatest("head", "rid").alias("v")).distinct()
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(tried, ["u", "v"], "left_anti")
-    second = verified(rest, nodes, filled, size)
+    second = verified(rest, nodes, held, size)
     roots = components(first.union(second))
     root = keys.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("set_key", F.coalesce("root", "rid").alias("root"))
-    return signed.select("row", "rid", "n", "set_key").join(root, "set_key", "left").select("row", "rid", F.col("n").alias("n_shingles"), "root")
+    labels = signed.select("rid", "set_key").join(root, "set_key", "left").select("rid", "root")
+    return signed.select("row", "rid", F.col("n").alias("n_shingles")), labels
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5) -> DataFrame:
@@ -213,16 +215,17 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
 
     Texts without words all stay. Of repeated rows one stays.
     """
-    found = cut(classes(docs, text, size))
-    known = found.where(F.col("root").isNotNull()).select("root", F.struct(F.col(f"row.{key}").isNull(), F.col(f"row.{key}").alias("key"), "rid").alias("order"))
-    first = known.groupBy("root").agg(F.min("order").alias("order")).select(F.col("order.rid").alias("rid"))
-    kept = found.join(first, "rid", "left_semi").select("row.*")
-    return kept.union(found.where(F.col("root").isNull()).select("row.*"))
+    rows, labels = classes(docs, text, size)
+    order = F.struct(F.col(f"row.{key}").isNull().alias("none"), F.col(f"row.{key}").alias("key"), "rid")
+    ranked = rows.select("rid", order.alias("order")).join(labels, "rid")
+    first = ranked.groupBy(F.coalesce(F.col("root"), -1 - F.col("rid"))).agg(F.min("order").alias("order")).select(F.col("order.rid").alias("rid"))
+    return rows.join(first, "rid", "left_semi").select("row.*")
 
 
 def op6_minhash_near_dedup(docs: DataFrame) -> DataFrame:
     """Contract of op6: shingles of two words."""
-    found = cut(classes(docs, size=2, carry=("doc_id",)).select("row.doc_id", "n_shingles", "root"))
+    rows, labels = classes(docs, size=2, carry=("doc_id",))
+    found = cut(rows.select("row.doc_id", "rid", "n_shingles").join(labels, "rid"))
     least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = found.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
