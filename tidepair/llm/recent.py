@@ -12,14 +12,11 @@ class Recent:
 
     def many(self, keys: list) -> list:
         young, old = self.young, self.old
-        try:
-            return list(map(young.__getitem__, keys))
-        except KeyError:
-            pass
-        missing = {k for k in keys if k not in young}
-        young.update((k, old[k]) for k in missing if k in old)
-        new = [k for k in missing if k not in young]
-        young.update(zip(new, self.compute(new), strict=True))
+        missing = set(keys).difference(young)
+        if missing:
+            young.update([(k, old[k]) for k in missing if k in old])
+            new = [k for k in missing if k not in young]
+            young.update(zip(new, self.compute(new), strict=True))
         out = list(map(young.__getitem__, keys))
         if len(young) > self.bound:
             self.old, self.young = young, {}

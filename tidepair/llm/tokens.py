@@ -15,7 +15,8 @@ import functools
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .recent import Recent
 END_ID = 1
 #: Bounds of the dictionary's sample: documents and their characters; its size; level; bytes of a block before it is closed.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL, BLOCK_BYTES = 2000, 8000, 65536, 3, 1 << 20
-KNOWN_WORDS, MARKS = 250_000, ".,!?;:"
+KNOWN_WORDS, LOT_WORDS, MARKS = 250_000, 50_000, ".,!?;:"
 
 
 def default_tokenizer() -> str:
@@ -42,8 +43,8 @@ class Words:
     """Ids of a tokenizer, as bytes of 32-bit integers, by chunk of text between spaces and line feeds.
 
     This tokenizer drops white space and splits letters from marks before it merges, so no token spans a chunk's end, or
-    a letter and the sentence marks after it; it lower-cases, so A-Z of an ASCII chunk can be lower-cased before. Chunks
-    are remembered within a bound.
+    a Latin-1 letter (others may fold to a letter and a mark) and the sentence marks after it; it lower-cases, so A-Z of
+    an ASCII chunk can be lower-cased before. Chunks are remembered within a bound.
     """
 
     def __init__(self, path: str):
@@ -51,25 +52,55 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.stems, self.chunks = Recent(self.fresh, KNOWN_WORDS), Recent(self.joined, KNOWN_WORDS)
-
-    def fresh(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids that close a pre-token
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.stems, self.chunks = Recent(self.fresh, 2 * KNOWN_WORDS), Recent(self.joined, KNOWN_WORDS)
+
+    def fresh(self, stems: list[str]) -> list[bytes]:
+        """Ids of new stems. Runs of letters are one pre-token each: they are encoded as one text and told apart by the
+        ids that close a pre-token; should their number not fit, they are encoded one by one like all others."""
+        plain = [s for s in stems if s.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        out, data = {}, ids.tobytes()
+        if len(ends) == len(plain) and (not plain or ends[-1] == len(ids)):
+            at = [0, *(4 * ends).tolist()]
+            out = {s: data[a:b] for s, a, b in zip(plain, at[:-1], at[1:], strict=True)}
+        rest = [s for s in stems if s not in out]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((s, array("I", e.ids).tobytes()) for s, e in zip(rest, found, strict=True))
+        return [out[s] for s in stems]
 
     def joined(self, chunks: list[str]) -> list[bytes]:
         stems, marks = [], []
         for c in chunks:
             stem = c.rstrip(MARKS)
-            if not stem or not stem[-1].isalpha():
+            if not stem or stem[-1] > "\xff" or not stem[-1].isalpha():
                 stem = c
             stems.append(stem.lower() if stem.isascii() and "|" not in stem else stem)
             marks.append(c[len(stem) :])
         return [a + b for a, b in zip(self.stems.many(stems), self.stems.many(marks), strict=True)]
 
-    def encode(self, text: str | None, end_id: int = END_ID) -> np.ndarray:
-        chunks = (text or "").replace("\n", " ").split(" ")
-        out = [b"".join(self.chunks.many(chunks[at : at + KNOWN_WORDS])) for at in range(0, len(chunks), KNOWN_WORDS)]
-        return np.append(np.frombuffer(b"".join(out), "<u4"), np.array([end_id], "<u4"))
+    def encode(self, texts: Iterable[str | None], end_id: int = END_ID) -> Iterator[np.ndarray]:
+        """Ids of texts, each with the end id; texts are looked up together, in lots of about LOT_WORDS chunks."""
+        lot, sizes = [], []
+
+        def found() -> Iterator[np.ndarray]:
+            ids, at = [], 0
+            for begin in range(0, len(lot), LOT_WORDS):
+                ids += self.chunks.many(lot[begin : begin + LOT_WORDS])
+            for n in sizes:
+                yield np.append(np.frombuffer(b"".join(ids[at : at + n]), "<u4"), np.array([end_id], "<u4"))
+                at += n
+
+        for t in texts:
+            chunks = (t or "").replace("\n", " ").split(" ")
+            lot += chunks
+            sizes.append(len(chunks))
+            if len(lot) >= LOT_WORDS:
+                yield from found()
+                lot, sizes = [], []
+        yield from found()
 
 
 @functools.cache
@@ -99,7 +130,7 @@ def fitted_dictionary(docs: DataFrame, text: str, key: str, path: str) -> bytes:
     @F.arrow_udf("binary")
     def serialized(texts: pa.Array) -> pa.Array:
         words = words_of(path)
-        return pa.array([words.encode(t.as_py()).astype(f"<u{words.width}").tobytes() for t in texts], pa.binary())
+        return pa.array([ids.astype(f"<u{words.width}").tobytes() for ids in words.encode(t.as_py() for t in texts)], pa.binary())
 
     short = docs.where(F.length(text) <= SAMPLE_CHARS)
     n = short.count()
@@ -147,8 +178,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", key: str = "d
             return pa.RecordBatch.from_pylist([dict(zip(block_schema().names, row, strict=True))], block_schema())
 
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                found = words.encode(t.as_py(), end_id)
+            for k, found in zip(batch.column(0), words.encode((t.as_py() for t in batch.column(1)), end_id), strict=True):
                 frame = squeeze.compress(found.astype(f"<u{words.width}").tobytes())
                 ids.append(k.as_py())
                 counts.append(len(found))
