@@ -30,7 +30,7 @@ from .recent import Recent
 END_ID = 1
 #: Bounds of the dictionary's sample: documents and their characters; its size; level; bytes of a block before it is closed.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL, BLOCK_BYTES = 2000, 8000, 65536, 3, 1 << 20
-KNOWN_WORDS, LOT_WORDS, MARKS = 250_000, 50_000, ".,!?;:"
+KNOWN_WORDS, LOT_WORDS, MARKS = 400_000, 100_000, ".,!?;:"
 
 
 def default_tokenizer() -> str:
@@ -54,7 +54,8 @@ class Words:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids that close a pre-token
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.stems, self.chunks = Recent(self.fresh, 2 * KNOWN_WORDS), Recent(self.joined, KNOWN_WORDS)
+        self.marks: dict[str, bytes] = {}
+        self.stems, self.chunks = Recent(self.fresh, KNOWN_WORDS * 3 // 2), Recent(self.joined, KNOWN_WORDS)
 
     def fresh(self, stems: list[str]) -> list[bytes]:
         """Ids of new stems. Runs of letters are one pre-token each: they are encoded as one text and told apart by the
@@ -79,7 +80,11 @@ class Words:
                 stem = c
             stems.append(stem.lower() if stem.isascii() and "|" not in stem else stem)
             marks.append(c[len(stem) :])
-        return [a + b for a, b in zip(self.stems.many(stems), self.stems.many(marks), strict=True)]
+        if len(self.marks) > LOT_WORDS:
+            self.marks.clear()
+        for m in set(marks).difference(self.marks):
+            self.marks[m] = self.fresh([m])[0]
+        return [a + self.marks[m] for a, m in zip(self.stems.many(stems), marks, strict=True)]
 
     def encode(self, texts: Iterable[str | None], end_id: int = END_ID) -> Iterator[np.ndarray]:
         """Ids of texts, each with the end id; texts are looked up together, in lots of about LOT_WORDS chunks."""
