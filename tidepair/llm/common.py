@@ -15,13 +15,26 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Tables that cut() has written in this process.
+CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once, well compressed, to the shared folder and read them back."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    CUTS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of cut() whose readers are done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 #: Bytes that Spark puts into one Arrow batch for Python: a few whole texts rather than thousands.
 BATCH_BYTES = "16m"
 

@@ -42,27 +42,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     A source that shall give r times its size repeats all its documents floor(r) times and, once more, those documents
     that come first in a seeded order, up to the rest. The seeded order is the md5 of seed, key and text, so reruns agree.
-    Its running sums are made within (source, leading hex digits) and shifted by bucket totals: a hot source is no single
-    group.
-    Copies of a row share their turn. Null texts have size 0 and are taken 0 words; a null source is a source; an empty
+    Its running sums are made over (source, turn, size) alone, within (source, leading hex digits), and shifted by bucket
+    totals: a hot source is no single group. They give each source the last turn that is repeated once more, which whole
+    rows are then compared with; rows are only moved if there are too many sources to send to all tasks.
+    Copies of a row share their turn, and go together. Null texts have size 0 and are taken 0 words; a null source is a source; an empty
     table gives no rows.
     """
     known = lambda c: F.coalesce(F.col(f"row_{c}").cast("string"), F.lit(""))
     turn = F.md5(F.concat(F.lit(f"{seed}:"), known(key), F.lit(":"), known(text)))
-    sized = packed(docs, text, source, key, carry=carry).withColumn("size", n_words(F.col(f"row_{text}"))).withColumn("_turn", turn)
-    sized = cut(sized.drop(f"row_{text}", f"row_{key}").withColumnRenamed(f"row_{source}", "_source")
-                .withColumn("_bucket", F.substring("_turn", 1, digits)))
+    whole = packed(docs, text, source, key, carry=carry).select("row", F.col(f"row_{source}").alias("_source"), n_words(F.col(f"row_{text}")).alias("size"), turn.alias("_turn"))
+    sized = cut(whole.select("_source", "size", "_turn", F.substring("_turn", 1, digits).alias("_bucket")))
     sizes = cut(sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_part")))
     targets = cut(source_targets(sizes.groupBy(F.col("_source").alias("source")).agg(F.sum("_part").alias("source_size")), weights, epochs))
     before = F.sum("_part").over(W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
-    plan = starts.join(targets, F.col("_s").eqNullSafe(F.col("source")))
-    inside = F.sum("size").over(W.partitionBy("_source", "_bucket").orderBy("_turn").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    out = sized.withColumn("_inside", inside)
-    out = out.join(plan, out["_source"].eqNullSafe(plan["_s"]) & (out["_bucket"] == plan["_b"]))
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     rest = (rate - F.floor(rate)) * F.col("source_size")
-    extra = (F.col("_start") + F.col("_inside") + F.col("size") / 2 < rest).cast("long")
+    plan = starts.join(targets, F.col("_s").eqNullSafe(F.col("source"))).select("_s", "_b", "_start", rest.alias("_rest"))
+    inside = F.sum("size").over(W.partitionBy("_source", "_bucket").orderBy("_turn").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    turns = sized.withColumn("_inside", inside).join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    again = turns.where(F.col("_start") + F.col("_inside") + F.col("size") / 2 < F.col("_rest"))
+    until = again.groupBy(F.col("_source").alias("_t")).agg(F.max("_turn").alias("_until"))
+    sources = cut(targets.join(until, F.col("source").eqNullSafe(F.col("_t")), "left").select("source", "source_size", "target", "_until"))
+    out = whole.join(sources, F.col("_source").eqNullSafe(F.col("source")))
+    extra = F.coalesce((F.col("_turn") <= F.col("_until")).cast("long"), F.lit(0))
     out = out.withColumn("repeats", F.floor(rate) + extra)
     return out.select("row", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
