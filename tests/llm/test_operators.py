@@ -206,6 +206,54 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.op2_decontamination(empty, bench).count() == 0 and decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_misses_nothing(monkeypatch):
+    """Items of random sizes, repeated words among them, copied at random offsets with random edits, against all windows."""
+    r, shared = random.Random(11), decontaminate.SHINGLE
+    items = [[f"b{r.randint(0, r.choice([3, 40, 4000]))}" for _ in range(r.choice([3, 5, 6, 14, 20, 33, 55, 64, 90, 130, 190, 230, 410]))] for _ in range(60)]
+    items += [items[5][:-1] + ["other"], items[9][2:], ["x"] * 30, ["x", "y"] * 20]
+    index = decontaminate.build_index([(k, " ".join(w)) for k, w in enumerate(items)])
+    noise = lambda n: [f"n{r.randint(0, 9)}" for _ in range(n)]
+    texts = [["x"] * 25, ["x"] * 90, ["y", "x"] * 30, [], ["b1"]]
+    for w in items * 2:
+        w = w.copy()
+        for _ in range(r.choice([0, 0, 1, 1, 2, len(w) // 45, len(w) // 30])):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 2)] = noise(r.randint(0, 2))
+        cut = r.choice([0, 0, 0, len(w) // 12])
+        texts.append(noise(r.choice([0, 3, 61])) + w[cut:] + noise(r.choice([0, 0, 17])))
+    for w in [w for w in items if 50 < len(w) < 200] * 4:  # similarities just above the threshold
+        w = w.copy()
+        for at in r.sample(range(5, len(w) - 5), len(w) // 45):
+            w[at] = "edit"
+        texts.append(noise(r.randint(0, 90)) + w + noise(r.randint(20, 90)))
+    shingles = lambda w: [tuple(w[i : i + shared]) for i in range(max(1, len(w) - shared + 1))] if w else []
+
+    def want(text):
+        out = {}
+        for k, item in enumerate(items):
+            cuts = -(-len(item) // decontaminate.LONGEST)
+            for piece in {tuple(p) for p in [item, *np.array_split(item, cuts)]}:
+                bag, n = Counter(shingles(piece)), min(len(piece), len(text))
+                if not set(shingles(text[:])) & set(bag) and len(piece) >= shared:
+                    continue
+                for at in range(len(text) - n + 1):
+                    mine = Counter(shingles(text[at : at + n]))
+                    both = (mine & bag).total()
+                    score = both / max(1, mine.total() + bag.total() - both)
+                    if score >= decontaminate.SIMILARITY:
+                        out[k] = max(out.get(k, (0, 0)), (score, -at))
+        return {k: (score, -at) for k, (score, at) in out.items()}
+
+    wanted = [want(t) for t in texts]
+    lines = [" ".join(w) for w in texts]
+    got = decontaminate.matches(lines, index)
+    missed = [(t, k) for t, x in enumerate(wanted) for k in x if k not in got[t]]
+    assert not missed and got == wanted and sum(map(len, wanted)) > 120
+    monkeypatch.setattr(decontaminate, "BYTES_AT_ONCE", 600)  # many batches, long texts in runs
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 3)
+    assert decontaminate.matches(lines, index) == wanted
+
+
 def test_hamming_search_is_complete():
     r = np.random.default_rng(1)
     texts = [(i, " ".join(f"w{x}" for x in r.integers(0, 99, 30))) for i in range(50)]

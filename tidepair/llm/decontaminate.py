@@ -1,7 +1,9 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming search by blocks, exact shingle similarity."""
+"""Benchmark decontamination: item-sized windows at every word, found by shared shingles, compared exactly; none is missed."""
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -18,8 +20,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 11, 4
 #: Window sizes grow by RATIO; items above LONGEST words are cut into segments of at most that size.
 RATIO, SHORTEST, LONGEST = 1.1, 5, 200
-#: Items searched for at once, and bytes of text handled at once.
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 1 << 19
+#: Items searched for at once, bytes of text handled at once, and (place, item) pairs looked at at once.
+ITEMS_AT_ONCE, BYTES_AT_ONCE, PAIRS_AT_ONCE = 20_000, 1 << 19, 1 << 20
+#: Leading bits of a shingle that a table of those in any item is kept by.
+LEADING = 22
 
 LOW = np.uint64(0x0101010101010101)
 
@@ -59,35 +63,82 @@ class Class:
 
 @dataclass
 class Index:
+    """Pieces are items, and for items above LONGEST words their segments too. known: the shingles of all pieces, sorted."""
+
     ids: list[int]
-    sizes: list[int]
-    bags: list[Counter]
-    classes: list[Class]
+    sizes: np.ndarray
+    known: np.ndarray
+    some: np.ndarray  # leading bits that a known shingle has
+    begin: np.ndarray  # piece i holds known shingles held[begin[i]:begin[i + 1]], in order, so many times each
+    held: np.ndarray
+    times: np.ndarray
+    rare_begin: np.ndarray  # known shingle k is in the prefix of pieces rare[rare_begin[k]:rare_begin[k + 1]]
+    rare: np.ndarray
     short: dict[int, list[int]]  # items of fewer words than a shingle, by their one shingle
 
+    @functools.cached_property
+    def classes(self) -> list[Class]:
+        """The pieces by SimHash, for within_radius(); the search, which has to find all, does without."""
+        return hamming_classes(self)
+
 
 def near_values(reach: int) -> np.ndarray:
     masks = np.arange(1 << 16)
     return masks[np.bitwise_count(masks.astype(np.uint16)) <= reach].astype(np.uint64)
 
 
+def least_shared(n, m):
+    """Shingles that bags of n and m share at least if they are similar: both / (n + m - both) >= SIMILARITY."""
+    return np.ceil(SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6).astype(np.int64)
+
+
 def build_index(items: list[tuple[int, str | None]]) -> Index:
-    """Index of items; those without words can't be met and are left out."""
-    ids, sizes, bags, all_, short = [], [], [], [], {}
+    """Index of items; those without words can't be met and are left out.
+
+    A window, which holds no more shingles than the piece, or the shorter whole text, is similar only if it lacks less
+    than 1 - SIMILARITY of the piece's shingles. So it has at least one of any so many of them and one more: the prefix,
+    for which those of the fewest pieces are taken.
+    """
+    ids, sizes, bags, short = [], [], [], {}
     for name, text in items:
         words = word_hashes((text or "").encode())
         cuts = -(-len(words) // LONGEST)
-        for piece in np.array_split(words, cuts) if cuts else []:
+        for piece in [*(np.array_split(words, cuts) if cuts > 1 else []), *([words] if cuts else [])]:
             s = shingle_hashes(piece, SHINGLE)
             if len(piece) < SHINGLE:
                 short.setdefault(int(s[0]), []).append(name)
                 continue
             ids.append(name)
             sizes.append(len(piece))
-            bags.append(Counter(s.tolist()))
-            all_.append(fingerprints(lanes(s), np.zeros(1, np.int64), len(s))[0])
-    known, classes = window_sizes(), []
-    own = np.argmin(np.abs(known[None, :] - np.array(sizes, int).reshape(-1, 1)), axis=1) if sizes else []
+            bags.append(np.unique(s, return_counts=True))
+    begin = np.concatenate(([0], np.cumsum([len(s) for s, _ in bags]))).astype(np.int64)
+    all_ = np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in bags)])
+    times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in bags)])
+    known, held, pieces = np.unique(all_, return_inverse=True, return_counts=True)
+    some = np.zeros(1 << LEADING, bool)
+    some[known >> np.uint64(64 - LEADING)] = True
+    rare, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, size in enumerate(sizes):
+        mine, n = slice(begin[i], begin[i + 1]), size - SHINGLE + 1
+        order = np.argsort(pieces[held[mine]], kind="stable")
+        enough = n - math.ceil(SIMILARITY * n - 1e-6) + 1
+        order = order[: np.searchsorted(np.cumsum(times[mine][order]), enough) + 1]
+        rare.append(held[mine][order])
+        of.append(np.full(len(order), i))
+    rare, of = np.concatenate(rare), np.concatenate(of)
+    order = np.argsort(rare, kind="stable")
+    rare_begin = np.concatenate(([0], np.cumsum(np.bincount(rare, minlength=len(known))))).astype(np.int64)
+    return Index(ids, np.array(sizes, np.int64), known, some, begin, held, times, rare_begin, of[order], short)
+
+
+def hamming_classes(index: Index) -> list[Class]:
+    all_ = []
+    for i in range(len(index.ids)):
+        mine = slice(index.begin[i], index.begin[i + 1])
+        s = np.repeat(index.known[index.held[mine]], index.times[mine])
+        all_.append(fingerprints(lanes(s), np.zeros(1, np.int64), len(s))[0])
+    known, classes, sizes = window_sizes(), [], index.sizes
+    own = np.argmin(np.abs(known[None, :] - sizes.reshape(-1, 1)), axis=1) if len(sizes) else []
     reach = near_values(RADIUS // BLOCKS)
     for c in sorted(set(own)):
         of = np.flatnonzero(own == c)
@@ -100,7 +151,7 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
             near.append((order // len(reach)).astype(np.int32))
             begin.append(np.concatenate(([0], np.cumsum(np.bincount(values, minlength=1 << 16)))).astype(np.int64))
         classes.append(Class(int(known[c]), prints, of, begin, near))
-    return Index(ids, sizes, bags, classes, short)
+    return classes
 
 
 def within_radius(prints: np.ndarray, c: Class) -> tuple[np.ndarray, np.ndarray]:
@@ -120,18 +171,30 @@ def within_radius(prints: np.ndarray, c: Class) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(windows), np.concatenate(items)
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard similarity of bags of shingles."""
-    both = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    return both / max(1, a.total() + b.total() - both)
-
+def best_window(at: np.ndarray, found: np.ndarray, low: int, high: int, size: int, piece: int, index: Index) -> tuple[int, int]:
+    """Most shingles (as a bag) that a window of size shingles within [low, high) shares with a piece, and where; the first of equals.
 
-def best_match(shingles: np.ndarray, low: int, high: int, item: int, index: Index) -> tuple[float, int]:
-    """Best similarity of item-sized windows that begin in [low, high], and where; the first of equals."""
-    n, found = index.sizes[item] - SHINGLE + 1, (-1.0, 0)
-    for at in range(low, high + 1):
-        found = max(found, (similarity(Counter(shingles[at : at + n].tolist()), index.bags[item]), -at))
-    return found[0], -found[1]
+    found: the known shingles at places at. One that the piece holds n times counts for the windows that hold it and fewer
+    than n of the same before it.
+    """
+    mine = slice(index.begin[piece], index.begin[piece + 1])
+    here = slice(*np.searchsorted(at, (low, high)))
+    held, at, found = index.held[mine], at[here], found[here]
+    k = np.minimum(np.searchsorted(held, found), len(held) - 1)
+    own = held[k] == found
+    k, at = k[own], at[own]
+    order = np.argsort(k, kind="stable")
+    k, at = k[order], at[order]
+    before = np.arange(len(k)) - index.times[mine][k]
+    same = np.maximum(before, 0)
+    after = np.where((before >= 0) & (k[same] == k), at[same] + 1, low)
+    first, last = np.maximum(np.maximum(after, at - size + 1), low), np.minimum(at, high - size)
+    first, last = first[first <= last], last[first <= last]
+    if not len(first):
+        return 0, low
+    places, which = np.unique(np.concatenate((first, last + 1)), return_inverse=True)
+    both = np.cumsum(np.bincount(which[: len(first)], minlength=len(places)) - np.bincount(which[len(first) :], minlength=len(places)))
+    return int(both.max()), int(places[both.argmax()])
 
 
 def matches_of(words: np.ndarray, begin: np.ndarray, index: Index) -> list[tuple[int, int, float, int]]:
@@ -148,40 +211,47 @@ def matches_of(words: np.ndarray, begin: np.ndarray, index: Index) -> list[tuple
                 t = int(np.searchsorted(begin, at, "right")) - 1
                 if at + k <= begin[t + 1]:
                     out += [(t, name, 1.0, at - int(begin[t])) for name in index.short[int(h[at])]]
-    if len(words) < SHINGLE or not index.classes:
+    if len(words) < SHINGLE or not index.ids:
         return out
     shingles = shingle_hashes(words, SHINGLE)
-    sums = lanes(shingles)
-    whole = np.flatnonzero(size >= SHINGLE)
-    owner = np.repeat(np.arange(len(size)), size)
-    left = begin[owner + 1] - np.arange(len(words))  # words to the end of the text
-    place = np.arange(len(words)) - begin[owner]
-    for c in index.classes:
-        fits, stride = left >= c.size, max(1, c.size // 10)
-        starts = np.flatnonzero(fits & ((place % stride == 0) | (left == c.size)))
-        prints = fingerprints(sums, starts, c.size - SHINGLE + 1)
-        brief = whole[size[whole] < c.size]
-        if len(brief):
-            prints = np.concatenate((prints, fingerprints(sums, begin[brief], size[brief] - SHINGLE + 1)))
-            starts = np.concatenate((starts, begin[brief]))
-        w, i = within_radius(prints, c)
-        tried: dict[tuple[int, int], int] = {}
-        for start, item in sorted(set(zip(starts[w].tolist(), c.of[i].tolist(), strict=True))):
-            t = int(owner[start])
-            reach = stride + abs(c.size - index.sizes[item]) + 1
-            low = max(int(begin[t]), start - reach, tried.get((t, item), 0))
-            high = min(start + reach, max(int(begin[t]), int(begin[t + 1]) - index.sizes[item]))
-            tried[t, item] = max(high + 1, tried.get((t, item), 0))
-            if low <= high:
-                score, at = best_match(shingles[: begin[t + 1] - SHINGLE + 1], low, high, item, index)
-                if score >= SIMILARITY:
-                    out.append((t, index.ids[item], score, at - int(begin[t])))
+    at = np.flatnonzero(index.some[shingles >> np.uint64(64 - LEADING)])
+    found = np.minimum(np.searchsorted(index.known, shingles[at]), len(index.known) - 1)
+    owner = np.searchsorted(begin, at, "right") - 1
+    real = (index.known[found] == shingles[at]) & (at + SHINGLE <= begin[owner + 1])
+    at, found, owner = at[real], found[real], owner[real]
+    if not len(at):
+        return out
+    n = index.rare_begin[found + 1] - index.rare_begin[found]
+    pairs = []
+    lot = (np.cumsum(n) - n) // PAIRS_AT_ONCE
+    for hits in np.split(np.arange(len(at)), np.flatnonzero(np.diff(lot)) + 1):
+        h = np.repeat(hits, n[hits])
+        i = index.rare[index.rare_begin[found[h]] + np.arange(len(h)) - np.repeat(np.cumsum(n[hits]) - n[hits], n[hits])]
+        whole, full = size[owner[h]] - SHINGLE + 1, index.sizes[i] - SHINGLE + 1
+        low = np.maximum(begin[owner[h]], at[h] - full + 1)
+        high = np.minimum(begin[owner[h] + 1] - SHINGLE + 1, at[h] + full)
+        near = np.searchsorted(at, high) - np.searchsorted(at, low)  # as many as any window there can share
+        good = near >= least_shared(full, np.minimum(full, whole))
+        pairs.append(np.stack((owner[h], i, low, high))[:, good])
+    t, i, low, high = np.concatenate(pairs, axis=1)
+    order = np.lexsort((low, i, t))
+    t, i, low, high = t[order], i[order], low[order], high[order]
+    fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (low[1:] >= high[:-1]))) if len(t) else np.zeros(0, bool)
+    ends = np.flatnonzero(np.concatenate((fresh[1:], [True]))) if len(t) else np.zeros(0, int)
+    for text, piece, left, right in zip(t[fresh].tolist(), i[fresh].tolist(), low[fresh].tolist(), high[ends].tolist(), strict=True):
+        full = int(index.sizes[piece]) - SHINGLE + 1
+        width = min(full, int(size[text]) - SHINGLE + 1)
+        both, place = best_window(at, found, left, right, width, piece, index)
+        score = both / (full + width - both)
+        if score >= SIMILARITY:
+            out.append((text, index.ids[piece], score, place - int(begin[text])))
     return out
 
 
 def matches(texts: list[str | None], index: Index) -> list[dict[int, tuple[float, int]]]:
     """Per text: item id -> (best similarity, first word of the first such window)."""
     out: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
+    longest = max(SHINGLE, *index.sizes.tolist(), 0)
 
     def search(names: list[int], bases: list[int], words: np.ndarray, begin: np.ndarray) -> None:
         for t, item, score, at in matches_of(words, begin, index):
@@ -192,10 +262,10 @@ def matches(texts: list[str | None], index: Index) -> list[dict[int, tuple[float
     batch, names, held = [], [], 0
     for k, text in enumerate(texts):
         raw = (text or "").encode()
-        if len(raw) > BYTES_AT_ONCE:  # a long text alone, in runs of words that overlap by more than a window
+        if len(raw) > BYTES_AT_ONCE:  # a long text alone, in runs of words that overlap by the longest window
             words = np.concatenate([word_stream([part])[0] for part in slices(raw, BYTES_AT_ONCE)])
-            for base in range(0, max(1, len(words)), BYTES_AT_ONCE // 4):
-                run = words[base : base + BYTES_AT_ONCE // 4 + 2 * LONGEST]
+            for base in range(0, max(1, len(words) - longest), BYTES_AT_ONCE // 4):
+                run = words[base : base + BYTES_AT_ONCE // 4 + longest]
                 search([k], [base], run, np.array([0, len(run)]))
             continue
         batch.append(raw)
