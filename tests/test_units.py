@@ -295,3 +295,9 @@ def test_clinical_json_shapes(spark):
     for bad in ("{broken", '{"other": 1}'):
         with pytest.raises(Exception, match="no list of cases"):
             R.parse_clinical_json(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+def test_gsea_null_is_fine_enough_for_bh(spark):
+    ranked = spark.createDataFrame([(f"g{i}", 30.0 - i) for i in range(60)], "gene_id string, score double")
+    sets = spark.createDataFrame([("top", f"g{i}") for i in range(8)], "set_name string, gene_id string")
+    assert enrich.gsea_nes(ranked, sets).first().p_value == pytest.approx(1 / 1001)

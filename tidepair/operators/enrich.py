@@ -71,7 +71,7 @@ def gsea_es(ranked: DataFrame, sets: DataFrame, min_overlap: int = 1) -> DataFra
     return running_es(hits, ["set_name"], n).where(F.col("n_hit") >= min_overlap)
 
 
-def gsea_nes(ranked: DataFrame, sets: DataFrame, permutations: int = 100, min_overlap: int = 1, seed: int = 0) -> DataFrame:
+def gsea_nes(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, min_overlap: int = 1, seed: int = 0) -> DataFrame:
     """ES with a permutation null: NES, p, BH q and the first 50 hit genes.
 
     The null depends on the set size only: one seeded gene order per permutation serves every
