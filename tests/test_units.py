@@ -301,3 +301,21 @@ def test_gsea_null_is_fine_enough_for_bh(spark):
     ranked = spark.createDataFrame([(f"g{i}", 30.0 - i) for i in range(60)], "gene_id string, score double")
     sets = spark.createDataFrame([("top", f"g{i}") for i in range(8)], "set_name string, gene_id string")
     assert enrich.gsea_nes(ranked, sets).first().p_value == pytest.approx(1 / 1001)
+
+
+def test_reference_counts(spark, monkeypatch):
+    """Resamples, iterations and components as many as the reference takes."""
+    import __spark_entry__ as entry
+
+    seen, real = [], outcomes.quantiles
+    monkeypatch.setattr(outcomes, "quantiles", lambda df, keys, value, *a: (seen.append(df) if value == "_m" else None, real(df, keys, value, *a))[1])
+    metrics = [(m, i, f"p{i}", 1.0 + i * (m == "world_finetuned"), 1.0, 0.1 * i, 0.2) for m in ("world_pretrained", "world_finetuned") for i in range(4)]
+    outcomes.finetune_comparison(spark.createDataFrame(metrics, "method string, row_index int, patient_id string, mse double, mae double, post_pearson double, delta_pearson double"))
+    assert seen[0].where("metric = 'mse'").count() == 2000
+    steps, model = [], outcomes.LogisticRegression
+    monkeypatch.setattr(outcomes, "LogisticRegression", lambda **a: (steps.append(a["maxIter"]), model(**a))[1])
+    df = spark.createDataFrame([(i % 2, [float(i), float(i * i % 7)], i // 2 % 2) for i in range(16)], "fold int, x array<double>, label int")
+    assert outcomes.response_classifier(df, "fold", "x", "label").count() == 16 and steps == [2000, 2000]
+    pred = [r.pred for r in entry.queries()["baseline_pca_ridge"](spark, "/root/testdata/sf0.001").where("fold = 0").collect()]
+    x = np.array(pred)
+    assert np.linalg.matrix_rank(x - x.mean(axis=0), tol=1e-3) == min(32, len(x) - 1, x.shape[1])

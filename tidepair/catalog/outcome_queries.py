@@ -353,7 +353,7 @@ def _vectors(t):
 
 @query()
 def baseline_pca_ridge(t):
-    out = O.baseline_pca_ridge(_vectors(t), "fold", "x", "y", components=16)
+    out = O.baseline_pca_ridge(_vectors(t), "fold", "x", "y", components=32)
     return out.select("vec_id", "fold", F.transform("pred", lambda v: F.round(v, 6)).alias("pred"))
 
 

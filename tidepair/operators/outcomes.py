@@ -314,7 +314,7 @@ def response_classifier(rows: DataFrame, fold: str, x: str, label: str, componen
             for cls, m in counts.items():
                 weight = F.when(F.col(label) == cls, n / (2.0 * m)).otherwise(weight)
             model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                                       standardization=False, maxIter=200).fit(
+                                       standardization=False, maxIter=2000).fit(
                 scale.transform(train).withColumn("_w", weight).withColumn("_y", F.col(label).cast("double")))
             scored = model.transform(scale.transform(test)).withColumn("probability", vector_to_array("probability")[1])
         scored = scored.select(*rows.columns, "probability")
@@ -334,7 +334,7 @@ def grouped_stratified_folds(rows: DataFrame, group: str, label: str, folds: int
     return dealt.select(group, F.when(turn % 2 == 0, slot).otherwise(folds - 1 - slot).cast("bigint").alias("fold"))
 
 
-def finetune_comparison(metrics: DataFrame, reps: int = 200) -> DataFrame:
+def finetune_comparison(metrics: DataFrame, reps: int = 2000) -> DataFrame:
     """Paired improvement of world_finetuned over world_pretrained per metric, averaged per patient.
 
     metrics: method, row_index, patient_id, mse, mae, post_pearson, delta_pearson.
