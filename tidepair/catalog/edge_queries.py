@@ -51,11 +51,15 @@ SCORED = f"""{PREP}, {_side('source')}, {_side('target')},
 
 
 def _norm(t, side):
-    return E.normalize(E.prepare(t("edges")), side)
+    base, n = E.prepare_counted(t("edges"))
+    return E.normalize(base, side, n)
 
 
-def _ranked(t, side):
-    return E.ranked_side(E.prepare(t("edges")), side)
+def _ranked(t, *sides):
+    out, n = E.prepare_counted(t("edges"))
+    for side in sides:
+        out = E.ranked_side(out, side, n)
+    return out
 
 
 def _scored(t):
@@ -89,7 +93,7 @@ def rank_in_target(t):
 
 
 def _flags(t):
-    ranked = E.ranked_side(_ranked(t, "source"), "target", E.prepare(t("edges")))
+    ranked = _ranked(t, "source", "target")
     return ranked.select("grp", "ord", (F.col("source_rank") == 1).cast("int").alias("is_top1_target"),
                          (F.col("target_rank") == 1).cast("int").alias("is_top1_source"))
 
@@ -109,7 +113,8 @@ def mutual_top1(t):
 
 
 def _cells(t, side="source"):
-    return E.cell_metrics(_ranked(t, side), t("edge_sizes"), side)
+    base, n = E.prepare_counted(t("edges"))
+    return E.cells_of(E.measured_side(base, t("edge_sizes"), side, n), side)
 
 
 @query(f"""WITH {PREP}, {_side('source')}, {_side('target')}
@@ -161,7 +166,8 @@ def percentile_rank(t):
  round({COMB.format(p='c_source')}, 9) AS combined FROM c_source UNION ALL
  SELECT 'target', grp, target_id, round({COMB.format(p='c_target')}, 9) FROM c_target""")
 def combined_concentration(t):
-    one = lambda s: E.concentration(_cells(t, s), s, E.cell_bound(t("edge_sizes"), s)).select(
+    measured, n = E.measure_edges(t("edges"), t("edge_sizes"))
+    one = lambda s: E.concentration(E.cells_of(measured, s), s, n).select(
         F.lit(s).alias("side"), "grp", F.col(s + "_id").alias("cell_id"), _r("combined"))
     return one("source").unionByName(one("target"))
 
@@ -191,7 +197,7 @@ def confidence_score(t):
  UNION ALL SELECT 'mutual_top1', grp, ord FROM scored WHERE source_rank = 1 AND target_rank = 1)
  SELECT selection, grp, count(*) AS n, sum(ord)::BIGINT AS ord_sum FROM u GROUP BY ALL""")
 def pair_selection(t):
-    ranked = E.ranked_side(_ranked(t, "source"), "target", E.prepare(t("edges")))
+    ranked = _ranked(t, "source", "target")
     flags = ranked.select("grp", "ord", (F.col("source_rank") == 1).alias("a"), (F.col("target_rank") == 1).alias("b"))
     picked = F.array_compact(F.array(
         F.lit("all"), F.when(F.col("a"), F.lit("top1")), F.when(F.col("b"), F.lit("top1_target")),
@@ -206,9 +212,12 @@ SELECTED = f"""{SCORED}, cand AS (SELECT *, round(source_combined, 12) AS score
 
 
 def _selected(t):
-    scored = cut(_scored(t))  # read several times below: written once to the shared folder
-    cand = E.select_pairs(scored, "top1").withColumn("score", F.round("source_combined", 12))
-    return scored, cand, E.confidence_select(cand, ["grp"], "score", 0.25)
+    """Measured edges, the best edge of each source with its score, those at or above the group's threshold, and the
+    number of edges."""
+    measured, n = E.measure_edges(t("edges"), t("edge_sizes"))
+    cand = E.select_pairs(E.add_concentration(measured, ["source"], n), "top1")
+    cand = cut(cand.select("grp", "ord", F.round("source_combined", 12).alias("score")))
+    return measured, cand, E.confidence_select(cand, ["grp"], "score", 0.25, probe=n), n
 
 
 @query(f"WITH {SELECTED} SELECT grp, ord, round(score, 9) AS score, round(threshold, 9) AS threshold FROM kept")
@@ -231,8 +240,8 @@ _MED = {f"{s}_{m}_median": (s, c) for s in ("source", "target")
  SELECT *, round(n_after / n_before, 9) AS retained_of_all, round(n_after / n_candidates, 9) AS retained_of_candidates
  FROM a JOIN b USING (grp) JOIN k USING (grp) JOIN s USING (grp) JOIN x USING (grp)""")
 def edge_filter_summary(t):
-    scored, cand, kept = _selected(t)
-    out = E.filter_summary(scored, kept, cand, "score", max(E.cell_bound(t("edge_sizes"), s) for s in ("source", "target")))
+    measured, cand, kept, n = _selected(t)
+    out = E.filter_summary(measured, kept, cand, "score", n)
     return out.select(*[_r(c) if d == "double" else c for c, d in out.dtypes])
 
 
@@ -258,14 +267,10 @@ def _matrix_sql(side):
 
 
 def _matrix(t, side):
-    groups = t("edge_sizes").select("grp")
-    cells = (t("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("source_id"))
-             if side == "source" else
-             t("part").select(F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("target_id")))
-    # every cell belongs to every group: the group list (a handful of files) rides along as an array
-    listed = groups.agg(F.collect_set("grp").alias("g")).scalar()
-    dim = cells.select(F.explode(listed).alias("grp"), side + "_id")
-    out = E.matrix_confidence(E.prepare(t("edges")), dim, t("edge_sizes"), side)
+    # every cell belongs to every group, whether it has an edge there or not: only their number is needed
+    cells = t("supplier" if side == "source" else "part").agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_cells = t("edge_sizes").select("grp", cells.alias("n_cells"))
+    out = E.matrix_confidence(t("edges"), n_cells, t("edge_sizes"), side)
     return out.select("grp", "ord", F.col("rank").cast("bigint").alias("rank"), "is_top1", _r(side + "_p", 9, "p"),
                       _r("entropy_confidence"), _r("ratio_log", 8), _r("combined"))
 
@@ -286,13 +291,15 @@ NUM = f"""WITH {SELECTED}, e AS (SELECT grp, ord, row_number() OVER (PARTITION B
 
 @query(NUM + " SELECT grp, ord, concat(grp, '|highconf_pair_', pair_no - 1) AS pair_id FROM e")
 def pair_id(t):
-    return E.pair_ids(_selected(t)[2].select("grp", "ord")).select("grp", "ord", "pair_id")
+    _, _, kept, n = _selected(t)
+    return E.pair_ids(cut(kept.select("grp", "ord")), bound=n).select("grp", "ord", "pair_id")
 
 
 @query(f"""WITH {PREP}, e AS (SELECT grp, ord, row_number() OVER (PARTITION BY grp ORDER BY ord) AS edge_no FROM prep)
  SELECT grp, ord, concat(grp, '|edge_', edge_no - 1) AS edge_id FROM e""")
 def edge_id(t):
-    return E.pair_ids(E.prepare(t("edges")).select("grp", "ord")).select("grp", "ord", "edge_id")
+    base, n = E.prepare_counted(t("edges"))
+    return E.pair_ids(base.select("grp", "ord"), bound=n).select("grp", "ord", "edge_id")
 
 
 _SHARDED = "WITH sh AS (SELECT *, ord // 500 AS shard FROM pairs)"
@@ -372,7 +379,7 @@ def stability_confidence(t):
  target_rank <= 1 AS cycle_1, target_rank <= 5 AS cycle_5, target_rank <= 10 AS cycle_10
  FROM n_source s JOIN n_target t ON s.grp = t.grp AND s.ord = t.ord WHERE source_rank = 1""")
 def cycle_consistency(t):
-    return E.cycle_consistency(E.ranked_side(_ranked(t, "source"), "target", E.prepare(t("edges"))))
+    return E.cycle_consistency(_ranked(t, "source", "target"))
 
 
 @query(f"""WITH {PREP}, m AS (SELECT grp, source_id, sum(probability) AS moved, count(*) / 32.0::DOUBLE AS prior_mass FROM prep GROUP BY ALL)

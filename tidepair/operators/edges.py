@@ -1,12 +1,11 @@
 """Confidence of probabilistic source -> target edges within each pair-file group."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidepair.functions.clean import finite, strip_concat_suffix, to_number
-from tidepair.plans.session import cut
-from tidepair.plans.ordered import (attach_one, is_hot, join_on, percent_rank_avg, quantiles, row_rank, running,
-                                    with_totals)
+from tidepair.plans.session import cut, cut_counted, hot_rows
+from tidepair.plans.ordered import attach_one, is_hot, join_on, quantiles, row_rank, running, with_totals
 
 EPS = 1e-8
 # fixed values: weights of the concentration score and of the combined confidence
@@ -43,95 +42,141 @@ def prepare(edges: DataFrame) -> DataFrame:
         F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(0.0)).alias("probability"))
 
 
-def normalize(edges: DataFrame, side: str) -> DataFrame:
-    """Adds <side>_mass and <side>_p = p / (mass + eps)."""
-    out = with_totals(edges, ["grp", side + "_id"], **{side + "_mass": F.sum("probability")})
-    return out.withColumn(side + "_p", F.col("probability") / (F.col(side + "_mass") + F.lit(EPS)))
+def prepare_counted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """prepare(), written once, and its number of rows: a bound on every group, so that small tables need no counting."""
+    return cut_counted(prepare(edges))
+
+
+def _whole(keys) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.desc("probability"), "ord")
 
 
-def rank_side(edges: DataFrame, side: str) -> DataFrame:
-    """<side>_rank: 1-based rank of the normalised probability inside the cell, ties by input order."""
-    p = side + "_p"
-    probe = edges.select("grp", side + "_id")
-    return row_rank(edges, ["grp", side + "_id"], [(p, False), ("ord", True)], side + "_rank", probe)
+def normalize(edges: DataFrame, side: str, bound: int | None = None) -> DataFrame:
+    """Adds <side>_mass and <side>_p = p / (mass + eps): one window, or an aggregate and a join if a cell is hot.
+
+    `bound`: proven number of rows of the largest cell, if known.
+    """
+    keys, mass = ["grp", side + "_id"], side + "_mass"
+    if is_hot(edges, keys, bound):
+        out = with_totals(edges, keys, **{mass: F.sum("probability")})
+    else:
+        out = edges.withColumn(mass, F.sum("probability").over(Window.partitionBy(*keys)))
+    return out.withColumn(side + "_p", F.col("probability") / (F.col(mass) + F.lit(EPS)))
 
 
-def ranked_side(edges: DataFrame, side: str, probe: DataFrame | None = None) -> DataFrame:
-    """normalize + rank_side. Without a hot cell both come from one window over one sorted shuffle."""
+def ranked_side(edges: DataFrame, side: str, bound: int | None = None) -> DataFrame:
+    """normalize(), and <side>_rank: 1-based rank of the probability inside the cell, ties by input order."""
     keys = ["grp", side + "_id"]
-    if is_hot(edges, keys, (edges if probe is None else probe).select(*keys)):
-        return rank_side(normalize(edges, side), side)
-    w = Window.partitionBy(*keys).orderBy(F.desc("probability"), "ord")
+    if is_hot(edges, keys, bound):
+        out = normalize(edges, side, hot_rows(edges.sparkSession) + 1)
+        return row_rank(out, keys, [(side + "_p", False), ("ord", True)], side + "_rank", edges.select(*keys))
+    w = _whole(keys)
     mass = F.sum("probability").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = edges.withColumn(side + "_mass", mass).withColumn(side + "_rank", F.row_number().over(w).cast("bigint"))
     return out.withColumn(side + "_p", F.col("probability") / (F.col(side + "_mass") + F.lit(EPS)))
 
 
-def cell_metrics(ranked: DataFrame, sizes: DataFrame, side: str) -> DataFrame:
-    """One row per (group, cell): max, second, margin, ratio, entropy, effective number, mass."""
-    p, rank = F.col(side + "_p"), F.col(side + "_rank")
-    n = F.greatest(F.col("n_target" if side == "source" else "n_source"), F.lit(2)).cast("double")
-    cells = ranked.groupBy("grp", side + "_id").agg(
-        F.max(F.when(rank == 1, p)).alias("max"),
-        F.coalesce(F.max(F.when(rank == 2, p)), F.lit(0.0)).alias("second"),
-        (-F.sum(p * F.log(p + F.lit(EPS)))).alias("entropy"),
-        F.max(side + "_mass").alias("mass"))
-    cells = join_on(cells, sizes, ["grp"])
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return (cells
-            .withColumn("margin", F.col("max") - F.col("second"))
-            .withColumn("ratio", F.col("max") / (F.col("second") + F.lit(EPS)))
-            .withColumn("ratio_log", F.log(F.col("ratio") + F.lit(EPS)))
-            .withColumn("entropy_confidence", clip(1 - F.col("entropy") / F.log(n)))
-            .withColumn("effective_n", F.exp("entropy"))
-            .withColumn("effective_fraction", F.col("effective_n") / n)
-            .withColumn("effective_confidence",
-                        clip(1 - (F.col("effective_n") - 1) / F.greatest(n - 1, F.lit(1.0))))
-            .drop("n_source", "n_target"))
+def measured_side(edges: DataFrame, sizes: DataFrame, side: str, bound: int | None = None) -> DataFrame:
+    """ranked_side(), and the metrics of each edge's cell beside the edge: <side>_max, second, margin, ratio, ratio_log,
+    entropy, entropy_confidence, effective_n, effective_fraction, effective_confidence.
 
-
-def cell_bound(sizes: DataFrame, side: str) -> int:
-    """Cells of this side in the largest group: bounds every per-cell table."""
-    return int(sizes.agg(F.max("n_" + side)).first()[0] or 0)
-
-
-def concentration(cells: DataFrame, side: str, bound: int | None = None, keys=("grp",)) -> DataFrame:
+    Mass, rank, best, second and entropy come from one shuffle and one sort by cell. A hot cell's edges are spread over
+    tasks instead, its values aggregated and joined. A group without known size counts as one of two cells.
+    """
+    keys, p, name = ["grp", side + "_id"], F.col(side + "_p"), lambda m: f"{side}_{m}"
+    out = ranked_side(edges, side, bound)
+    terms = p * F.log(p + F.lit(EPS))
+    if is_hot(edges, keys, bound):
+        rank = F.col(side + "_rank")
+        cells = out.groupBy(*keys).agg(F.max(F.when(rank == 1, p)).alias(name("max")), F.max(F.when(rank == 2, p)).alias("_second"),
+                                       (-F.sum(terms)).alias(name("entropy")))
+        out = join_on(out, cells, keys)
+    else:
+        w = _whole(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = (out.withColumn(name("max"), F.first(p).over(w)).withColumn("_second", F.nth_value(p, 2).over(w))
+               .withColumn(name("entropy"), -F.sum(terms).over(w)))
+    other = "n_target" if side == "source" else "n_source"
+    out = join_on(out, sizes.select("grp", F.col(other).alias("_n")), ["grp"], "left")
+    n = F.greatest(F.coalesce("_n", F.lit(0)), F.lit(2)).cast("double")
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    col = lambda m: F.col(name(m))
+    return (out.withColumn(name("second"), F.coalesce("_second", F.lit(0.0)))
+            .withColumn(name("margin"), col("max") - col("second"))
+            .withColumn(name("ratio"), col("max") / (col("second") + F.lit(EPS)))
+            .withColumn(name("ratio_log"), F.log(col("ratio") + F.lit(EPS)))
+            .withColumn(name("entropy_confidence"), clip(1 - col("entropy") / F.log(n)))
+            .withColumn(name("effective_n"), F.exp(name("entropy")))
+            .withColumn(name("effective_fraction"), col("effective_n") / n)
+            .withColumn(name("effective_confidence"), clip(1 - (col("effective_n") - 1) / F.greatest(n - 1, F.lit(1.0))))
+            .drop("_n", "_second"))
+
+
+def cells_of(measured: DataFrame, side: str) -> DataFrame:
+    """One row per (group, cell): its best edge carries the cell's metrics. Prefixes are dropped."""
+    start = side + "_"
+    plain = [c for c in measured.columns if c.startswith(start) and c not in (start + "id", start + "p", start + "rank")]
+    return measured.where(F.col(start + "rank") == 1).select("grp", start + "id", *[F.col(c).alias(c[len(start):]) for c in plain])
+
+
+def concentration(cells: DataFrame, side: str, bound: int | None = None, weight: str | None = None) -> DataFrame:
     """combined = weighted average-tie percentile ranks over the group's cells.
 
-    Values are compared at 12 decimals so that summation order cannot break ties.
-    The three metrics are ranked in one pass over a long frame.
+    Values are compared at 12 decimals so that summation order cannot break ties. `bound`: proven number of cells of the
+    largest group. `weight`: column with the number of equal cells that a row stands for. The three ranks of a group come
+    from one shuffle; a hot group's distinct values are counted and joined instead.
     """
-    cell, keys = side + "_id", list(keys)
-    long = cells.select(*keys, cell, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.lit(w).alias("weight"), F.round(m, 12).alias("v"))
-        for m, w in CONCENTRATION.items()])).alias("e")).select(*keys, cell, "e.*")
-    ranked = percent_rank_avg(long, keys + ["metric"], "v", "share", True, bound)
-    combined = ranked.groupBy(*keys, cell).agg(
-        F.max(F.when(F.col("metric") == "entropy_confidence", F.col("share"))).alias("entropy_rank"),
-        F.max(F.when(F.col("metric") == "margin", F.col("share"))).alias("margin_rank"),
-        F.max(F.when(F.col("metric") == "max", F.col("share"))).alias("max_rank"))
-    weighted = (F.lit(0.40) * F.col("entropy_rank") + F.lit(0.30) * F.col("margin_rank")
-                + F.lit(0.30) * F.col("max_rank"))
-    return join_on(cells, combined.withColumn("combined", weighted), keys + [cell])
+    cells = cells.withColumn("_w", F.col(weight) if weight else F.lit(1).cast("bigint"))
+    for m in CONCENTRATION:
+        cells = cells.withColumn("_" + m, F.round(m, 12))
+    hot, names = is_hot(cells, ["grp"], bound), {}
+    group = Window.partitionBy("grp")
+    if hot:
+        cells = with_totals(cells, ["grp"], _all=F.sum("_w"))
+    else:
+        cells = cells.withColumn("_all", F.sum("_w").over(group))
+    for m in CONCENTRATION:
+        v = "_" + m
+        if hot:
+            steps = running(cells.groupBy("grp", v).agg(F.sum("_w").alias("_ties")), ["grp"], [v], {"_upto": "_ties"})
+            cells = join_on(cells, steps, ["grp", v])
+        else:
+            upto = group.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            cells = cells.withColumn("_upto", F.sum("_w").over(upto)).withColumn("_ties", F.sum("_w").over(Window.partitionBy("grp", v)))
+        share = (F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)) / F.col("_all")
+        names[m] = m.removesuffix("_confidence") + "_rank"
+        cells = cells.withColumn(names[m], F.when(F.col("_all") <= 1, 1.0).otherwise(share)).drop("_upto", "_ties")
+    combined = sum((F.lit(w) * F.col(names[m]) for m, w in CONCENTRATION.items()), F.lit(0.0))
+    return cells.withColumn("combined", combined).drop("_w", "_all", *["_" + m for m in CONCENTRATION])
+
+
+def measure_edges(edges: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
+    """Prepared edges with the metrics of both sides' cells (prefix source_ / target_) and the flags of best edges, written
+    once, and their number. One scan and one shuffle a side, whatever is asked of them afterwards."""
+    base, n = prepare_counted(edges)
+    out = measured_side(measured_side(base, sizes, "source", n), sizes, "target", n)
+    out = (out.withColumn("is_top1_target", (F.col("source_rank") == 1).cast("int"))
+           .withColumn("is_top1_source", (F.col("target_rank") == 1).cast("int"))
+           .withColumn("is_mutual_top1", F.col("is_top1_target") * F.col("is_top1_source")))
+    return cut(out), n
+
+
+def add_concentration(measured: DataFrame, sides=("source", "target"), bound: int | None = None) -> DataFrame:
+    """Adds <side>_combined (and both_combined): ranks of the cells, joined to their edges. Null ids are cells too."""
+    out = measured
+    for side in sides:
+        key = side + "_id"
+        cells = cells_of(measured, side).select("grp", key, *CONCENTRATION)
+        ranks = concentration(cells, side, bound).select("grp", key, F.col("combined").alias(side + "_combined"))
+        out = join_on(out, ranks, ["grp", key])
+    if len(sides) == 2:
+        out = out.withColumn("both_combined", 0.5 * (F.col("source_combined") + F.col("target_combined")))
+    return out
 
 
 def score_edges(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """All edge metrics of both sides (prefix source_ / target_)."""
-    sizes = cut(sizes)
-    base = prepare(edges)
-    out = base
-    for side in ("source", "target"):
-        ranked = ranked_side(base, side)
-        out = ranked_side(out, side, base)
-        cells = concentration(cell_metrics(ranked, sizes, side), side, cell_bound(sizes, side))
-        keep = [c for c in cells.columns if c not in ("grp", side + "_id", "mass")]
-        cells = cells.select("grp", side + "_id", *[F.col(c).alias(f"{side}_{c}") for c in keep])
-        out = join_on(out, cells, ["grp", side + "_id"])
-    return (out
-            .withColumn("is_top1_target", (F.col("source_rank") == 1).cast("int"))
-            .withColumn("is_top1_source", (F.col("target_rank") == 1).cast("int"))
-            .withColumn("is_mutual_top1", F.col("is_top1_target") * F.col("is_top1_source"))
-            .withColumn("both_combined", 0.5 * (F.col("source_combined") + F.col("target_combined"))))
+    measured, n = measure_edges(edges, sizes)
+    return add_concentration(measured, bound=n)
 
 
 def confidence_score(metric: str, axis: str = "source") -> Column:
@@ -168,76 +213,76 @@ def confidence_select(candidates: DataFrame, keys, score: str, top_fraction: flo
     limits = quantiles(candidates, keys, score, {"threshold": 1.0 - top_fraction}, probe)
     if min_confidence is not None:
         limits = limits.withColumn("threshold", F.greatest("threshold", F.lit(min_confidence)))
-    joined = candidates.join(limits, list(keys)) if keys else attach_one(candidates, limits)
+    joined = join_on(candidates, limits, keys) if keys else attach_one(candidates, limits)
     return joined.where(F.col(score) >= F.col("threshold"))
 
 
-def filter_summary(scored: DataFrame, kept: DataFrame, candidates: DataFrame, score: str,
+def filter_summary(measured: DataFrame, kept: DataFrame, candidates: DataFrame, score: str,
                    bound: int | None = None) -> DataFrame:
     """Per group counts, retained fractions, score spread and medians of the cell metrics.
 
-    `bound`: proven size of the larger cell table of a group, if known.
+    Cells are the edges of rank 1 of their side, so counts and medians come from one aggregate of the edges. `bound`:
+    proven number of edges; beyond what one task should hold, medians are found from distributed counts.
     """
-    frame = scored.groupBy("grp").agg(F.count(F.lit(1)).alias("n_before"))
-    cand = candidates.groupBy("grp").agg(F.count(F.lit(1)).alias("n_candidates"), F.min(score).alias("score_min"),
-                                         F.max(score).alias("score_max"))
-    frame = frame.join(cand, "grp", "left").join(
-        kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n_after"), F.max("threshold").alias("threshold")),
-        "grp", "left").join(quantiles(candidates, ["grp"], score, {"score_median": 0.5}, scored), "grp", "left")
-    for side in ("source", "target"):
-        cells = scored.groupBy("grp", side + "_id").agg(*[
-            F.max(f"{side}_{m}").alias(m) for m in ("max", "entropy_confidence", "margin")])
-        frame = frame.join(cells.groupBy("grp").agg(F.count(F.lit(1)).alias(f"unique_{side}s")), "grp")
-        long = cells.unpivot(["grp"], ["max", "entropy_confidence", "margin"], "metric", "value")
-        medians = quantiles(long, ["grp", "metric"], "value", {"median": 0.5}, bound)
-        frame = frame.join(medians.groupBy("grp").agg(*[
-            F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{side}_{m}_median")
-            for m in ("max", "entropy_confidence", "margin")]), "grp")
+    best = lambda side, c: F.when(F.col(side + "_rank") == 1, F.col(c))
+    metrics = [(s, m) for s in ("source", "target") for m in ("max", "entropy_confidence", "margin")]
+    counts = [F.count(F.lit(1)).alias("n_before"), *[F.count(best(s, s + "_rank")).alias(f"unique_{s}s") for s in ("source", "target")]]
+    if is_hot(measured, ["grp"], bound):
+        frame = measured.groupBy("grp").agg(*counts)
+        for s, m in metrics:
+            cells = measured.select("grp", best(s, f"{s}_{m}").alias("v"))
+            frame = join_on(frame, quantiles(cells, ["grp"], "v", {f"{s}_{m}_median": 0.5}), ["grp"], "left")
+    else:
+        frame = measured.groupBy("grp").agg(*counts, *[F.percentile(best(s, f"{s}_{m}"), F.lit(0.5)).alias(f"{s}_{m}_median") for s, m in metrics])
+    spread = [F.count(F.lit(1)).alias("n_candidates"), F.min(score).alias("score_min"), F.max(score).alias("score_max")]
+    if is_hot(candidates, ["grp"], bound):
+        cand = join_on(candidates.groupBy("grp").agg(*spread), quantiles(candidates, ["grp"], score, {"score_median": 0.5}), ["grp"], "left")
+    else:
+        cand = candidates.groupBy("grp").agg(*spread, F.percentile(score, F.lit(0.5)).alias("score_median"))
+    after = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n_after"), F.max("threshold").alias("threshold"))
+    frame = join_on(join_on(frame, cand, ["grp"], "left"), after, ["grp"], "left")
     return (frame.na.fill(0, ["n_candidates", "n_after"])
             .withColumn("retained_of_all", F.col("n_after") / F.col("n_before"))
             .withColumn("retained_of_candidates", F.when(F.col("n_candidates") > 0,
                                                          F.col("n_after") / F.col("n_candidates")).otherwise(0.0)))
 
 
-def matrix_confidence(entries: DataFrame, dim: DataFrame, sizes: DataFrame, side: str,
+def matrix_confidence(edges: DataFrame, n_cells: DataFrame, sizes: DataFrame, side: str,
                       min_probability: float = EDGE_MIN_PROBABILITY) -> DataFrame:
     """Edge metrics of one side of a (chunked) transport matrix in long form.
 
-    `grp` names job and chunk; `dim` lists every cell of this side so that an all-zero
-    row still has entropy 0, confidence 1, and takes part in the percentile ranks.
+    `grp` names job and chunk; `n_cells` (grp, n_cells) counts this side's cells, also those without an entry: an all-zero
+    row has entropy 0, confidence 1, and takes part in the percentile ranks. All of a group's zero rows are one row with
+    their number as its weight, so no cell is listed that has no edge.
     """
     cell, p = side + "_id", side + "_p"
-    ranked = entries = ranked_side(entries, side)
-    n = sizes.withColumn("n_other", F.greatest(
-        F.col("n_target" if side == "source" else "n_source"), F.lit(2)).cast("double"))
-    cells = dim.join(cell_metrics(ranked, sizes, side), ["grp", cell], "left").join(
-        n.select("grp", "n_other"), "grp")
-    zero = {"max": 0.0, "second": 0.0, "entropy": 0.0, "mass": 0.0, "margin": 0.0, "entropy_confidence": 1.0,
-            "effective_n": 1.0, "effective_confidence": 1.0, "ratio": 0.0}
-    cells = cells.na.fill(zero)
-    cells = cells.withColumn("ratio_log", F.log(F.col("max") / (F.col("second") + F.lit(EPS)) + F.lit(EPS)))
-    cells = concentration(cells, side, cell_bound(sizes, side))
-    kept = entries.where(F.col(p) >= min_probability)
-    kept = row_rank(kept, ["grp", cell], [(p, False), ("ord", True)], "rank", entries.select("grp", cell))
-    return kept.join(cells, ["grp", cell]).withColumn("is_top1", (F.col("rank") == 1).cast("int"))
-
-
-def number_rows(df: DataFrame, order, out: str) -> DataFrame:
-    """Global 1-based numbering in `order` (files first, then rows), split by range when large."""
-    return row_rank(df, [], order, out)
-
-
-def pair_ids(kept: DataFrame, file_col: str = "grp") -> DataFrame:
+    base, bound = prepare_counted(edges)
+    measured = cut(measured_side(base, sizes, side, bound))
+    cells = cells_of(measured, side)
+    zero = {"max": 0.0, "margin": 0.0, "entropy_confidence": 1.0}
+    present = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("_present"))
+    absent = join_on(n_cells, present, ["grp"], "left").withColumn("_n", F.col("n_cells") - F.coalesce("_present", F.lit(0))).where("_n > 0")
+    marked = cells.select("grp", cell, *CONCENTRATION, F.lit(1).cast("bigint").alias("_n"), F.lit(False).alias("_zero"))
+    zeros = absent.select("grp", F.lit(None).cast("string").alias(cell), *[F.lit(zero[m]).alias(m) for m in CONCENTRATION], "_n", F.lit(True).alias("_zero"))
+    ranks = concentration(marked.unionByName(zeros), side, bound + 1, "_n").where("NOT _zero").select("grp", cell, "combined")
+    kept = measured.where(F.col(p) >= min_probability)  # the greatest entries of a cell: ranks stay as they are
+    kept = kept.withColumnRenamed(side + "_rank", "rank")
+    for c in ("max", "second", "entropy_confidence", "ratio_log"):
+        kept = kept.withColumn(c, F.col(f"{side}_{c}"))
+    return join_on(kept, ranks, ["grp", cell]).withColumn("is_top1", (F.col("rank") == 1).cast("int"))
+
+
+def pair_ids(kept: DataFrame, file_col: str = "grp", bound: int | None = None) -> DataFrame:
     """Running pair id over all files in file order; edge id restarts in every file.
 
     The per-file rank is windowed by file; file offsets come from the small per-file counts,
-    so no window covers the whole table.
+    so no window covers the whole table. `bound`: proven number of rows.
     """
-    per_file = row_rank(kept, [file_col], [("ord", True)], "edge_no")
+    per_file = row_rank(kept, [file_col], [("ord", True)], "edge_no", bound)
     counts = kept.groupBy(file_col).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = running(counts, [], [file_col], {"_end": "_n"}).select(
+    offsets = running(counts, [], [file_col], {"_end": "_n"}, bound).select(
         file_col, (F.col("_end") - F.col("_n")).alias("_before"))
-    numbered = per_file.join(offsets, file_col).withColumn("pair_no", F.col("_before") + F.col("edge_no"))
+    numbered = join_on(per_file, offsets, [file_col]).withColumn("pair_no", F.col("_before") + F.col("edge_no"))
     return (numbered
             .withColumn("pair_id", F.concat_ws("|", file_col, F.concat(F.lit("highconf_pair_"), F.col("pair_no") - 1)))
             .withColumn("edge_id", F.concat_ws("|", file_col, F.concat(F.lit("edge_"), F.col("edge_no") - 1)))
