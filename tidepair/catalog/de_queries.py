@@ -51,46 +51,55 @@ def _pairs(t):
                              "pair_id", "source_cell", "target_cell", "source_label", "target_label", "probability")
 
 
-def _scoped(t):
-    return P.de_scopes(_pairs(t), MIN_PAIRS)
+LABELS = ["tumor_type", "source_label", "target_label"]
+LOWS = {"any": 0.0, "mid": 0.4, "top": 0.6}
 
 
-def _metric_scoped(t):
-    metrics = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(v).alias("low")) for m, v in (("any", 0.0), ("mid", 0.4), ("top", 0.6))]),
-                       lambda x: F.col("probability") >= x["low"])
-    return _pairs(t).withColumn("_m", F.explode(metrics)).select(
-        "replicate_id", "pair_id", "source_cell", "target_cell", F.col("_m.m").alias("scope"), F.col("tumor_type").alias("scope_key"))
+def _metric_scopes():
+    """Scopes of a pair's band: every metric whose lower bound it reaches, under its tumor type."""
+    return F.array_compact(F.array(*[F.when(F.col("band") >= i + 1, F.struct(F.lit(m).alias("scope"), F.col("tumor_type").alias("scope_key")))
+                                     for i, m in enumerate(LOWS)]))
 
 
-def _bulk(t, scoped=None):
-    scoped = _scoped(t) if scoped is None else scoped
-    return cut(P.pseudobulk_means(scoped, t("expr"))), cut(P.scope_sizes(scoped))
+def _states(t, by_metric=False):
+    """(states, counts, scopes): expression summed once per replicate, labels (or band) and gene, and pairs per scope."""
+    pairs = _pairs(t)
+    if by_metric:
+        band = sum(((F.col("probability") >= low).cast("int") for low in LOWS.values()), F.lit(0))
+        pairs, by, scopes, least = pairs.withColumn("band", band), ["tumor_type", "band"], _metric_scopes(), 0
+    else:
+        by, scopes, least = LABELS, P.tumor_scopes(), MIN_PAIRS
+    return P.pseudobulk_states(pairs, t("expr"), by), cut(P.scope_counts(pairs, by, scopes, least)), scopes
 
 
-def _table(t, scoped=None):
-    bulk, sizes = _bulk(t, scoped)
-    return P.de_table(bulk, sizes)
+def _bulk(t, by_metric=False):
+    """Means per scope, replicate and gene, and sizes of the scopes."""
+    states, counts, scopes = _states(t, by_metric)
+    return P.pseudobulk_means(states, scopes, counts), P.scope_sizes(counts)
 
 
-KEYS = ["scope", "scope_key"]
+def _table(t, by_metric=False):
+    return P.de_table(*_bulk(t, by_metric))
+
+
+KEYS = P.KEYS
 
 
 @query(f"WITH {SCOPES} SELECT scope, scope_key, replicate_id, count(*) AS n_pairs, count(DISTINCT pair_id) AS n_ids FROM sc GROUP BY ALL")
 def de_scopes(t):
-    return _scoped(t).groupBy(*KEYS, "replicate_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("pair_id").alias("n_ids"))
+    return P.de_scopes(_pairs(t), MIN_PAIRS).groupBy(*KEYS, "replicate_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("pair_id").alias("n_ids"))
 
 
 @query(f"WITH {SCOPES}{BULK} SELECT scope, scope_key, replicate_id, gene_id, n_pairs, round(source_mean, 9) AS source_mean, round(target_mean, 9) AS target_mean FROM bk")
 def pseudobulk_means(t):
-    return P.pseudobulk_means(_scoped(t), t("expr")).select(*KEYS, "replicate_id", "gene_id", "n_pairs", _r("source_mean"), _r("target_mean"))
+    return _bulk(t)[0].select(*KEYS, "replicate_id", "gene_id", "n_pairs", _r("source_mean"), _r("target_mean"))
 
 
 @query(f"""WITH {SCOPES}{BULK}{SUMMARY} SELECT scope, scope_key, gene_id, n_pairs, round(source_mean, 9) AS source_mean, round(target_mean, 9) AS target_mean,
  round(source_pct, 9) AS source_pct, round(target_pct, 9) AS target_pct, round(target_mean - source_mean, 9) AS mean_delta,
  round(log2((target_mean + 1e-6::DOUBLE) / (source_mean + 1e-6::DOUBLE)), 7) AS log2fc FROM gs""")
 def gene_summary(t):
-    s = _scoped(t)
-    return P.gene_summary(P.pseudobulk_means(s, t("expr")), P.scope_sizes(s)).select(
+    return P.gene_summary(*_bulk(t)).select(
         *KEYS, "gene_id", "n_pairs", *[_r(c) for c in ("source_mean", "target_mean", "source_pct", "target_pct", "mean_delta")], _r("log2fc", 7))
 
 
@@ -236,7 +245,7 @@ PAIRWISE = """, ms AS (SELECT DISTINCT scope_key, scope FROM de), kd AS (SELECT
  SELECT scope_key, kind, metric_a, metric_b, n_a, n_b, overlap, n_a + n_b - overlap AS n_union,
  round(coalesce(overlap / nullif(n_a + n_b - overlap, 0), 0), 9) AS jaccard FROM pw""")
 def metric_robustness(t):
-    out = P.metric_robustness(cut(_table(t, _metric_scoped(t))), ["scope_key"], "scope")
+    out = P.metric_robustness(cut(_table(t, by_metric=True)), ["scope_key"], "scope")
     return out.select("scope_key", "kind", "metric_a", "metric_b", "n_a", "n_b", "overlap", "n_union", _r("jaccard"))
 
 
@@ -246,7 +255,7 @@ def metric_robustness(t):
  UNION ALL SELECT scope_key, kind, 'summary', 'ALL_METRICS', '', count(*) FILTER (g = m), count(*), round(count(*) FILTER (g = m) / count(*), 9),
  coalesce(string_agg(gene_id, ';' ORDER BY gene_id) FILTER (g = m), '') FROM pg JOIN ne USING (scope_key, kind) GROUP BY scope_key, kind""")
 def metric_overlap_summary(t):
-    return P.metric_overlap_summary(cut(_table(t, _metric_scoped(t))), ["scope_key"], "scope").withColumn("jaccard", F.round("jaccard", 9))
+    return P.metric_overlap_summary(cut(_table(t, by_metric=True)), ["scope_key"], "scope").withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(f"""WITH {SCOPES}{BULK}{TABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY scope, scope_key ORDER BY {ORDER}) AS k FROM de)
@@ -264,6 +273,7 @@ def volcano_table(t):
 def replicate_delta_z(t):
     from tidepair.plans.ordered import top_rows
     bulk, sizes = _bulk(t)
+    bulk = cut(bulk)  # read twice
     top = top_rows(P.gene_summary(bulk, sizes), KEYS, [P.rounded("abs_mean_delta").desc(), F.col("gene_id")], 20)
     return P.replicate_delta_z(bulk, top, KEYS).select(*KEYS, "gene_id", "replicate_id", _r("delta"), _r("z", 7))
 

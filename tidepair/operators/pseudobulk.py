@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tidepair.functions.pvalues import fisher_exact_p
 from tidepair.operators.stats import one_sample_t, t_columns, zscore_within
-from tidepair.plans.ordered import bh_fdr, row_rank, top_rows, with_totals
+from tidepair.plans.ordered import bh_fdr, join_on, row_rank, top_rows, with_totals
+from tidepair.plans.session import cut_counted
 
 EPS = 1e-6
 # fixed values: built-in gene signatures
@@ -29,79 +30,101 @@ def signature_table(spark, signatures=None) -> DataFrame:
     return spark.createDataFrame(rows, "signature string, symbol string")
 
 
+KEYS = ["scope", "scope_key"]
+STATE = ["source_sum", "target_sum", "source_nnz", "target_nnz"]
+
+
+def tumor_scopes() -> Column:
+    """Scopes of a pair: its tumor_type, global ('all'), and cell_type under either of its labels."""
+    scope = lambda name, key: F.struct(F.lit(name).alias("scope"), key.alias("scope_key"))
+    labels = F.array_distinct(F.array("source_label", "target_label"))
+    return F.concat(F.array(scope("tumor_type", F.col("tumor_type")), scope("global", F.lit("all"))),
+                    F.transform(labels, lambda x: scope("cell_type", x)))
+
+
 def de_scopes(pairs: DataFrame, min_cell_pairs: int = 200) -> DataFrame:
     """Rows under three scopes: tumor_type, global ('all') and cell_type.
 
     pairs(replicate_id, tumor_type, pair_id, source_cell, target_cell, source_label, target_label);
     a cell type takes a pair by either label and needs min_cell_pairs pairs in the replicate.
     """
-    labels = F.array_distinct(F.array("source_label", "target_label"))
-    scopes = F.concat(
-        F.array(F.struct(F.lit("tumor_type").alias("scope"), F.col("tumor_type").alias("scope_key")),
-                F.struct(F.lit("global").alias("scope"), F.lit("all").alias("scope_key"))),
-        F.transform(labels, lambda x: F.struct(F.lit("cell_type").alias("scope"), x.alias("scope_key"))))
-    rows = pairs.select("replicate_id", "pair_id", "source_cell", "target_cell", F.explode(scopes).alias("_s")).select(
+    rows = pairs.select("replicate_id", "pair_id", "source_cell", "target_cell", F.explode(tumor_scopes()).alias("_s")).select(
         "replicate_id", "pair_id", "source_cell", "target_cell", "_s.*")
-    sizes = rows.groupBy("scope", "scope_key", "replicate_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    sizes = sizes.where((F.col("scope") != "cell_type") | (F.col("n_pairs") >= min_cell_pairs))
-    return rows.join(sizes, ["scope", "scope_key", "replicate_id"])
+    sizes = scope_counts(pairs, ["tumor_type", "source_label", "target_label"], tumor_scopes(), min_cell_pairs)
+    return join_on(rows, sizes, [*KEYS, "replicate_id"])
 
 
-def pseudobulk_means(scoped: DataFrame, expr: DataFrame) -> DataFrame:
-    """Per scope, replicate and gene: sums, non-zero counts and means over pairs, both sides.
+def scope_counts(pairs: DataFrame, by, scopes: Column, min_cell_pairs: int = 0) -> DataFrame:
+    """Pairs per scope and replicate. Pairs are counted per replicate and `by` columns first; only those few counts meet
+    their scopes. A cell type needs min_cell_pairs pairs in the replicate."""
+    counts = pairs.groupBy("replicate_id", *by).agg(F.count(F.lit(1)).alias("_n"))
+    out = counts.select("replicate_id", "_n", F.explode(scopes).alias("_s")).groupBy("_s.scope", "_s.scope_key", "replicate_id")
+    out = out.agg(F.sum("_n").alias("n_pairs"))
+    return out.where((F.col("scope") != "cell_type") | (F.col("n_pairs") >= min_cell_pairs))
+
 
-    Each pair counts (a repeated cell repeats); means divide by the number of pairs, so cells
-    without a stored row count as zero.
+def pseudobulk_states(pairs: DataFrame, expr: DataFrame, by) -> DataFrame:
+    """Mergeable sums and non-zero counts of both sides per replicate, `by` columns and gene.
+
+    Expression is joined once, whatever the number of scopes: `by` holds the columns that scopes are made of. Each pair
+    counts (a repeated cell repeats): how often a cell is used is counted before the wide join.
     """
-    keys = ["scope", "scope_key", "replicate_id"]
+    keys = ["replicate_id", *by]
     cell = F.explode(F.array(F.struct(F.lit(1).alias("is_source"), F.col("source_cell").alias("cell_id")),
                              F.struct(F.lit(0).alias("is_source"), F.col("target_cell").alias("cell_id"))))
-    # how often a cell is used per scope and replicate, before the wide join to expression
-    uses = scoped.select(*keys, cell.alias("_c")).groupBy(*keys, "_c.is_source", "_c.cell_id").agg(
-        F.count(F.lit(1)).alias("_k"))
+    uses = pairs.select(*keys, cell.alias("_c")).groupBy(*keys, "_c.is_source", "_c.cell_id").agg(F.count(F.lit(1)).alias("_k"))
     side = lambda k, v: F.sum(F.when(F.col("is_source") == k, v).otherwise(0))
     k, v = F.col("_k"), F.col("value")
     hits = F.when(v > 0, k).otherwise(0)
-    sums = uses.join(expr.select("cell_id", "gene_id", "value"), "cell_id").groupBy(*keys, "gene_id").agg(
-        side(1, k * v).alias("source_sum"), side(0, k * v).alias("target_sum"),
-        side(1, hits).alias("source_nnz"), side(0, hits).alias("target_nnz"))
-    sizes = scoped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
-    return (sums.join(sizes, keys).withColumn("source_mean", F.col("source_sum") / F.col("n_pairs"))
+    sums = dict(zip(STATE, (side(1, k * v), side(0, k * v), side(1, hits), side(0, hits)), strict=True))
+    return uses.join(expr.select("cell_id", "gene_id", "value"), "cell_id").groupBy(*keys, "gene_id").agg(*[c.alias(n) for n, c in sums.items()])
+
+
+def pseudobulk_means(states: DataFrame, scopes: Column, counts: DataFrame) -> DataFrame:
+    """Per scope, replicate and gene: sums, non-zero counts and means over pairs, both sides.
+
+    States are merged into the scopes of their columns; counts (scope_counts) keeps the scopes that count and gives the
+    number of pairs. Means divide by it, so cells without a stored row count as zero.
+    """
+    keys = [*KEYS, "replicate_id"]
+    sums = states.select("replicate_id", "gene_id", *STATE, F.explode(scopes).alias("_s")).groupBy(
+        "_s.scope", "_s.scope_key", "replicate_id", "gene_id").agg(*[F.sum(c).alias(c) for c in STATE])
+    return (join_on(sums, counts, keys).withColumn("source_mean", F.col("source_sum") / F.col("n_pairs"))
             .withColumn("target_mean", F.col("target_sum") / F.col("n_pairs")))
 
 
-def scope_sizes(scoped: DataFrame) -> DataFrame:
+def scope_sizes(counts: DataFrame) -> DataFrame:
     """Per scope key: pairs, replicates, first replicate."""
-    return scoped.groupBy("scope", "scope_key").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("replicate_id").alias("n_replicates"),
+    return counts.groupBy(*KEYS).agg(
+        F.sum("n_pairs").alias("n_pairs"), F.count_distinct("replicate_id").alias("n_replicates"),
         F.min("replicate_id").alias("first_replicate"))
 
 
-def gene_summary(bulk: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Overall means, delta, log2 fold change and expressed shares per scope and gene."""
-    keys = ["scope", "scope_key"]
-    out = bulk.groupBy(*keys, "gene_id").agg(*[F.sum(c).alias(c) for c in ("source_sum", "target_sum", "source_nnz", "target_nnz")])
-    out = out.join(sizes.select(*keys, "n_pairs"), keys)
+def gene_states(bulk: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One aggregate per scope and gene that both the summary and the paired test are read off from."""
+    d = F.col("target_mean") - F.col("source_mean")
+    out = join_on(bulk, sizes.select(*KEYS, F.col("first_replicate").alias("_f")), KEYS).withColumn("_d", d).groupBy(*KEYS, "gene_id").agg(
+        *[F.sum(c).alias(c) for c in STATE], F.count(F.lit(1)).alias("_c"), F.sum("_d").alias("_sum"), F.avg("_d").alias("_mu"),
+        F.var_pop("_d").alias("_var"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"),
+        F.max(F.when(F.col("replicate_id") == F.col("_f"), F.col("_d"))).alias("_first"),
+        F.sum("source_mean").alias("_s"), F.sum("target_mean").alias("_t"))
+    return join_on(out, sizes.select(*KEYS, "n_pairs", "n_replicates"), KEYS)
+
+
+def with_summary(states: DataFrame) -> DataFrame:
+    """Adds overall means, delta, log2 fold change and expressed shares to gene_states."""
     n = F.col("n_pairs")
-    out = out.select(*keys, "gene_id", "n_pairs", (F.col("source_sum") / n).alias("source_mean"),
-                     (F.col("target_sum") / n).alias("target_mean"), (F.col("source_nnz") / n).alias("source_pct"),
-                     (F.col("target_nnz") / n).alias("target_pct"))
+    out = states
+    for side in ("source", "target"):
+        out = out.withColumn(side + "_mean", F.col(side + "_sum") / n).withColumn(side + "_pct", F.col(side + "_nnz") / n)
     return (out.withColumn("mean_delta", F.col("target_mean") - F.col("source_mean"))
             .withColumn("log2fc", F.log2((F.col("target_mean") + EPS) / (F.col("source_mean") + EPS)))
             .withColumn("pct_delta", F.col("target_pct") - F.col("source_pct"))
-            .withColumn("abs_mean_delta", F.abs("mean_delta")))
+            .withColumn("abs_mean_delta", F.abs("mean_delta")).drop(*STATE))
 
 
-def paired_t_test(bulk: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Paired t per scope and gene over all replicates; replicates without a row are zeros."""
-    keys = ["scope", "scope_key"]
-    d = F.col("target_mean") - F.col("source_mean")
-    rows = bulk.join(sizes.select(*keys, "n_replicates", "first_replicate"), keys).withColumn("_d", d)
-    out = rows.groupBy(*keys, "gene_id").agg(
-        F.max("n_replicates").alias("n_replicates"), F.count(F.lit(1)).alias("_c"), F.sum("_d").alias("_sum"),
-        F.avg("_d").alias("_mu"), F.var_pop("_d").alias("_var"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"),
-        F.max(F.when(F.col("replicate_id") == F.col("first_replicate"), F.col("_d"))).alias("_first"),
-        F.sum("source_mean").alias("_s"), F.sum("target_mean").alias("_t"))
+def with_t_test(states: DataFrame) -> DataFrame:
+    """Adds the paired t test over all replicates to gene_states; replicates without a row are zeros."""
     n, c = F.col("n_replicates"), F.col("_c")
     m2 = F.col("_var") * c + F.col("_mu") * F.col("_mu") * c * (n - c) / n
     zero = n > c
@@ -109,18 +132,30 @@ def paired_t_test(bulk: DataFrame, sizes: DataFrame) -> DataFrame:
                      F.when(zero, F.least(F.col("_lo"), F.lit(0.0))).otherwise(F.col("_lo")),
                      F.when(zero, F.greatest(F.col("_hi"), F.lit(0.0))).otherwise(F.col("_hi")),
                      F.coalesce(F.col("_first"), F.lit(0.0)))
-    out = out.withColumn("pseudobulk_source_mean", F.col("_s") / n).withColumn("pseudobulk_target_mean", F.col("_t") / n)
+    out = states.withColumn("pseudobulk_source_mean", F.col("_s") / n).withColumn("pseudobulk_target_mean", F.col("_t") / n)
     out = out.withColumn("pseudobulk_delta", F.col("_sum") / n).withColumn("pseudobulk_log2fc", F.log2(
         (F.col("pseudobulk_target_mean") + EPS) / (F.col("pseudobulk_source_mean") + EPS)))
-    out = out.withColumn("t_stat", t).withColumn("p_value", p)
-    return out.drop("_c", "_sum", "_mu", "_var", "_lo", "_hi", "_first", "_s", "_t")
+    return out.withColumn("t_stat", t).withColumn("p_value", p)
 
 
-def de_table(bulk: DataFrame, sizes: DataFrame, genes_bound: int | None = None) -> DataFrame:
-    """gene_summary + paired t + BH q and flags per scope."""
-    keys = ["scope", "scope_key"]
-    t = bh_fdr(paired_t_test(bulk, sizes), keys, "p_value", "fdr", genes_bound)
-    return gene_summary(bulk, sizes).join(t, keys + ["gene_id"]).withColumn(
+_PARTS = ["_c", "_sum", "_mu", "_var", "_lo", "_hi", "_first", "_s", "_t"]
+
+
+def gene_summary(bulk: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Overall means, delta, log2 fold change and expressed shares per scope and gene."""
+    return with_summary(gene_states(bulk, sizes)).drop("n_replicates", *_PARTS)
+
+
+def paired_t_test(bulk: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Paired t per scope and gene over all replicates; replicates without a row are zeros."""
+    return with_t_test(gene_states(bulk, sizes)).drop("n_pairs", *STATE, *_PARTS)
+
+
+def de_table(bulk: DataFrame, sizes: DataFrame) -> DataFrame:
+    """gene_summary + paired t + BH q and flags per scope, from one aggregate of the replicates."""
+    states, n = cut_counted(gene_states(bulk, sizes))
+    tested = with_t_test(with_summary(states)).drop(*_PARTS)
+    return bh_fdr(tested, KEYS, "p_value", "fdr", n).withColumn(
         "significant_05", F.col("fdr") <= 0.05).withColumn("significant_10", F.col("fdr") <= 0.10)
 
 
@@ -209,7 +244,7 @@ def signature_scores_test(bulk: DataFrame, sizes: DataFrame, genes: DataFrame, s
     found = signatures.distinct().join(first.select("symbol", "gene_id"), "symbol").select("signature", "gene_id").distinct()
     n = found.groupBy("signature").agg(F.count(F.lit(1)).alias("n_genes_found"))
     part = bulk.join(found, "gene_id").groupBy(*keys, "replicate_id", "signature").agg(
-        F.sum("source_mean").alias("source_mean"), F.sum("target_mean").alias("target_mean"))
+        *[F.sum(c).alias(c) for c in ("source_mean", "target_mean", *STATE)])
     part = part.join(n, "signature").withColumn("source_mean", F.col("source_mean") / F.col("n_genes_found")).withColumn(
         "target_mean", F.col("target_mean") / F.col("n_genes_found"))
     tested = paired_t_test(part.withColumnRenamed("signature", "gene_id"), sizes).withColumnRenamed("gene_id", "signature")
