@@ -89,9 +89,10 @@ def beta_strength(groups: DataFrame, n: str, hits: str) -> DataFrame:
     total = groups.agg(F.sum(n).cast("double").alias("t"), F.sum(hits).cast("double").alias("h"))
     total = total.select("t", F.coalesce(F.col("h") / F.nullif(F.col("t"), F.lit(0.0)), F.lit(0.0)).alias("mean"))
     g = groups.where(F.col(n) > 0).select(F.col(n).cast("double").alias("n"), F.col(hits).cast("double").alias("f")).join(F.broadcast(total))
-    w, p = F.col("n") / F.col("t"), F.col("f") / F.col("n")
-    s = g.select("mean", (w * (p - F.col("mean")) ** 2).alias("dev"), (w * (1 - w)).alias("w1"), (w * (1 - w) / F.col("n")).alias("w2"))
-    s = s.agg(F.sum("dev").alias("dev"), F.sum("w1").alias("w1"), F.sum("w2").alias("w2"))
+    w, off = F.col("n") / F.col("t"), F.col("f") / F.col("n") - F.col("mean")
+    # terms of 15 digits add up exactly: the same in every order of partitions and in every engine
+    exact = lambda term, name: F.sum(term.cast("decimal(38,15)")).cast("double").alias(name)
+    s = g.agg(exact(w * (off * off), "dev"), exact(w * (1 - w), "w1"), exact(w * (1 - w) / F.col("n"), "w2"))
     noise = F.col("mean") * (1 - F.col("mean"))
     share = (F.col("dev") - noise * F.col("w2")) / F.nullif(noise * (F.col("w1") - F.col("w2")), F.lit(0.0))
     share = F.greatest(F.lit(0.001), F.least(F.lit(0.9), F.coalesce(share, F.lit(0.001))))

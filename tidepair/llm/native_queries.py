@@ -14,7 +14,8 @@ QUERIES = {
 #: Strength of a beta prior by moments, from a CTE {name}(n, f).
 _PRIOR = """
 {name}_t AS (SELECT CAST(sum(n) AS DOUBLE) AS t, coalesce(CAST(sum(f) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0), 0) AS mean FROM {name}),
-{name}_m AS (SELECT sum(n / t * (f * 1.0 / n - mean) ** 2) AS dev, sum(n / t * (1 - n / t)) AS w1, sum(n / t * (1 - n / t) / n) AS w2
+{name}_m AS (SELECT CAST(sum(CAST(n / t * ((f / n - mean) * (f / n - mean)) AS DECIMAL(38, 15))) AS DOUBLE) AS dev,
+  CAST(sum(CAST(n / t * (1 - n / t) AS DECIMAL(38, 15))) AS DOUBLE) AS w1, CAST(sum(CAST(n / t * (1 - n / t) / n AS DECIMAL(38, 15))) AS DOUBLE) AS w2
   FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(f AS DOUBLE) AS f FROM {name} WHERE n > 0), {name}_t),
 {name}_p AS (SELECT mean, 1 / greatest(0.001, least(0.9, coalesce((dev - mean * (1 - mean) * w2) / nullif(mean * (1 - mean) * (w1 - w2), 0), 0.001))) - 1 AS strength
   FROM {name}_t, {name}_m)"""
@@ -74,7 +75,7 @@ q2 AS (SELECT q1.*, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_stri
 q3 AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q2),
 q AS (SELECT source AS h, count(*) AS n, sum(base_failed::INT) AS f FROM q3 GROUP BY source),
 PRIOR,
-hosts AS (SELECT h, (f + mean * strength) / (n + strength) AS host_rate FROM q, q_p),
+hosts AS (SELECT h, round((f + mean * strength) / (n + strength), 12) AS host_rate FROM q, q_p),
 judged AS (SELECT q3.*, host_rate, NOT base_failed AND host_rate <= 0.5 AS kept FROM q3 JOIN hosts ON source IS NOT DISTINCT FROM h)""".replace("PRIOR", _PRIOR.format(name="q"))
 
 ORACLES = {

@@ -48,13 +48,13 @@ def text_rules(df: DataFrame, text: str) -> DataFrame:
 def host_verdicts(judged: DataFrame, host: str, failed: str, limit: float = 0.5) -> DataFrame:
     """Per host (null is a host of its own): host, host_docs, host_rate and host_rejected.
 
-    host_rate is the posterior mean of the failure rate under a beta prior fitted to all hosts; a host is rejected
+    host_rate is the posterior mean (12 decimals, so that reruns agree) of the failure rate under a beta prior fitted to all hosts; a host is rejected
     above limit. A hot host is combined before the shuffle.
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col(failed).cast("long")).alias("host_failed"))
     hosts = cut(hosts)
     prior = beta_strength(hosts, "host_docs", "host_failed")
-    rate = (F.col("host_failed") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
+    rate = F.round((F.col("host_failed") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength")), 12)
     return hosts.join(F.broadcast(prior)).select("host", "host_docs", rate.alias("host_rate"), (rate > limit).alias("host_rejected"))
 
 
