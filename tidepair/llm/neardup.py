@@ -7,6 +7,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, packed
@@ -16,6 +17,8 @@ from .shingles import mixed, shingle_hashes, word_stream
 #: no band with probability (1 - 0.8**5)**48 = 5e-9.
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 48
 SIMILARITY = 80  # percent
+#: Nodes of a crowd that meet within their bands; larger crowds go by their consensus. Neither loses a link.
+SMALL = 16
 #: A pair is verified unless its estimate is this many standard deviations below the similarity (3e-7 of true pairs).
 DEVIATIONS = 5.0
 BYTES_AT_ONCE = 1 << 19
@@ -168,18 +171,106 @@ def verified(pairs: DataFrame, nodes: DataFrame, held: DataFrame, size: int) ->
     return cut(pair.where(linked(F.col("text_u"), F.col("text_v"), size)).select("u", "v"))
 
 
+def set_hashes(text: Column, size: int) -> Column:
+    """The distinct shingle hashes of a text."""
+
+    def hashes(texts: pa.Array) -> pa.Array:
+        sets = sets_of(texts.to_pylist(), size)
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+
+    return F.arrow_udf(hashes, "array<long>")(text)
+
+
+def crowds_of(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of open bands as crowds, connected by shared bands: (node, crowd) of crowds up to SMALL nodes, and of others."""
+    least = left.groupBy("key").agg(F.min("node").alias("a"))
+    edges = left.join(least, "key").where("node <> a").select(F.col("a").alias("u"), F.col("node").alias("v")).distinct()
+    crowd = components(edges).withColumnRenamed("root", "crowd")
+    sizes = crowd.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"))
+    crowd = cut(crowd.join(sizes, "crowd"))
+    return crowd.where(F.col("members") <= SMALL).select("node", "crowd"), crowd.where(F.col("members") > SMALL).select("node", "crowd", "members")
+
+
+class Consensus:
+    """Large crowds seen from their consensus B: the shingles that more than half of a crowd's nodes hold.
+
+    A node adds A shingles to B and lacks R of them. Two nodes e, x share |B| - |Re or Rx| + |Ae and Ax| shingles, so they
+    reach the similarity only if they share at least 5/9 (Re + Rx) + 4/9 (Ae + Ax) - |B|/9 of their differences. A node
+    whose similarity to B is itself too low (outer) has 5/9 Re + 4/9 Ae > |B|/9; so any x that it links with shares more
+    than 5/9 Rx + 4/9 Ax differences with it, and hence, as at most Rx of them are lacks, more than 4/9 (Ax - Rx) added
+    ones. That makes a complete search by the few added shingles: outer nodes need not meet the crowd, only those nodes
+    that made the same change.
+    """
+
+    def __init__(self, crowd: DataFrame, nodes: DataFrame, held: DataFrame, size: int):
+        texts = held.join(crowd, held["rid"] == crowd["node"]).select("crowd", "members", "node", set_hashes(F.col("text"), size).alias("set"))
+        self.rows = cut(texts.select("crowd", "members", "node", F.explode("set").alias("h")))
+        counts = self.rows.groupBy("crowd", "h").agg(F.count(F.lit(1)).alias("c"), F.max("members").alias("members"))
+        self.counts = cut(counts.withColumn("core", 2 * F.col("c") > F.col("members")))
+        core = self.counts.groupBy("crowd").agg(F.count_if("core").alias("n_b"))
+        marked = self.rows.join(self.counts.where("c > 1").select("crowd", "h", "c", "core"), ["crowd", "h"], "left")
+        self.marked = cut(marked.select("crowd", "node", "h", F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("core", F.lit(False)).alias("core")))
+        per_node = self.marked.groupBy("crowd", "node").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("n_core")).join(core, "crowd")
+        far = 100 * F.col("n_core") < SIMILARITY * (F.col("n") + F.col("n_b") - F.col("n_core"))
+        self.nodes = cut(per_node.select("crowd", "node", "n", "n_b", (F.col("n") - F.col("n_core")).alias("a"), (F.col("n_b") - F.col("n_core")).alias("r"), far.alias("outer")))
+
+    def star(self) -> DataFrame:
+        """Pairs of the node nearest to the consensus with each other node of its crowd."""
+        nearest = self.nodes.groupBy("crowd").agg(F.min(F.struct(5 * F.col("r") + 4 * F.col("a"), "node")).alias("m")).select("crowd", F.col("m.node").alias("u"))
+        return self.nodes.join(nearest, "crowd").where("node <> u").select("u", F.col("node").alias("v"))
+
+    def changes(self, roots: DataFrame) -> DataFrame:
+        """Differences (crowd, lacks, h, c nodes that make it) of nodes, where nodes of several components make it. Lacks are
+        listed for outer nodes and for those that lack more than they add."""
+        added = self.marked.where("NOT core").select("crowd", "node", F.lit(False).alias("lacks"), "h", "c")
+        wanted = self.nodes.where("outer OR a < r").select("crowd", "node")
+        all_ = wanted.join(self.counts.where("core").select("crowd", "h", (F.col("members") - F.col("c")).alias("c")), "crowd")
+        lacks = all_.join(self.marked.where("core").select("crowd", "node", "h"), ["crowd", "node", "h"], "left_anti")
+        both = cut(added.unionByName(lacks.select("crowd", "node", F.lit(True).alias("lacks"), "h", "c")))
+        of = both.where("c > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = of.groupBy("crowd", "lacks", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        open_ = open_.select("crowd", "lacks", "h", F.lit(True).alias("open"))
+        return both.join(open_, ["crowd", "lacks", "h"], "left")
+
+    def pairs(self, roots: DataFrame) -> DataFrame:
+        """Pairs of different components, at least one of them outer, that can reach the similarity."""
+        about = self.nodes.join(roots, "node", "left").select("crowd", "node", "n", "n_b", "a", "r", "outer", F.coalesce("root", "node").alias("root"))
+        rows = cut(self.changes(roots).join(about, ["crowd", "node"]))
+        full = F.col("a") >= F.col("r")
+        listed = rows.where(~F.col("lacks") | (F.col("a") < F.col("r")))
+        enough = F.when(full, F.col("a") - F.floor(4 * (F.col("a") - F.col("r")) / 9)).otherwise(F.col("a") + F.col("r") - F.floor((5 * F.col("r") + 4 * F.col("a")) / 9))
+        rank = F.row_number().over(W.partitionBy("crowd", "node").orderBy("c", "lacks", "h"))  # a node's own differences, the rarest first
+        index = listed.withColumn("at", rank).where((F.col("at") <= enough) & F.col("open")).drop("at", "outer")
+        index = index.select("crowd", "lacks", "h", F.col("n_b"), *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "a", "r", "root")])
+        probe = rows.where("outer AND open").select("crowd", "lacks", "h", "node", "n", "a", "r", "root")
+        fits = (F.col("root") != F.col("root_x")) & (100 * F.least("n", "n_x") >= SIMILARITY * F.greatest("n", "n_x"))
+        fits &= 9 * (F.least("a", "a_x") + F.least("r", "r_x")) >= 5 * (F.col("r") + F.col("r_x")) + 4 * (F.col("a") + F.col("a_x")) - F.col("n_b")
+        return probe.join(index, ["crowd", "lacks", "h"]).where(fits).select(F.least("node", "node_x").alias("u"), F.greatest("node", "node_x").alias("v")).distinct()
+
+
+def in_bands(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of the given nodes (node, root) that share a band, are in different components and aren't its head's."""
+    mine = cut(left.where("node <> head").select("key", "node").join(nodes, "node"))
+    other = mine.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
+    pair = mine.join(other, "key").where("root < root_v")
+    return pair.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = ("*",)) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate classes: rows (row: the columns to carry, rid, n_shingles) and labels (rid, root).
 
     Words are runs between white space, A-Z lower-cased; a text's set has its distinct shingles of so many words (all
     words as one if there are fewer). Texts are linked from SIMILARITY percent Jaccard similarity on; root is the least
     rid of the linked component, null for texts without words, which are linked with nothing. rid numbers rows; equal
-    sets are one node, so exact copies cost one signature.
+    sets are one node, so exact copies cost one signature. An empty table gives no rows; columns of other names, clashing
+    ones too, ride along in row; a text's set is made in one task.
 
     Candidates share a band. In a first round every node meets the least node of each of its bands, which is linear in
-    the bands; in a second one, only nodes of a band that are still in different components meet, so no link between
-    components is lost and a band that has become one component costs nothing. Both rounds verify the full sets. Shingles
-    are compared by 64-bit hashes.
+    the bands. Bands whose nodes are still in different components are open; nodes joined by them form crowds. Crowds of
+    up to SMALL nodes meet within their bands. In larger ones every node meets the node nearest to the crowd's consensus,
+    outer nodes (see Consensus) meet those that share their changes, and the others meet within the bands that are still
+    open. No link between components is lost. All rounds verify the full sets. Shingles are compared by 64-bit hashes.
     """
     whole = carry == ("*",)
     signed = packed(docs, text, carry=carry).withColumn("rid", F.monotonically_increasing_id())
@@ -193,18 +284,22 @@ def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = (
     heads = bands.groupBy("key").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "head")
     shared = cut(bands.join(heads, "key"))
     held = cut(texts.join(shared.select("rid").distinct(), "rid").select("rid", "text"))  # texts with any candidate
-    first = verified(shared.where("rid <> head").select(F.col("head").alias("u"), F.col("rid").alias("v")).distinct(), nodes, held, size)
-    roots = components(first)
-    member = shared.select("key", F.col("rid").alias("node")).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    member = cut(member)
+    links = verified(shared.where("rid <> head").select(F.col("head").alias("u"), F.col("rid").alias("v")).distinct(), nodes, held, size)
+    roots = components(links)
+    with_root = lambda df: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = cut(with_root(shared.select("key", "head", F.col("rid").alias("node"))))
     open_ = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    left = cut(member.join(open_, "key").distinct())
-    other = left.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    rest = left.select("key", F.col("node").alias("u"), F.col("root").alias("root_u")).join(other, "key").where("root_u < root_v").select("u", "v").distinct()
-    tried = shared.where("rid <> head").select(F.least("head", "rid").alias("u"), F.greatest("head", "rid").alias("v")).distinct()
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(tried, ["u", "v"], "left_anti")
-    second = verified(rest, nodes, held, size)
-    roots = components(first.union(second))
+    left = cut(member.join(open_, "key").select("key", "head", "node"))
+    small, large = crowds_of(left)
+    consensus = Consensus(large, nodes, held, size)
+    star = with_root(consensus.star().withColumnRenamed("v", "node")).withColumnRenamed("root", "root_v")
+    star = star.join(roots.select(F.col("node").alias("u"), F.col("root").alias("root_u")), "u", "left")
+    star = star.where("coalesce(root_u, u) <> root_v").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
+    links = cut(links.union(verified(star, nodes, held, size)))
+    roots = components(links)
+    inner = consensus.nodes.where("NOT outer").select("node")
+    rest = in_bands(left, with_root(small.select("node").union(inner))).union(consensus.pairs(roots)).distinct()
+    roots = components(links.union(verified(rest, nodes, held, size)))
     root = keys.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("set_key", F.coalesce("root", "rid").alias("root"))
     labels = signed.select("rid", "set_key").join(root, "set_key", "left").select("rid", "root")
     return signed.select("row", "rid", F.col("n").alias("n_shingles")), labels
