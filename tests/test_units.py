@@ -277,6 +277,37 @@ def test_pair_files_by_column_name(spark, tmp_path):
     (folder / "c.csv").write_text("source_cell,target_cell\nS3,T3\n")
     with pytest.raises(ValueError):
         R.scan_pair_files(spark, str(tmp_path))
+    loose = R.scan_pair_files(spark, str(tmp_path), strict=False)
+    assert sum(r.probability is None for r in loose.collect()) == 1
+    short = lambda df: df.withColumn("file_path", F.substring_index("file_path", "/", -1))
+    inventory = spark.createDataFrame([(f"{c}.csv", True, True) for c in "abcd"], "file_path string, has_baseline boolean, has_target boolean")
+    heads = short(R.file_headers(spark, R.pair_paths(str(tmp_path))))
+    audit = {r.file_path: (r.n_rows, r.columns, r.required_columns, r.valid) for r in R.pair_file_audit(short(loose), inventory, headers=heads).collect()}
+    assert audit == {"a.csv": (2, "extra,probability,target_cell,source_cell", True, True), "b.csv": (1, "source_cell,target_cell,probability", True, True),
+                     "c.csv": (1, "source_cell,target_cell", False, False), "d.csv": (0, "", False, False)}
+
+
+def test_headers_read_first_lines_only(spark, tmp_path):
+    """A file of a million lines gives its header without being read: the task stops after its first batch."""
+    from tidepair.sources import readers as R
+
+    for name, n in (("big", 1_000_000), ("small", 3)):
+        (tmp_path / f"{name}.csv").write_text('"a", b\n' + "1,2\n" * n)
+    (tmp_path / "empty.csv").write_text("")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    got = {r.file_path.rsplit("/", 1)[1]: r.columns for r in R.file_headers(spark, [f"{tmp_path}/*.csv"]).collect()}
+    assert got == {"big.csv": ["a", "b"], "small.csv": ["a", "b"]}
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    ordered = R.with_file_order(R.by_header(spark, [f"{tmp_path}/small.csv"], ["b"])).orderBy("ord").collect()
+    assert [r.b for r in ordered] == ["2"] * 3
+    assert R.by_header(spark, [f"{tmp_path}/empty.csv"], ["b"]).count() == 0
+
+
+def test_string_table_by_name(spark, tmp_path):
+    from tidepair.sources import readers as R
+
+    (tmp_path / "t.tsv").write_text("name\tother\tpatient_id\nx\ty\t1\n\tz\t2\n")
+    assert sorted(map(tuple, R.read_string_tsv(spark, str(tmp_path / "t.tsv"), ["patient_id", "name"]).collect())) == [("1", "x"), ("2", "")]
 
 
 def test_ids_are_cleaned_before_grouping(spark):

@@ -25,12 +25,14 @@ def workdir(spark) -> str:
 
 
 def _pair_files(t):
-    """Edge CSVs as <patient>/<dataset>/nonzero_pairs_<direction>/, one folder per group (a handful of groups)."""
+    """Edge CSVs as <patient>/<dataset>/nonzero_pairs_<direction>/, one folder per group (a handful of groups). The files of
+    patient A have their columns in another order, behind one more column."""
     base = workdir(t.spark)
     rows = cut(t("edges"))
     for r in rows.select("grp").distinct().collect():
         patient, dataset = r[0].split("|")
-        mine = rows.where(F.col("grp") == r[0]).select("source_cell", "target_cell", "probability")
+        names = ["ord", "probability", "target_cell", "source_cell"] if patient == "A" else ["source_cell", "target_cell", "probability"]
+        mine = rows.where(F.col("grp") == r[0]).select(*names)
         for d, keep in (("source_to_target", mine), ("target_to_source", mine.where("probability > 0.03"))):
             keep.write.option("header", True).csv(f"{base}/{patient}/{dataset}/nonzero_pairs_{d}")
     return base
@@ -80,16 +82,30 @@ def pair_cell_match_fraction(t):
     return _match(t).select("file_path", _r("source_match_fraction"), _r("target_match_fraction"))
 
 
-@query(f"""WITH {MATCH}, c AS (SELECT grp, count(*) AS n_rows FROM edges GROUP BY 1), i AS (SELECT DISTINCT concat(l_returnflag, '|', l_linestatus) AS f, l_returnflag <> 'N' AS hb FROM lineitem
-  UNION SELECT DISTINCT concat(o_orderstatus, '|none'), true FROM orders)
- SELECT f AS file_path, coalesce(n_rows, 0) AS n_rows, true AS required_columns, hb AS has_baseline, true AS has_target, round(coalesce(sm, 0), 9) AS source_match_fraction, coalesce(tm, 0) AS target_match_fraction,
- coalesce(n_rows, 0) > 0 AND hb AND coalesce(sm, 0) > 0.5 AND coalesce(tm, 0) > 0.5 AS valid FROM i LEFT JOIN c ON c.grp = f LEFT JOIN m ON m.grp = f LEFT JOIN n ON n.grp = f""")
+AUDITED = f"""{MATCH}, c AS (SELECT grp, count(*) AS n_rows FROM edges GROUP BY 1), i AS (SELECT DISTINCT concat(l_returnflag, '|', l_linestatus) AS f, l_returnflag <> 'N' AS hb FROM lineitem
+  UNION SELECT DISTINCT concat(o_orderstatus, '|none'), true FROM orders)"""
+
+
+@query(f"""WITH {AUDITED}, k AS (SELECT i.*, CASE WHEN split_part(f, '|', 2) = 'none' THEN '' WHEN f LIKE 'R%' THEN 'source_cell,target_cell' WHEN f LIKE 'A%' THEN 'ord,probability,target_cell,source_cell'
+  ELSE 'source_cell,target_cell,probability' END AS columns FROM i)
+ SELECT f AS file_path, coalesce(n_rows, 0) AS n_rows, columns, columns LIKE '%probability%' AS required_columns, hb AS has_baseline, true AS has_target, round(coalesce(sm, 0), 9) AS source_match_fraction, coalesce(tm, 0) AS target_match_fraction,
+ coalesce(n_rows, 0) > 0 AND columns LIKE '%probability%' AND hb AND coalesce(sm, 0) > 0.5 AND coalesce(tm, 0) > 0.5 AS valid FROM k LEFT JOIN c ON c.grp = f LEFT JOIN m ON m.grp = f LEFT JOIN n ON n.grp = f""")
 def pair_file_audit(t):
+    """Files of three headers: as usual, reordered with one more column (A), without probability (R); and listed files that
+    are not there."""
+    base, rows = workdir(t.spark), cut(t("edges"))
+    for patient, names in (("A", ["ord", "probability", "target_cell", "source_cell"]), ("N", ["source_cell", "target_cell", "probability"]), ("R", ["source_cell", "target_cell"])):
+        mine = rows.where(F.col("grp").startswith(patient)).select("grp", *names).repartition("grp")
+        mine.write.partitionBy("grp").option("header", True).csv(f"{base}/{patient}/all/nonzero_pairs_source_to_target")
+    paths = [f"{base}/*/all/nonzero_pairs_source_to_target/*/*.csv"]
+    group = F.url_decode(F.regexp_extract("file_path", "grp=([^/]*)/", 1)).alias("grp")
+    pairs = R.by_header(t.spark, paths, R.PAIR_COLUMNS, strict=False).withColumn("file_path", group)
+    headers = R.file_headers(t.spark, paths).select(group.alias("file_path"), "columns").dropDuplicates(["file_path"])
     files = t("lineitem").select(F.concat_ws("|", "l_returnflag", "l_linestatus").alias("file_path"), (F.col("l_returnflag") != "N").alias("has_baseline"))
     empty = t("orders").select(F.concat("o_orderstatus", F.lit("|none")), F.lit(True))
     inventory = files.union(empty).distinct().withColumn("has_target", F.lit(True))
-    out = R.pair_file_audit(t("edges").withColumnRenamed("grp", "file_path"), inventory, _match(t), threshold=0.5)
-    return out.withColumn("source_match_fraction", F.round("source_match_fraction", 9))
+    match = R.pair_cell_match_fraction(pairs, _known_cells(t))
+    return R.pair_file_audit(pairs, inventory, match, threshold=0.5, headers=headers).withColumn("source_match_fraction", F.round("source_match_fraction", 9))
 
 
 @query("SELECT l_returnflag AS job, l_linestatus AS chunk, concat('S', l_suppkey) AS source_cell, concat('T', l_partkey) AS target_cell, greatest(sum(l_quantity - 10), 0) AS probability FROM lineitem GROUP BY ALL")
@@ -103,8 +119,8 @@ def scan_transport_matrix(t):
 @query("SELECT CAST(c_custkey AS STRING) AS patient_id, CASE WHEN c_nationkey % 3 = 0 THEN '' ELSE c_mktsegment END AS dataset_id, c_name AS name FROM customer")
 def read_string_tsv(t):
     path = workdir(t.spark)
-    t("customer").select(F.col("c_custkey").cast("string").alias("patient_id"), F.when(F.col("c_nationkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("dataset_id"),
-                         F.col("c_name").alias("name")).write.option("sep", "\t").option("header", True).csv(path)
+    t("customer").select(F.col("c_name").alias("name"), F.lit("x").alias("other"), F.when(F.col("c_nationkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("dataset_id"),
+                         F.col("c_custkey").cast("string").alias("patient_id")).write.option("sep", "\t").option("header", True).csv(path)
     return R.read_string_tsv(t.spark, path, ["patient_id", "dataset_id", "name"])
 
 

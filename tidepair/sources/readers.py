@@ -1,60 +1,101 @@
 """Readers: pair files, string tables, count matrices, gene sets, clinical JSON, lookups."""
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepair.functions.clean import clean, clean_str, normalize_technology, strip_concat_suffix, to_number, trimmed
 from tidepair.operators.outcomes import CASE
 from tidepair.plans.ordered import row_rank, top_rows, with_totals
+from tidepair.plans.session import broadcast_rows, shared_folder, ship_package
 
 DIRECTIONS = ("source_to_target", "target_to_source")
 PAIR_COLUMNS = ("source_cell", "target_cell", "probability")
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Adds file_path and ord: increasing with the row's place in its file.
+    """Adds file_path and ord: increasing with the row's place in its file. Takes rows of by_header().
 
     A block starting at byte b holds fewer rows than bytes, so b + row-in-block is unique and
     ordered; the per-block minimum is a tiny aggregate.
     """
-    rows = df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_b"),
-                     F.monotonically_increasing_id().alias("_m"))
-    rows = with_totals(rows, ["file_path", "_b"], _m0=F.min("_m"))
-    return rows.withColumn("ord", F.col("_b") + F.col("_m") - F.col("_m0")).drop("_b", "_m", "_m0", "_metadata")
+    rows = with_totals(df, ["file_path", "_b"], _m0=F.min("_m"))
+    return rows.withColumn("ord", F.col("_b") + F.col("_m") - F.col("_m0")).drop("_b", "_m", "_m0")
+
+
+#: Bytes that a header task is told a file costs to open: more than any split, so that each task gets one file.
+WHOLE_FILE = 1 << 40
 
 
-def by_header(spark: SparkSession, paths, columns, sep: str = ",") -> DataFrame:
+def file_headers(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
+    """(file_path, columns) of delimited files: the names in each file's first line.
+
+    A task has one file, takes its first line and stops reading, so the bytes read do not grow with the files. The table is
+    written to the shared folder. Files without a line are left out. The settings are those of a session of its own.
+    """
+    ship_package(spark)
+    probe = spark.newSession()
+    for name, value in (("files.maxPartitionBytes", WHOLE_FILE), ("files.openCostInBytes", WHOLE_FILE), ("execution.arrow.maxRecordsPerBatch", 1)):
+        probe.conf.set("spark.sql." + name, str(value))
+
+    def first_line(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    lines = probe.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    heads = lines.mapInArrow(first_line, "file_path string, start long, value string").where("start = 0")
+    names = F.transform(F.split("value", re.escape(sep), -1), lambda n: F.btrim(F.btrim(n), F.lit('"\ufeff')))
+    path = f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
+    heads.select("file_path", names.alias("columns")).write.parquet(path)
+    return spark.read.schema("file_path string, columns array<string>").parquet(path)
+
+
+def by_header(spark: SparkSession, paths, columns, sep: str = ",", strict: bool = True, **options) -> DataFrame:
     """String columns of delimited files by their names in each file's own header, whatever their order; other columns
-    are left out and a missing one fails. The hidden _metadata column stays available.
+    are left out. A missing one fails, or is null where strict is false. Adds file_path, and _b, _m for with_file_order().
 
-    A file's header is the row at byte 0; only headers are brought together, one row a file.
+    Files are read once, by position, as wide as the widest header. Positions come from the most frequent header; the files
+    whose columns stand elsewhere are joined by their path (broadcast below the session's row bound).
     """
-    text = spark.read.text(paths)
-    heads = text.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), "value",
-                        F.monotonically_increasing_id().alias("_m")).where(F.col("_s") == 0)
-    heads = heads.groupBy("_f").agg(F.min_by("value", "_m").alias("header"))
-    options = {"sep": sep, "mode": "PERMISSIVE"}
-    kinds = sorted({r["header"] for r in heads.select("header").distinct().collect()})
-    out = None
-    for header in kinds:
-        names = [n.strip().strip('"').lstrip("\ufeff") for n in header.split(sep)]
-        missing = [c for c in columns if c not in names]
-        if missing:
-            raise ValueError(f"missing columns {missing} in a file with the header {header!r}")
-        files = [r["_f"] for r in heads.where(F.col("header") == header).select("_f").collect()]
-        schema = ", ".join(f"`_{i}` string" for i in range(len(names)))
-        rows = spark.read.options(**options).option("header", True).schema(schema).csv(files)
-        rows = rows.select(*[F.col(f"_{names.index(c)}").alias(c) for c in columns], "_metadata")
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
-
-
-def scan_pair_files(spark: SparkSession, base: str, direction: str = "source_to_target", ordered: bool = True) -> DataFrame:
-    """Pair CSVs under <base>/<patient>/<dataset>/nonzero_pairs_<direction>/; 'both' reads both directions."""
-    names = DIRECTIONS if direction == "both" else (direction,)
-    paths = [f"{base}/*/*/nonzero_pairs_{d}/*.csv" for d in names]
-    rows = by_header(spark, paths, PAIR_COLUMNS).withColumn("probability", F.expr("try_cast(probability AS double)"))
-    return with_file_order(rows) if ordered else rows.withColumn("file_path", F.col("_metadata.file_path")).drop("_metadata")
+    columns = list(columns)
+    heads = file_headers(spark, paths, sep)
+    at = F.array(*[F.array_position("columns", c) for c in columns]).alias("at")  # from 1; 0 where a column is missing
+    kinds = heads.select(at, F.size("columns").alias("width")).groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max("width").alias("width"))
+    usual = kinds.agg(F.max_by("at", F.struct("n", "at")).alias("at"), F.max("width").alias("width"), F.count(F.lit(1)).alias("kinds")).first()
+    if not usual.kinds:
+        names = ", ".join(f"`{c}` string" for c in columns)
+        return spark.createDataFrame([], f"{names}, file_path string, _b long, _m long")
+    if strict:
+        bad = heads.where(F.exists(at, lambda i: i == 0)).limit(1).collect()
+        if bad:
+            raise ValueError(f"missing columns {[c for c in columns if c not in bad[0].columns]} in {bad[0].file_path}")
+    schema = ", ".join(f"`_{i}` string" for i in range(1, usual.width + 1))
+    rows = spark.read.options(sep=sep, mode="PERMISSIVE", **options).option("header", True).schema(schema).csv(paths)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    place = F.array(*[F.lit(i) for i in usual.at])
+    if usual.kinds > 1:
+        others = heads.select("file_path", at).where(F.col("at") != place).withColumnRenamed("at", "_at")
+        others = F.broadcast(others) if others.count() <= broadcast_rows(spark) else others
+        rows, place = rows.join(others, "file_path", "left"), F.coalesce("_at", place)
+    values = F.array(*[F.col(f"_{i}") for i in range(1, usual.width + 1)])
+    pick = lambda k: F.get(values, (place[k] - 1).cast("int")) if usual.kinds > 1 else (F.col(f"_{usual.at[k]}") if usual.at[k] else F.lit(None).cast("string"))
+    return rows.select(*[pick(k).alias(c) for k, c in enumerate(columns)], "file_path", "_b", "_m")
+
+
+def pair_paths(base: str, direction: str = "source_to_target") -> list[str]:
+    """Pair CSVs under <base>/<patient>/<dataset>/nonzero_pairs_<direction>/; 'both' means both directions."""
+    return [f"{base}/*/*/nonzero_pairs_{d}/*.csv" for d in (DIRECTIONS if direction == "both" else (direction,))]
+
+
+def scan_pair_files(spark: SparkSession, base: str, direction: str = "source_to_target", ordered: bool = True, strict: bool = True) -> DataFrame:
+    """Rows of the pair files. A file without a required column fails the scan; strict=False reads it with nulls, for
+    pair_file_audit() to report."""
+    rows = by_header(spark, pair_paths(base, direction), PAIR_COLUMNS, strict=strict).withColumn("probability", F.expr("try_cast(probability AS double)"))
+    return with_file_order(rows) if ordered else rows.drop("_b", "_m")
 
 
 def target_file(transition: Column) -> Column:
@@ -108,14 +149,20 @@ def pair_cell_match_fraction(pairs: DataFrame, cells: DataFrame, file: str = "fi
 
 
 def pair_file_audit(pairs: DataFrame, inventory: DataFrame, match: DataFrame | None = None, file: str = "file_path",
-                    threshold: float = 0.99) -> DataFrame:
-    """Per file: rows, required columns present, matrices present, match fractions, valid flag.
+                    threshold: float = 0.99, headers: DataFrame | None = None) -> DataFrame:
+    """Per file: rows, column list, required columns present, matrices present, match fractions, valid flag.
 
-    inventory(file, has_baseline, has_target) lists every discovered file, also empty ones.
+    inventory(file, has_baseline, has_target) lists every discovered file, also empty ones. headers(file, columns) are the
+    files' own headers (file_headers); a file without a header has no columns. Without headers, all files have those of pairs.
     """
-    required = all(c in pairs.columns for c in PAIR_COLUMNS)
     n = pairs.groupBy(file).agg(F.count(F.lit(1)).alias("n_rows"))
-    out = inventory.join(n, file, "left").na.fill(0, ["n_rows"]).withColumn("required_columns", F.lit(required))
+    out = inventory.join(n, file, "left").na.fill(0, ["n_rows"])
+    if headers is None:
+        listed = F.array(*[F.lit(c) for c in pairs.columns if c in PAIR_COLUMNS])
+    else:
+        out, listed = out.join(headers.withColumnRenamed("columns", "_listed"), file, "left"), F.coalesce("_listed", F.array().cast("array<string>"))
+    needed = F.array(*[F.lit(c) for c in PAIR_COLUMNS])
+    out = out.withColumn("columns", F.array_join(listed, ",")).withColumn("required_columns", F.size(F.array_except(needed, listed)) == 0).drop("_listed")
     ok = (F.col("n_rows") > 0) & F.col("required_columns") & F.col("has_baseline") & F.col("has_target")
     if match is not None:
         out = out.join(match, file, "left").na.fill(0.0, ["source_match_fraction", "target_match_fraction"])
@@ -133,10 +180,9 @@ def scan_transport_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_string_tsv(spark: SparkSession, path: str, columns) -> DataFrame:
-    """All-string table; an empty field stays an empty string."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.read.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "\u0000").schema(schema).csv(path)
-    return rows.na.fill("")
+    """All-string table, columns by name; an empty field stays an empty string."""
+    rows = by_header(spark, path, columns, "\t", emptyValue="", nullValue="\u0000")
+    return rows.select(*columns).na.fill("")
 
 
 def read_wide_counts(spark: SparkSession, path: str, columns, samples, dataset: str) -> DataFrame:
@@ -144,7 +190,7 @@ def read_wide_counts(spark: SparkSession, path: str, columns, samples, dataset:
 
     A negative, non-numeric or non-finite count fails the job.
     """
-    wide = by_header(spark, path, columns, "\t").drop("_metadata")
+    wide = by_header(spark, path, columns, "\t")
     long = wide.select("gene_id", "gene_symbol", *samples).unpivot(["gene_id", "gene_symbol"], list(samples), "sample_id", "raw")
     value = to_number(F.col("raw"), True)
     checked = F.when(value.isNotNull(), value).otherwise(F.raise_error("invalid count"))
