@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidepair.operators import pseudobulk as P
-from tidepair.plans.session import cut
+from tidepair.plans.session import broadcast_rows, cut, cut_counted
 
 from .sqlmath import bh, fisher, t_p
 from .tables import query
@@ -69,13 +69,16 @@ def _states(t, by_metric=False):
         pairs, by, scopes, least = pairs.withColumn("band", band), ["tumor_type", "band"], _metric_scopes(), 0
     else:
         by, scopes, least = LABELS, P.tumor_scopes(), MIN_PAIRS
-    return P.pseudobulk_states(pairs, t("expr"), by), cut(P.scope_counts(pairs, by, scopes, least)), scopes
+    counts, n = cut_counted(P.scope_counts(pairs, by, scopes, least))
+    counts = F.broadcast(counts) if n <= broadcast_rows(t.spark) else counts
+    return P.pseudobulk_states(pairs, t("expr"), by), counts, scopes
 
 
 def _bulk(t, by_metric=False):
     """Means per scope, replicate and gene, and sizes of the scopes."""
     states, counts, scopes = _states(t, by_metric)
-    return P.pseudobulk_means(states, scopes, counts), P.scope_sizes(counts)
+    sizes, n = cut_counted(P.scope_sizes(counts))
+    return P.pseudobulk_means(states, scopes, counts), F.broadcast(sizes) if n <= broadcast_rows(t.spark) else sizes
 
 
 def _table(t, by_metric=False):

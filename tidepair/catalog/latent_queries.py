@@ -249,14 +249,14 @@ def segment_gene_changes(t):
     return P.segment_gene_changes(_sgt(t)).select("segment", "gene_id", "samples", _r("pretreatment_mean"), _r("predicted_mean"), _r("mean_delta"))
 
 
-HOT = GT + f""", ho AS (SELECT sample_id, gene_id FROM gt WHERE measured QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(abs(qm - pm), 9) DESC, gene_id) <= 10
+HOT = GT + f""", ho AS (SELECT sample_id, gene_id FROM gt WHERE measured QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(abs(qm - pm), 9) DESC, gene_id) <= 50
  UNION SELECT sample_id, gene_id FROM gt WHERE measured AND gene_id IN ('D1', 'D2', 'D5', 'D33')), hv AS (SELECT sl.sample_id, sl.spot_id, gene_id, pred - pre AS value FROM sl JOIN ho USING (sample_id, gene_id)),
  {NN}, {MOR.format(f='gene_id, ', v='value', s='hv', g='hv.gene_id, ', u=', gene_id', h='gene_id, ', a='a.gene_id, ', j=' AND b.gene_id = a.gene_id')}, hm AS (SELECT sample_id, gene_id, avg(value) AS mean_delta FROM hv GROUP BY ALL)"""
 
 
 def _hot(t):
     panel = P.panel_table(t.spark, {g: "panel" for g in ("d1", "D2", "D5", "D33")})
-    hot = P.hotspot_genes(_gt(t), "sample_id", panel, 10)
+    hot = P.hotspot_genes(_gt(t), "sample_id", panel)
     values = _sl(t).join(hot, ["sample_id", "gene_id"]).withColumn("value", F.col("pred") - F.col("pre"))
     mean = values.groupBy("sample_id", "gene_id").agg(F.avg("value").alias("mean_delta"))
     return P.morans_i(values.select("sample_id", "gene_id", "spot_id", "value"), t("spots"), "sample_id", ["gene_id"]).join(mean, ["sample_id", "gene_id"])

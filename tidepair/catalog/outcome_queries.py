@@ -144,17 +144,17 @@ def auprc(t):
 
 
 def _draw_sql(rep, slot, n):
-    b = f"((({rep}) * 1000003 + ({slot}) * 7919) * 2654435761 % 2147483647)"
+    b = f"((({rep}) * 1000003 + ({slot}) * 7919) % 2147483647 * 2654435761 % 2147483647)"
     return f"(({b} * 48271) % 2147483647 % ({n}))"
 
 
 @query(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM scores), n AS (SELECT count(*) AS n FROM o),
- d AS (SELECT rep, {_draw_sql('rep', 'pos', 'n')} AS pick FROM o, n, (SELECT unnest(range(1, 101)) AS rep)),
+ d AS (SELECT rep, {_draw_sql('rep', 'pos', 'n')} AS pick FROM o, n, (SELECT unnest(range(1, 1001)) AS rep)),
  b AS (SELECT rep, score, label FROM d JOIN o ON o.pos = pick), r AS (SELECT *, {avg_rank('score', 'rep')} AS r FROM b),
  a AS (SELECT rep, (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0) AS auc FROM r GROUP BY 1)
  SELECT round(quantile_cont(auc, 0.025), 9) AS ci_low, round(quantile_cont(auc, 0.975), 9) AS ci_high, count(auc) AS n_valid FROM a""")
 def bootstrap_ci(t):
-    return S.bootstrap_auroc_ci(t("scores"), "id", "score", "label", 100).select(_r("ci_low"), _r("ci_high"), "n_valid")
+    return S.bootstrap_auroc_ci(t("scores"), "id", "score", "label", 1000).select(_r("ci_low"), _r("ci_high"), "n_valid")
 
 
 @query("""SELECT doc_id, name, CASE WHEN split_part(upper(name), '__', 1) IN ('TAM', 'TEXH', 'CAF', 'TIDE') THEN -v ELSE v END AS oriented FROM

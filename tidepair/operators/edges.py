@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidepair.functions.clean import finite, strip_concat_suffix, to_number
-from tidepair.plans.session import cut, cut_counted, hot_rows
+from tidepair.plans.session import broadcast_rows, cut, cut_counted, hot_rows
 from tidepair.plans.ordered import attach_one, is_hot, join_on, quantiles, row_rank, running, with_totals
 
 EPS = 1e-8
@@ -153,6 +153,8 @@ def measure_edges(edges: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
     """Prepared edges with the metrics of both sides' cells (prefix source_ / target_) and the flags of best edges, written
     once, and their number. One scan and one shuffle a side, whatever is asked of them afterwards."""
     base, n = prepare_counted(edges)
+    sizes, groups = cut_counted(sizes)
+    sizes = F.broadcast(sizes) if groups <= broadcast_rows(edges.sparkSession) else sizes
     out = measured_side(measured_side(base, sizes, "source", n), sizes, "target", n)
     out = (out.withColumn("is_top1_target", (F.col("source_rank") == 1).cast("int"))
            .withColumn("is_top1_source", (F.col("target_rank") == 1).cast("int"))

@@ -84,11 +84,13 @@ def pseudobulk_means(states: DataFrame, scopes: Column, counts: DataFrame) -> Da
     """Per scope, replicate and gene: sums, non-zero counts and means over pairs, both sides.
 
     States are merged into the scopes of their columns; counts (scope_counts) keeps the scopes that count and gives the
-    number of pairs. Means divide by it, so cells without a stored row count as zero.
+    number of pairs. Means divide by it, so cells without a
+    stored row count as zero.
     """
     keys = [*KEYS, "replicate_id"]
-    sums = states.select("replicate_id", "gene_id", *STATE, F.explode(scopes).alias("_s")).groupBy(
-        "_s.scope", "_s.scope_key", "replicate_id", "gene_id").agg(*[F.sum(c).alias(c) for c in STATE])
+    # a gene's states (replicates x labels) are dealt together: the sums below, and those per gene after, need no shuffle
+    sums = states.repartition("gene_id").select("replicate_id", "gene_id", *STATE, F.explode(scopes).alias("_s")).select(
+        "_s.*", "replicate_id", "gene_id", *STATE).groupBy(*keys, "gene_id").agg(*[F.sum(c).alias(c) for c in STATE])
     return (join_on(sums, counts, keys).withColumn("source_mean", F.col("source_sum") / F.col("n_pairs"))
             .withColumn("target_mean", F.col("target_sum") / F.col("n_pairs")))
 

@@ -134,7 +134,7 @@ def wilcoxon(df: DataFrame, keys, delta: str, probe=None) -> DataFrame:
 def draw_index(rep: Column, slot: Column, n: Column, seed: int = 0) -> Column:
     """Arithmetic hash index in [0, n) of one bootstrap draw (the same in every engine)."""
     a = (rep * F.lit(1000003) + slot * F.lit(7919) + F.lit(seed)).cast("bigint")
-    b = F.pmod(a * F.lit(2654435761), F.lit(2147483647))
+    b = F.pmod(F.pmod(a, F.lit(2147483647)) * F.lit(2654435761), F.lit(2147483647))  # within 64 bits for any table
     return F.pmod(F.pmod(b * F.lit(48271), F.lit(2147483647)), n)
 
 
@@ -160,13 +160,6 @@ def bootstrap_auroc_ci(df: DataFrame, order: str, score: str, label: str, reps:
     return attach_one(ci, stats.agg(F.count(F.lit(1)).alias("n_valid")))
 
 
-def bootstrap_mean_ci(df: DataFrame, order: str, value: str, reps: int = 2000, seed: int = 0) -> DataFrame:
-    """Mean and its 2.5 / 97.5 bootstrap percentiles."""
-    means = bootstrap_draws(df, order, reps, seed).groupBy("rep").agg(F.avg(value).alias("_m"))
-    ci = quantiles(means, [], "_m", {"ci_low": 0.025, "ci_high": 0.975}, reps)
-    return attach_one(ci, df.agg(F.avg(value).alias("mean")))
-
-
 def response_performance(df: DataFrame, keys, cohort: str, score: str, label: str, min_rows: int = 3) -> DataFrame:
     """AUROC and AUPRC pooled ('all') and per cohort."""
     both = df.withColumn("scope", F.explode(F.array(F.lit("all"), F.concat(F.lit("cohort:"), F.col(cohort)))))
