@@ -350,3 +350,15 @@ def test_reference_counts(spark, monkeypatch):
     pred = [r.pred for r in entry.queries()["baseline_pca_ridge"](spark, "/root/testdata/sf0.001").where("fold = 0").collect()]
     x = np.array(pred)
     assert np.linalg.matrix_rank(x - x.mean(axis=0), tol=1e-3) == min(32, len(x) - 1, x.shape[1])
+
+
+def test_every_draw_meets_one_interval(spark):
+    """Fractional, tiny, zero, null and NaN weights: n draws a shard, none of a weight of zero."""
+    from tidepair.operators import splits
+
+    weights = [0.1, 1e-30, 0.3, None, float("nan"), -2.0, 0.0, 1 / 3, 1e12 / 7]
+    rows = [("a", i, w) for i, w in enumerate(weights)] + [("b", i, 0.0) for i in range(5)] + [("c", i, (i % 7 + 1) / 9.7) for i in range(400)]
+    got = splits.probability_sampling(spark.createDataFrame(rows, "shard string, ord int, w double").repartition(3), "shard", "ord", "w", 300).collect()
+    assert {s: sum(r.shard == s for r in got) for s in "abc"} == {"a": 300, "b": 300, "c": 300}
+    assert {r.draw for r in got if r.shard == "c"} == set(range(1, 301))
+    assert {r.ord for r in got if r.shard == "a"} <= {0, 1, 2, 7, 8} and len({r.ord for r in got if r.shard == "b"}) == 5

@@ -201,13 +201,14 @@ def epoch_shuffle(t):
     return S.epoch_shuffle(rows, 9, 4).select("pair_id", "position")
 
 
-@query("""WITH p AS (SELECT pair_id, ord, ord // 500 AS shard, floor(probability * 500000) AS w FROM pairs),
+@query("""WITH s AS (SELECT pair_id, ord, ord // 500 AS shard, probability / 7 AS w FROM pairs), m AS (SELECT shard, pow(2.0::DOUBLE, 30 - floor(log2(max(w)))) AS unit FROM s GROUP BY 1),
+ p AS (SELECT pair_id, ord, shard, CAST(CASE WHEN w > 0 THEN greatest(floor(w * unit + 0.5), 1) ELSE 0 END AS BIGINT) AS w FROM s JOIN m USING (shard)),
  c AS (SELECT *, sum(w) OVER (PARTITION BY shard ORDER BY ord) AS hi, sum(w) OVER (PARTITION BY shard) AS mass FROM p),
- d AS (SELECT shard, mass, draw, (('0x' || substr(md5(concat('2:', shard, ':', draw)), 1, 13))::BIGINT)::DOUBLE / pow(16, 13) * mass AS pt
+ d AS (SELECT shard, mass, draw, floor((('0x' || substr(md5(concat('2:', shard, ':', draw)), 1, 13))::BIGINT)::DOUBLE / pow(16, 13) * mass) AS pt
   FROM (SELECT DISTINCT shard, mass FROM c), (SELECT unnest(range(1, 201)) AS draw))
  SELECT d.shard, draw, pair_id FROM d JOIN c ON c.shard = d.shard AND hi - w <= pt AND pt < hi""")
 def probability_sampling(t):
-    p = t("pairs").select("pair_id", "ord", F.floor(F.col("ord") / 500).alias("shard"), F.floor(F.col("probability") * 500000).alias("w"))
+    p = t("pairs").select("pair_id", "ord", F.floor(F.col("ord") / 500).alias("shard"), (F.col("probability") / 7).alias("w"))
     return S.probability_sampling(p, "shard", "ord", "w", 200, 2).select("shard", F.col("draw").cast("bigint").alias("draw"), "pair_id")
 
 

@@ -159,20 +159,25 @@ def epoch_shuffle(pairs: DataFrame, seed: int, epoch: int) -> DataFrame:
 def probability_sampling(pairs: DataFrame, shard: str, order: str, weight: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement per shard, proportional to max(weight, 0); all-zero shards draw uniformly.
 
-    Cumulative intervals are laid on as many equal cells as the shard has rows, so the draw
+    Weights are counted in whole units, 2**-30 of the power of two below the shard's greatest weight (positive ones at
+    least one), so running totals are exact: an interval begins where the one before ends, and every draw meets exactly
+    one, in whatever order sums are formed. Intervals are laid on as many equal cells as the shard has rows, so the draw
     lookup is an equi join on (shard, cell): an interval meets about two cells, a draw one.
     """
     w = F.greatest(F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    rows = with_totals(pairs.withColumn("_w", w), [shard], _mass=F.sum("_w"), _rows=F.count(F.lit(1)))
-    rows = rows.withColumn("_w", F.when(F.col("_mass") <= 1e-8, 1.0).otherwise(F.col("_w")))
-    rows = rows.withColumn("_mass", F.when(F.col("_mass") <= 1e-8, F.col("_rows").cast("double")).otherwise(F.col("_mass")))
+    rows = with_totals(pairs.withColumn("_w", w), [shard], _mass=F.sum("_w"), _top=F.max("_w"), _rows=F.count(F.lit(1)))
+    unit = F.pow(F.lit(2.0), 30 - F.floor(F.log2("_top")))
+    units = F.when(F.col("_w") > 0, F.greatest(F.floor(F.col("_w") * unit + 0.5), F.lit(1))).otherwise(F.lit(0))
+    rows = rows.withColumn("_w", F.when(F.col("_mass") <= 1e-8, F.lit(1)).otherwise(units).cast("bigint")).drop("_mass", "_top")
+    rows = with_totals(rows, [shard], _mass=F.sum("_w"))
     rows = running(rows, [shard], [order], {"_hi": "_w"}).withColumn("_lo", F.col("_hi") - F.col("_w"))
     rows = rows.where(F.col("_w") > 0)
     cell = lambda x: F.floor(x / F.col("_mass") * F.col("_rows"))
     laid = rows.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
     totals = rows.groupBy(shard).agg(F.max("_mass").alias("_mass"), F.max("_rows").alias("_rows"))
     draws = totals.select(shard, "_mass", "_rows", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
-    draws = draws.withColumn("_at", unit_draw(seed, shard, "draw") * F.col("_mass")).withColumn("_cell", cell(F.col("_at")))
+    at = F.least(F.floor(unit_draw(seed, shard, "draw") * F.col("_mass")), F.col("_mass") - 1)
+    draws = draws.withColumn("_at", at).withColumn("_cell", cell(F.col("_at")))
     found = draws.select(shard, "draw", "_at", "_cell").join(laid.drop("_mass", "_rows"), [shard, "_cell"])
     return found.where((F.col("_lo") <= F.col("_at")) & (F.col("_at") < F.col("_hi"))).drop(
         "_at", "_cell", "_lo", "_hi", "_w")
