@@ -165,6 +165,16 @@ def _survival_data(n=90, seed=5):
     return [(int(rng.integers(0, 2)), float(rng.integers(1, 15)), int(rng.random() < 0.6), float(np.round(rng.normal(), 1))) for _ in range(n)]
 
 
+def test_cox_with_a_far_optimum_and_without_convergence(spark):
+    """A rare covariate of large effect: whole Newton steps from 0 overshoot, halved ones arrive; too few steps fail."""
+    data = [(0, float(i + 1), 1, 9.0 if i < 3 else 0.0) for i in range(60)]
+    df = spark.createDataFrame([("k", *d) for d in data], "k string, g int, t double, e int, z double")
+    beta = math.log(outcomes.cox_univariate(df, ["k"], "g", "t", "e", "z", penalizer=1e-4).first().hazard_ratio)
+    assert all(_cox_loss(beta, data, 1e-4) <= _cox_loss(beta + d, data, 1e-4) for d in (-1e-3, 1e-3))
+    with pytest.raises(RuntimeError, match="convergence"):
+        outcomes.cox_univariate(df, ["k"], "g", "t", "e", "z", iterations=1)
+
+
 @pytest.mark.parametrize("limit", ["4000000", "5"])
 def test_cox_matches_direct_optimum(spark, limit):
     data = _survival_data()

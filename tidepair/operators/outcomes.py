@@ -109,11 +109,12 @@ def melt_features(wide: DataFrame, ids, features, layer: str) -> DataFrame:
 
 
 def cox_univariate(df: DataFrame, keys, stratum: str, time: str, event: str, z: str, penalizer: float = 0.01,
-                   iterations: int = 8, min_rows: int = 20, min_events: int = 5) -> DataFrame:
+                   iterations: int = 60, min_rows: int = 20, min_events: int = 5, tolerance: float = 1e-9) -> DataFrame:
     """One-covariate Cox model per key, stratified, Efron ties, ridge n*penalizer*beta^2/2 (our choice).
 
     Every Newton step is one aggregation over distinct event times plus a running risk-set
-    total; only the small per-key coefficient table is cut between steps.
+    total; only the small per-key coefficient table is cut between steps. A step that lowers the penalised likelihood is
+    halved; a key leaves once its step is below the tolerance. Keys left after `iterations` steps fail the job.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(stratum).alias("_g"), F.col(time).cast("double").alias("_t"),
@@ -123,12 +124,14 @@ def cox_univariate(df: DataFrame, keys, stratum: str, time: str, event: str, z:
     rows = cut(rows.join(gates.select(*keys), keys, "left_semi").groupBy(*keys, "_g", "_t", "_e", "_z").agg(
         F.count(F.lit(1)).cast("double").alias("_k")))
     bound = rows.groupBy(*keys, "_g").agg(F.count_distinct("_t").alias("n")).agg(F.max("n")).first()[0] or 0
-    beta = cut(gates.withColumn("beta", F.lit(0.0)))
+    none = F.lit(None).cast("double")
+    beta = cut(gates.withColumn("beta", F.lit(0.0)).withColumn("_old", F.lit(0.0)).withColumn("_best", none).withColumn("_info", none).withColumn("_done", F.lit(False)))
     for _ in range(iterations):
+        live = beta.where("NOT _done")
         w = F.col("_k") * F.exp(F.col("beta") * F.col("_z"))
         zz, e = F.col("_z"), F.col("_e") == 1
         ev = lambda c: F.sum(F.when(e, c).otherwise(0.0))
-        steps = rows.join(beta.select(*keys, "beta"), keys).groupBy(*keys, "_g", "_t").agg(
+        steps = rows.join(live.select(*keys, "beta"), keys).groupBy(*keys, "_g", "_t").agg(
             F.sum(w).alias("_s0"), F.sum(w * zz).alias("_s1"), F.sum(w * zz * zz).alias("_s2"), ev(F.col("_k")).alias("_d"),
             ev(F.col("_k") * zz).alias("_ez"), ev(w).alias("_e0"), ev(w * zz).alias("_e1"), ev(w * zz * zz).alias("_e2"))
         risk = running(steps, keys + ["_g"], [("_t", False)], {"_r0": "_s0", "_r1": "_s1", "_r2": "_s2"}, int(bound))
@@ -141,11 +144,23 @@ def cox_univariate(df: DataFrame, keys, stratum: str, time: str, event: str, z:
         f = F.col("_l") / F.col("_d")
         a0, a1, a2 = (F.col("_r" + i) - f * F.col("_e" + i) for i in "012")
         lead = F.when(F.col("_l") == 0, F.col("_ez")).otherwise(0.0)
-        slope = tied.groupBy(*keys).agg(F.sum(lead - a1 / a0).alias("_u"), F.sum(a2 / a0 - (a1 / a0) * (a1 / a0)).alias("_i"))
-        pen = F.col("n") * penalizer
-        info = F.col("_i") + pen
-        beta = cut(beta.select(*keys, "n", "events", "beta").join(slope, keys).withColumn("_info", info).withColumn(
-            "beta", F.col("beta") + (F.col("_u") - pen * F.col("beta")) / info).drop("_u", "_i"))
+        slope = tied.groupBy(*keys).agg(F.sum(lead - a1 / a0).alias("_u"), F.sum(a2 / a0 - (a1 / a0) * (a1 / a0)).alias("_i"),
+                                        F.sum(lead).alias("_lead"), F.sum(F.log(a0)).alias("_log"))
+        pen, b = F.col("n") * penalizer, F.col("beta")
+        step = (F.col("_u") - pen * b) / (F.col("_i") + pen)
+        near = lambda x, bound: F.abs(x) <= bound * (1 + F.abs(b))
+        scored = live.drop("_info").join(slope, keys).withColumn("_value", b * F.col("_lead") - F.col("_log") - pen * b * b / 2).withColumn("_info", F.col("_i") + pen)
+        rises = F.isnull("_best") | (~F.isnan("_value") & (F.col("_value") >= F.col("_best") - 1e-10 * (1 + F.abs("_best"))))
+        scored = scored.withColumn("_up", rises).withColumn("_done", F.when(F.col("_up"), near(step, tolerance)).otherwise(near(b - F.col("_old"), tolerance * 1e-2)))
+        move = F.when(F.col("_done"), b).when(F.col("_up"), b + step).otherwise((b + F.col("_old")) / 2)
+        moved = scored.select(*keys, "n", "events", move.alias("beta"), F.when(F.col("_up"), b).otherwise(F.col("_old")).alias("_old"),
+                              F.when(F.col("_up"), F.col("_value")).otherwise(F.col("_best")).alias("_best"), "_info", "_done")
+        beta = cut(moved.unionByName(beta.where("_done")))
+        if not beta.where("NOT _done").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"Cox models without convergence: {beta.where('NOT _done').select(*keys).limit(5).collect()}")
+    beta = beta.drop("_old", "_best", "_done")
     se = 1 / F.sqrt(F.col("_info"))
     out = beta.withColumn("hazard_ratio", F.exp("beta")).withColumn("ci_low", F.exp(F.col("beta") - 1.959963984540054 * se)).withColumn(
         "ci_high", F.exp(F.col("beta") + 1.959963984540054 * se)).withColumn("p_value", normal_two_sided(F.col("beta") / se)).drop("_info")
