@@ -372,3 +372,14 @@ def test_every_draw_meets_one_interval(spark):
     assert {s: sum(r.shard == s for r in got) for s in "abc"} == {"a": 300, "b": 300, "c": 300}
     assert {r.draw for r in got if r.shard == "c"} == set(range(1, 301))
     assert {r.ord for r in got if r.shard == "a"} <= {0, 1, 2, 7, 8} and len({r.ord for r in got if r.shard == "b"}) == 5
+
+
+def test_an_empty_side_of_a_split_fails(spark):
+    from tidepair.operators import splits
+
+    rows = spark.createDataFrame([(i, f"p{i % 3}") for i in range(9)], "id int, patient string")
+    folds = spark.createDataFrame([(f"p{i}", i) for i in range(3)], "patient string, fold int")
+    assert splits.fold_split(rows, folds, "patient", 1).where("split = 'val'").count() == 3
+    for held_out, fold in ((7, folds), (0, folds.withColumn("fold", F.lit(0)))):
+        with pytest.raises(Exception, match="empty side"):
+            splits.fold_split(rows, fold, "patient", held_out).collect()

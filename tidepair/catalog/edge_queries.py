@@ -195,15 +195,14 @@ def confidence_score(t):
  UNION ALL SELECT 'top1', grp, ord FROM scored WHERE source_rank = 1
  UNION ALL SELECT 'top1_target', grp, ord FROM scored WHERE target_rank = 1
  UNION ALL SELECT 'mutual_top1', grp, ord FROM scored WHERE source_rank = 1 AND target_rank = 1)
- SELECT selection, grp, count(*) AS n, sum(ord)::BIGINT AS ord_sum FROM u GROUP BY ALL""")
+ SELECT * FROM u""")
 def pair_selection(t):
     ranked = _ranked(t, "source", "target")
     flags = ranked.select("grp", "ord", (F.col("source_rank") == 1).alias("a"), (F.col("target_rank") == 1).alias("b"))
     picked = F.array_compact(F.array(
         F.lit("all"), F.when(F.col("a"), F.lit("top1")), F.when(F.col("b"), F.lit("top1_target")),
         F.when(F.col("a") & F.col("b"), F.lit("mutual_top1"))))
-    return flags.select(F.explode(picked).alias("selection"), "grp", "ord").groupBy("selection", "grp").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("ord").alias("ord_sum"))
+    return flags.select(F.explode(picked).alias("selection"), "grp", "ord")
 
 
 SELECTED = f"""{SCORED}, cand AS (SELECT *, round(source_combined, 12) AS score FROM scored WHERE source_rank = 1),

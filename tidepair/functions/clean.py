@@ -40,7 +40,7 @@ STUDY_PATTERN = r"^([A-Z]-[A-Z]+-\d+|GSE\d+|SRP\d+|PRJ[A-Z]+\d+)"
 
 def trimmed(c: Column) -> Column:
     """Trim every whitespace kind, not only blanks."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r"))
 
 
 def clean(c: Column) -> Column:
@@ -62,8 +62,7 @@ def strip_ensembl_version(c: Column) -> Column:
 
 def strip_concat_suffix(c) -> Column:
     """Cleaned id without one trailing _0 or _1; missing words and null become the blank id."""
-    c = clean_str(F.col(c) if isinstance(c, str) else c)
-    return F.when(c.endswith("_0") | c.endswith("_1"), F.substring(c, F.lit(1), F.length(c) - 2)).otherwise(c)
+    return F.regexp_replace(clean_str(F.col(c) if isinstance(c, str) else c), "_[01]$", "")
 
 
 def source_study(dataset: Column) -> Column:

@@ -10,23 +10,25 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 
 def _beta_fraction(a, b, x):
-    """Continued fraction of the incomplete beta function (modified Lentz), vectorised."""
+    """Continued fraction of the incomplete beta function (modified Lentz), vectorised; rows leave when they stand still."""
     tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    out, at = np.ones_like(x), np.arange(len(x))
     c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+    d = 1.0 / away(1.0 - (a + b) * x / (a + 1.0))
     h = d.copy()
     for m in range(1, 400):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + num / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
+            d = 1.0 / away(1.0 + num * d)
+            c = away(1.0 + num / c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
+        moving = ~(np.abs(d * c - 1.0) < 2e-15)
+        out[at] = h
+        if not moving.any():
             break
-    return h
+        at, a, b, x, c, d, h = (v[moving] for v in (at, a, b, x, c, d, h))
+    return out
 
 
 def _lgamma(v):

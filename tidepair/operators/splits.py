@@ -63,11 +63,14 @@ def stable_fold_sha(df: DataFrame, group: str, folds: int, seed: int = 0) -> Dat
 
 
 def fold_split(rows: DataFrame, folds: DataFrame, group: str, held_out: int) -> DataFrame:
-    """split = train / val; a group without a fold fails the job."""
+    """split = train / val; a group without a fold fails the job, and so does a split with an empty side."""
     known = folds.withColumn("_known", F.lit(True))
     out = rows.join(known, group, "left")
-    split = F.when(F.col("fold") == held_out, "val").otherwise("train")
-    return out.withColumn("split", unknown_fails(F.col("_known"), split, "group without a fold")).drop("_known")
+    held = F.coalesce(F.col("fold") == held_out, F.lit(False))
+    sides = out.agg(F.count_if(held).alias("_val"), F.count_if(~held).alias("_train"))
+    split = unknown_fails(F.col("_known"), F.when(held, "val").otherwise("train"), "group without a fold")
+    both = attach_one(out, sides)
+    return both.withColumn("split", unknown_fails((F.col("_val") > 0) & (F.col("_train") > 0), split, "an empty side of the split")).drop("_known", "_val", "_train")
 
 
 def shard_fold_split(shards: DataFrame, folds: int, held_out: int, seed: int = 0) -> DataFrame:
