@@ -7,6 +7,7 @@ from tidepair.plans.ordered import percent_rank_avg, quantiles
 
 from tidepair.plans.session import cut
 
+from .sqlmath import avg_rank
 from .tables import query
 
 PREP = """prep AS (SELECT grp, ord, regexp_replace(source_cell, '_[01]$', '') AS source_id,
@@ -407,17 +408,39 @@ def confidence_band(t):
         band("entropy_confidence", "retained_mass", "mass_band"), band("cost_confidence", "combined_confidence", "combined_band"))
 
 
-@query("""WITH sp AS (SELECT p.ord, source_cell AS source_id, target_cell AS target_id, level, ((p.ord * 2654435761) % 1000003) / 1000003.0::DOUBLE AS u
+NOISE = """sp AS (SELECT p.ord, source_cell AS source_id, target_cell AS target_id, probability, level, ((p.ord * 2654435761) % 1000003) / 1000003.0::DOUBLE AS u
   FROM pairs p, (VALUES (0.0::DOUBLE), (0.1), (0.2), (0.3), (0.4)) l(level)),
- ch AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY ord) AS pos, count(*) OVER (PARTITION BY level) AS n FROM sp WHERE u < level),
- mv AS (SELECT a.level, a.ord, b.target_id AS noisy FROM ch a JOIN ch b ON a.level = b.level AND b.pos = CASE WHEN a.pos = a.n THEN 1 ELSE a.pos + 1 END)
- SELECT sp.level, sp.ord, source_id, target_id, coalesce(noisy, target_id) AS noisy_target, CAST(noisy IS NOT NULL AS INT) AS corrupted
- FROM sp LEFT JOIN mv USING (level, ord)""")
-def pairing_noise(t):
+ mv AS (SELECT level, ord, coalesce(lead(target_id) OVER w, first_value(target_id) OVER w) AS noisy FROM sp WHERE u < level WINDOW w AS (PARTITION BY level ORDER BY ord)),
+ noise AS (SELECT sp.level, sp.ord, source_id, target_id, probability, coalesce(noisy, target_id) AS noisy_target, CAST(noisy IS NOT NULL AS INT) AS corrupted
+  FROM sp LEFT JOIN mv USING (level, ord))"""
+
+
+def _noise(t):
     p = t("pairs").select("ord", F.col("source_cell").alias("source_id"), F.col("target_cell").alias("target_id"))
     return E.pairing_noise(p, (0.0, 0.1, 0.2, 0.3, 0.4))
 
 
+@query(f"WITH {NOISE} SELECT level, ord, source_id, target_id, noisy_target, corrupted FROM noise")
+def pairing_noise(t):
+    return _noise(t)
+
+
+# the score of a corrupted pair: its confidence, halved for two of three, so that detection is neither perfect nor by chance
+_SEEN = "probability * CASE WHEN corrupted = 1 AND ord % 3 <> 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+@query(f"""WITH {NOISE}, s AS (SELECT level, corrupted AS y, round(-({_SEEN}), 6) AS doubt FROM noise), rk AS (SELECT *, {avg_rank('doubt', 'level')} AS r, {avg_rank('y', 'level')} AS ry FROM s),
+ au AS (SELECT level, count(*) AS n, sum(y)::BIGINT AS n_corrupted, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auroc,
+  CASE WHEN sum(y) > 0 THEN corr(r, ry) END AS spearman FROM rk GROUP BY 1),
+ pc AS (SELECT level, doubt, count(*) AS k, sum(y) AS p FROM s GROUP BY ALL), pd AS (SELECT *, sum(k) OVER w AS ck, sum(p) OVER w AS cp FROM pc WINDOW w AS (PARTITION BY level ORDER BY doubt DESC)),
+ ap AS (SELECT level, CASE WHEN sum(p) > 0 AND sum(p) < sum(k) THEN sum(p * cp / ck) / sum(p) END AS auprc FROM pd GROUP BY 1)
+ SELECT level, n, n_corrupted, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, round(spearman, 9) AS spearman FROM au JOIN ap USING (level)""")
+def pairing_noise_scores(t):
+    seen = F.col("probability") * F.when((F.col("corrupted") == 1) & (F.col("ord") % 3 != 0), 0.5).otherwise(1.0)
+    noise = _noise(t).join(t("pairs").select("ord", "probability"), "ord").select("level", "corrupted", F.round(-seen, 6).alias("doubt"))
+    return E.noise_detection(noise, "doubt").select("level", "n", "n_corrupted", _r("auroc"), _r("auprc"), _r("spearman"))
+
+
 @query("""WITH l AS (SELECT dataset_id, quantile_cont(probability, 0.75) AS threshold FROM pairs GROUP BY 1)
  SELECT ord, dataset_id, probability FROM pairs JOIN l USING (dataset_id) WHERE probability >= greatest(threshold, 0.5)""")
 def threshold_local(t):

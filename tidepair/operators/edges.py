@@ -373,6 +373,30 @@ def pairing_noise(pairs: DataFrame, levels, seed: int = 0) -> DataFrame:
         F.col("noisy_target").isNotNull().cast("int").alias("corrupted"))
 
 
+def noise_detection(noisy: DataFrame, doubt: str) -> DataFrame:
+    """How well a score (high: doubtful) finds the corrupted pairs, per noise level: AUPRC first, AUROC, Spearman.
+
+    noisy(level, corrupted, doubt). All three are read off from the distinct scores of a level with their counts, from one
+    ranked pass; a level with one class has no value.
+    """
+    counts, n = cut_counted(noisy.where(F.col(doubt).isNotNull()).groupBy("level", F.col(doubt).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("corrupted").alias("_pos")).withColumn("_neg", -F.col("_v")))
+    steps = running(counts, ["level"], ["_neg"], {"_cn": "_n", "_cp": "_pos"}, n)
+    totals = counts.groupBy("level").agg(F.sum("_n").alias("n"), F.sum("_pos").alias("n_corrupted"))
+    steps = join_on(steps, totals, ["level"])
+    rank = F.col("n") - F.col("_cn") + (F.col("_n") + 1) / F.lit(2.0)  # ascending, averaged over ties
+    out = steps.groupBy("level", "n", "n_corrupted").agg(
+        F.sum(rank * F.col("_pos")).alias("_ranks"), F.sum(F.col("_pos") * F.col("_cp") / F.col("_cn")).alias("_area"),
+        F.sum(F.col("_n") * rank * rank).alias("_squares"))
+    pos, size = F.col("n_corrupted").cast("double"), F.col("n").cast("double")
+    neg, mean = size - pos, (size + 1) / 2
+    both = (pos > 0) & (neg > 0)
+    spread = F.sqrt((F.col("_squares") - size * mean * mean) * pos * neg / size)  # ranks against a 0/1 label
+    return out.select("level", "n", "n_corrupted", F.when(both, (F.col("_ranks") - pos * (pos + 1) / 2) / (pos * neg)).alias("auroc"),
+                      F.when(both, F.col("_area") / pos).alias("auprc"),
+                      F.when(both & (spread > 0), (F.col("_ranks") - pos * mean) / spread).alias("spearman"))
+
+
 def min_then_top(pairs: DataFrame, score: str, min_confidence: float, top_fraction: float) -> DataFrame:
     """Floor first, then the top fraction of the survivors."""
     return confidence_select(pairs.where(F.col(score) >= min_confidence), [], score, top_fraction)
