@@ -308,6 +308,17 @@ def test_edited_counts(docs, empty):
     rows = counts.op7_token_counts(docs).collect()
     texts = dict(enumerate(some_texts()))
     assert all(x.n_tokens == len(pieces.tokenizer.encode(texts[x.doc_id] or "", add_special_tokens=False)) for x in rows if x.doc_id is not None)
+    after = {}
+    for x in docs.select("doc_id", "text", counts.revision_of(F.col("doc_id"), F.col("text")).alias("edits")).collect():
+        text = x.text or ""
+        for e in x.edits:
+            start = min(max(e["start"] or 0, 0), len(text))
+            text = text[:start] + e["insert"] + text[max(start, e["stop"] or 0) :]
+        after.setdefault(x.doc_id, []).append((len(pieces.tokenizer.encode(text, add_special_tokens=False)), len(text)))
+    got = {}
+    for x in rows:
+        got.setdefault(x.doc_id, []).append((x.n_tokens_after, x.n_chars_after))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in after.items()}
     assert counts.op7_token_counts(empty).count() == 0
     odd = docs.select("text", F.expr("from_json('[null, {\"stop\": 5}, {\"start\": -3, \"stop\": 2, \"insert\": \"x\"}]', 'array<struct<start:int,stop:int,insert:string>>')").alias("edits"))
     assert counts.count_tokens(odd.union(odd.select("text", F.lit(None).cast(odd.schema["edits"].dataType)))).count() == 2 * docs.count()

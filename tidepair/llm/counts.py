@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from .recent import Recent
 
 LEAF, KNOWN = 64, 300_000
+#: Texts are cut together, in lots of about so many pre-tokens.
+LOT = 100_000
 #: Pre-tokens before an edit that are cut again: a pre-token's end looks at most one character ahead, so two hold.
 CONTEXT = 2
 
@@ -30,6 +34,7 @@ class Pieces:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -44,10 +49,10 @@ def pieces_of(path: str) -> Pieces:
 class CountTree:
     """Pre-token lengths and token counts of one text: leaves of LEAF pre-tokens under a binary tree of sums."""
 
-    def __init__(self, text: str, pieces: Pieces):
+    def __init__(self, text: str, pieces: Pieces, cut: list[str] | None = None, counts: list[int] | None = None):
         self.pieces, self.text, self.encoded = pieces, text, 0
-        cut = pieces.pattern.findall(text)
-        self.plant(list(map(len, cut)), pieces.counts(cut))
+        cut = pieces.pattern.findall(text) if cut is None else cut
+        self.plant(list(map(len, cut)), pieces.counts(cut) if counts is None else counts)
 
     def plant(self, lengths: list[int], counts: list[int]) -> None:
         self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [([], [])]
@@ -146,8 +151,27 @@ class CountTree:
 RESULT = "struct<n_tokens:long,n_tokens_after:long,n_pieces:long,n_encoded:long,n_edits:long,n_chars_after:long>"
 
 
-def counted(text: str | None, edits: list[dict] | None, pieces: Pieces) -> dict:
-    tree = CountTree(text or "", pieces)
+def trees(texts: list[str | None], pieces: Pieces) -> Iterator[CountTree]:
+    """The tree of each text; pre-tokens of several texts are looked up together."""
+    held, lot = [], []
+
+    def grown() -> Iterator[CountTree]:
+        counts, at = pieces.counts(lot), 0
+        for text, n in held:
+            yield CountTree(text, pieces, lot[at : at + n], counts[at : at + n])
+            at += n
+
+    for text in texts:
+        cut = pieces.pattern.findall(text or "")
+        held.append((text or "", len(cut)))
+        lot += cut
+        if len(lot) >= LOT:
+            yield from grown()
+            held, lot = [], []
+    yield from grown()
+
+
+def counted(tree: CountTree, edits: list[dict] | None) -> dict:
     out = {"n_tokens": tree.tokens, "n_pieces": tree.n_pieces, "n_edits": 0}
     for e in edits or []:
         if e is not None:
@@ -169,7 +193,7 @@ def count_tokens(docs: DataFrame, text: str = "text", edits: str = "edits", name
     @F.arrow_udf(RESULT)
     def result(texts: pa.Array, changes: pa.Array) -> pa.Array:
         pieces = pieces_of(path)
-        return pa.array([counted(t.as_py(), e.as_py(), pieces) for t, e in zip(texts, changes, strict=True)], kind)
+        return pa.array([counted(t, e) for t, e in zip(trees(texts.to_pylist(), pieces), changes.to_pylist(), strict=True)], kind)
 
     return docs.withColumn(name, result(F.col(text), F.col(edits)))
 
