@@ -75,6 +75,10 @@ class Words:
     def joined(self, chunks: list[str]) -> list[bytes]:
         stems, marks = [], []
         for c in chunks:
+            if c.isalpha() and c.isascii():
+                stems.append(c.lower())
+                marks.append("")
+                continue
             stem = c.rstrip(MARKS)
             if not stem or stem[-1] > "\xff" or not stem[-1].isalpha():
                 stem = c
@@ -84,7 +88,7 @@ class Words:
             self.marks.clear()
         for m in set(marks).difference(self.marks):
             self.marks[m] = self.fresh([m])[0]
-        return [a + self.marks[m] for a, m in zip(self.stems.many(stems), marks, strict=True)]
+        return [a + self.marks[m] if m else a for a, m in zip(self.stems.many(stems), marks, strict=True)]
 
     def encode(self, texts: Iterable[str | None], end_id: int = END_ID) -> Iterator[np.ndarray]:
         """Ids of texts, each with the end id; texts are looked up together, in lots of about LOT_WORDS chunks."""
@@ -211,23 +215,34 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame
         raise ValueError("the dictionary doesn't fit its hash")
     sent = spark.sparkContext.broadcast(bytes(trained))
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    kind = pa.struct([("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     @F.arrow_udf("array<struct<doc_id:long,inside:long,n_tokens:long,ids_crc32:long,ids:array<long>>>")
     def unpacked(hashes: pa.Array, widths: pa.Array, doc_ids: pa.Array, offsets: pa.Array, data: pa.Array) -> pa.Array:
         import zstandard as zs
 
-        expand, out = zs.ZstdDecompressor(dict_data=as_dictionary(sent.value)), []
+        expand = zs.ZstdDecompressor(dict_data=as_dictionary(sent.value))
+        sums, sizes, inside, flat = array("q"), array("q"), array("q"), []
         for h, width, names, places, bytes_ in zip(hashes, widths, doc_ids, offsets, data, strict=True):
             if h.as_py() != digest:
                 raise ValueError("a block was written with another dictionary")
-            held, at, inside, rows = memoryview(bytes_.as_buffer()), places.as_py(), 0, []
-            for i, name in enumerate(names.as_py()):
-                found = np.frombuffer(expand.decompress(held[at[i] : at[i + 1]]), f"<u{width.as_py()}").astype("<u4")
-                rows.append({"doc_id": name, "inside": inside, "n_tokens": len(found), "ids_crc32": zlib.crc32(found.tobytes()), "ids": found.tolist() if ids else None})
-                inside += len(found)
-            out.append(rows)
-        return pa.array(out, pa.list_(kind))
+            held, at, before, kind = memoryview(bytes_.as_buffer()), places.as_py(), 0, np.dtype(f"<u{width.as_py()}")
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                found = np.frombuffer(expand.decompress(held[a:b]), kind).astype("<u4")
+                sums.append(zlib.crc32(found))
+                sizes.append(len(found))
+                inside.append(before)
+                before += len(found)
+                if ids:
+                    flat.append(found)
+        if ids:
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, "<u4"), *flat]).astype(np.int64))
+        else:
+            lists = pa.nulls(len(sizes), pa.list_(pa.int64()))
+        columns = [doc_ids.flatten(), *(pa.array(np.asarray(c, np.int64)) for c in (inside, sizes, sums)), lists]
+        rows = pa.StructArray.from_arrays(columns, ["doc_id", "inside", "n_tokens", "ids_crc32", "ids"])
+        counts = np.array([len(names) for names in doc_ids], np.int32)
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), rows)
 
     size = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
