@@ -19,6 +19,8 @@ REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 48
 SIMILARITY = 80  # percent
 #: Nodes of a crowd that meet within their bands; larger crowds go by their consensus. Neither loses a link.
 SMALL = 16
+#: Steps from a home band to the home of its leader.
+HOME_STEPS = 3
 #: A pair is verified unless its estimate is this many standard deviations below the similarity (3e-7 of true pairs).
 DEVIATIONS = 5.0
 BYTES_AT_ONCE = 1 << 19
@@ -183,17 +185,35 @@ def set_hashes(text: Column, size: int) -> Column:
 
 
 def crowds_of(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of open bands as crowds, connected by shared bands: (node, crowd) of crowds up to SMALL nodes, and of others."""
-    least = left.groupBy("key").agg(F.min("node").alias("a"))
-    edges = left.join(least, "key").where("node <> a").select(F.col("a").alias("u"), F.col("node").alias("v")).distinct()
-    crowd = components(edges).withColumnRenamed("root", "crowd")
-    sizes = crowd.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"))
-    crowd = cut(crowd.join(sizes, "crowd"))
-    return crowd.where(F.col("members") <= SMALL).select("node", "crowd"), crowd.where(F.col("members") > SMALL).select("node", "crowd", "members")
+    """Nodes of open bands in crowds (crowd, node, own), the crowds with up to SMALL nodes, and the others.
+
+    A crowd stands for a template. A node's home is the largest of its bands; the band's leader, its least node, may have
+    a larger home itself, which then is the home of all; a few such steps bring the bands of one template together,
+    without chaining templates that share a band by the way. A node belongs to its home (own) and visits the homes of
+    all nodes that share a band with it. So two nodes with a common band always meet in the home of each. A band of N
+    nodes knows at most 48 M / N homes of its size (M nodes in all), so visits stay linear in M a band.
+    """
+    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"))
+    home = cut(left.join(sizes, "key").groupBy("node").agg(F.max(F.struct("size", "key", "leader")).alias("h")).select("node", "h.key", "h.leader"))
+    next_ = home.select(F.col("node").alias("leader"), F.col("key").alias("to"))
+    steps = cut(home.select("key", "leader").distinct().join(next_, "leader", "left").select("key", F.coalesce("to", "key").alias("to")))
+    top = steps
+    for _ in range(HOME_STEPS):
+        onward = steps.select(F.col("key").alias("to"), F.col("to").alias("then"))
+        top = cut(top.join(onward, "to", "left").select("key", F.coalesce("then", "to").alias("to")))
+    own = cut(home.join(top, "key").select("node", F.col("to").alias("crowd")))
+    homes = left.join(own, "node").select("key", "crowd").distinct()
+    visits = left.join(homes, "key").select("crowd", "node").distinct()
+    crowd = visits.join(own.withColumn("own", F.lit(True)), ["crowd", "node"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    crowd = cut(crowd)
+    sizes = crowd.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"), F.count_if("own").alias("owners"))
+    crowd = crowd.join(sizes, "crowd")
+    return crowd.where(F.col("members") <= SMALL).select("crowd", "node", "own"), crowd.where(F.col("members") > SMALL)
 
 
 class Consensus:
-    """Large crowds seen from their consensus B: the shingles that more than half of a crowd's nodes hold.
+    """Large crowds seen from their consensus B: the shingles that more than half of a crowd's own nodes hold. (Any
+    set B would give the same links.)
 
     A node adds A shingles to B and lacks R of them. Two nodes e, x share |B| - |Re or Rx| + |Ae and Ax| shingles, so they
     reach the similarity only if they share at least 5/9 (Re + Rx) + 4/9 (Ae + Ax) - |B|/9 of their differences. A node
@@ -204,21 +224,21 @@ class Consensus:
     """
 
     def __init__(self, crowd: DataFrame, nodes: DataFrame, held: DataFrame, size: int):
-        texts = held.join(crowd, held["rid"] == crowd["node"]).select("crowd", "members", "node", set_hashes(F.col("text"), size).alias("set"))
-        self.rows = cut(texts.select("crowd", "members", "node", F.explode("set").alias("h")))
-        counts = self.rows.groupBy("crowd", "h").agg(F.count(F.lit(1)).alias("c"), F.max("members").alias("members"))
-        self.counts = cut(counts.withColumn("core", 2 * F.col("c") > F.col("members")))
+        texts = held.join(crowd, held["rid"] == crowd["node"]).select("crowd", "members", "owners", "node", "own", set_hashes(F.col("text"), size).alias("set"))
+        self.rows = cut(texts.select("crowd", "members", "owners", "node", "own", F.explode("set").alias("h")))
+        counts = self.rows.groupBy("crowd", "h").agg(F.count(F.lit(1)).alias("c"), F.count_if("own").alias("c_own"), F.max("members").alias("members"), F.max("owners").alias("owners"))
+        self.counts = cut(counts.withColumn("core", 2 * F.col("c_own") > F.col("owners")))
         core = self.counts.groupBy("crowd").agg(F.count_if("core").alias("n_b"))
         marked = self.rows.join(self.counts.where("c > 1").select("crowd", "h", "c", "core"), ["crowd", "h"], "left")
-        self.marked = cut(marked.select("crowd", "node", "h", F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("core", F.lit(False)).alias("core")))
-        per_node = self.marked.groupBy("crowd", "node").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("n_core")).join(core, "crowd")
+        self.marked = cut(marked.select("crowd", "node", "own", "h", F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("core", F.lit(False)).alias("core")))
+        per_node = self.marked.groupBy("crowd", "node", "own").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("n_core")).join(core, "crowd")
         far = 100 * F.col("n_core") < SIMILARITY * (F.col("n") + F.col("n_b") - F.col("n_core"))
-        self.nodes = cut(per_node.select("crowd", "node", "n", "n_b", (F.col("n") - F.col("n_core")).alias("a"), (F.col("n_b") - F.col("n_core")).alias("r"), far.alias("outer")))
+        self.nodes = cut(per_node.select("crowd", "node", "own", "n", "n_b", (F.col("n") - F.col("n_core")).alias("a"), (F.col("n_b") - F.col("n_core")).alias("r"), far.alias("outer")))
 
     def star(self) -> DataFrame:
-        """Pairs of the node nearest to the consensus with each other node of its crowd."""
-        nearest = self.nodes.groupBy("crowd").agg(F.min(F.struct(5 * F.col("r") + 4 * F.col("a"), "node")).alias("m")).select("crowd", F.col("m.node").alias("u"))
-        return self.nodes.join(nearest, "crowd").where("node <> u").select("u", F.col("node").alias("v"))
+        """Pairs of the own node nearest to the consensus with each other node of its crowd that is not outer or its own."""
+        nearest = self.nodes.where("own").groupBy("crowd").agg(F.min(F.struct(5 * F.col("r") + 4 * F.col("a"), "node")).alias("m")).select("crowd", F.col("m.node").alias("u"))
+        return self.nodes.where("own OR NOT outer").join(nearest, "crowd").where("node <> u").select("u", F.col("node").alias("v")).distinct()
 
     def changes(self, roots: DataFrame) -> DataFrame:
         """Differences (crowd, lacks, h, c nodes that make it) of nodes, where nodes of several components make it. Lacks are
@@ -235,25 +255,28 @@ class Consensus:
 
     def pairs(self, roots: DataFrame) -> DataFrame:
         """Pairs of different components, at least one of them outer, that can reach the similarity."""
-        about = self.nodes.join(roots, "node", "left").select("crowd", "node", "n", "n_b", "a", "r", "outer", F.coalesce("root", "node").alias("root"))
+        about = self.nodes.join(roots, "node", "left").select("crowd", "node", "own", "n", "n_b", "a", "r", "outer", F.coalesce("root", "node").alias("root"))
         rows = cut(self.changes(roots).join(about, ["crowd", "node"]))
         full = F.col("a") >= F.col("r")
         listed = rows.where(~F.col("lacks") | (F.col("a") < F.col("r")))
         enough = F.when(full, F.col("a") - F.floor(4 * (F.col("a") - F.col("r")) / 9)).otherwise(F.col("a") + F.col("r") - F.floor((5 * F.col("r") + 4 * F.col("a")) / 9))
         rank = F.row_number().over(W.partitionBy("crowd", "node").orderBy("c", "lacks", "h"))  # a node's own differences, the rarest first
         index = listed.withColumn("at", rank).where((F.col("at") <= enough) & F.col("open")).drop("at", "outer")
-        index = index.select("crowd", "lacks", "h", F.col("n_b"), *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "a", "r", "root")])
-        probe = rows.where("outer AND open").select("crowd", "lacks", "h", "node", "n", "a", "r", "root")
-        fits = (F.col("root") != F.col("root_x")) & (100 * F.least("n", "n_x") >= SIMILARITY * F.greatest("n", "n_x"))
+        index = index.select("crowd", "lacks", "h", F.col("n_b"), *[F.col(c).alias(f"{c}_x") for c in ("node", "own", "n", "a", "r", "root")])
+        probe = rows.where("outer AND open").select("crowd", "lacks", "h", "node", "own", "n", "a", "r", "root")
+        fits = (F.col("root") != F.col("root_x")) & (F.col("own") | F.col("own_x")) & (100 * F.least("n", "n_x") >= SIMILARITY * F.greatest("n", "n_x"))
         fits &= 9 * (F.least("a", "a_x") + F.least("r", "r_x")) >= 5 * (F.col("r") + F.col("r_x")) + 4 * (F.col("a") + F.col("a_x")) - F.col("n_b")
         return probe.join(index, ["crowd", "lacks", "h"]).where(fits).select(F.least("node", "node_x").alias("u"), F.greatest("node", "node_x").alias("v")).distinct()
 
 
 def in_bands(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of the given nodes (node, root) that share a band, are in different components and aren't its head's."""
-    mine = cut(left.where("node <> head").select("key", "node").join(nodes, "node"))
-    other = mine.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    pair = mine.join(other, "key").where("root < root_v")
+    """Pairs of the given nodes (crowd, node, own, root) that share a band and a crowd that is home to one of them, are in
+    different components and aren't its head's. Where all nodes of a crowd in a band are in one component, none is left."""
+    mine = left.where("node <> head").select("key", "node").join(nodes, "node")
+    open_ = mine.groupBy("key", "crowd").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("own").alias("any")).where("a <> b AND any")
+    mine = cut(mine.join(open_.select("key", "crowd"), ["key", "crowd"]))
+    other = mine.select("key", "crowd", F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("own").alias("own_v"))
+    pair = mine.join(other, ["key", "crowd"]).where("root < root_v AND (own OR own_v)")
     return pair.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
 
 
@@ -267,8 +290,8 @@ def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = (
     ones too, ride along in row; a text's set is made in one task.
 
     Candidates share a band. In a first round every node meets the least node of each of its bands, which is linear in
-    the bands. Bands whose nodes are still in different components are open; nodes joined by them form crowds. Crowds of
-    up to SMALL nodes meet within their bands. In larger ones every node meets the node nearest to the crowd's consensus,
+    the bands. Bands whose nodes are still in different components are open; their nodes form crowds around the largest
+    bands. Crowds of up to SMALL nodes meet within their bands. In larger ones every node meets the node nearest to the crowd's consensus,
     outer nodes (see Consensus) meet those that share their changes, and the others meet within the bands that are still
     open. No link between components is lost. All rounds verify the full sets. Shingles are compared by 64-bit hashes.
     """
@@ -297,8 +320,8 @@ def classes(docs: DataFrame, text: str = "text", size: int = 5, carry: tuple = (
     star = star.where("coalesce(root_u, u) <> root_v").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
     links = cut(links.union(verified(star, nodes, held, size)))
     roots = components(links)
-    inner = consensus.nodes.where("NOT outer").select("node")
-    rest = in_bands(left, with_root(small.select("node").union(inner))).union(consensus.pairs(roots)).distinct()
+    inner = consensus.nodes.where("NOT outer").select("crowd", "node", "own")
+    rest = in_bands(left, with_root(small.union(inner))).union(consensus.pairs(roots)).distinct()
     roots = components(links.union(verified(rest, nodes, held, size)))
     root = keys.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("set_key", F.coalesce("root", "rid").alias("root"))
     labels = signed.select("rid", "set_key").join(root, "set_key", "left").select("rid", "root")
