@@ -383,3 +383,22 @@ def test_an_empty_side_of_a_split_fails(spark):
     for held_out, fold in ((7, folds), (0, folds.withColumn("fold", F.lit(0)))):
         with pytest.raises(Exception, match="empty side"):
             splits.fold_split(rows, fold, "patient", held_out).collect()
+
+
+def test_bootstrap_draws_are_dealt_and_whole(spark):
+    df = spark.createDataFrame([(i, float(i * 7 % 11), i % 2) for i in range(1, 31)], "id int, score double, label int")
+    n, reps = 30, 40
+    pick = lambda rep, slot: ((rep * 1000003 + slot * 7919) % 2147483647 * 2654435761 % 2147483647 * 48271) % 2147483647 % n
+    want = sorted((rep, pick(rep, slot) + 1) for rep in range(1, reps + 1) for slot in range(n))
+    for bound in ("200000", "5"):  # sent to the tasks, and joined by hash
+        spark.conf.set("spark.tidepair.broadcastRows", bound)
+        try:
+            draws = stats.bootstrap_draws(df, "id", reps).withColumn("part", F.spark_partition_id())
+            rows = draws.select("rep", "id", "part").collect()
+        finally:
+            spark.conf.unset("spark.tidepair.broadcastRows")
+        assert sorted((r[0], r[1]) for r in rows) == want
+        by_part = {}
+        for r in rows:
+            by_part.setdefault(r[0], set()).add(r[2])
+        assert len({p for s in by_part.values() for p in s}) > 1 and all(len(s) == 1 for s in by_part.values())

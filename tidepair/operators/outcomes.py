@@ -12,7 +12,7 @@ from tidepair.functions.clean import clean, max_nonnegative, progression_flag, r
 from tidepair.functions.pvalues import normal_two_sided
 from tidepair.operators import stats as S
 from tidepair.plans.ordered import quantiles, row_rank, running, top_rows
-from tidepair.plans.session import cut
+from tidepair.plans.session import cut, cut_counted
 
 DIAGNOSES = ("array<struct<days_to_last_follow_up:string,days_to_last_known_disease_status:string,days_to_recurrence:string,"
              "progression_or_recurrence:string,prior_treatment:string,ajcc_pathologic_stage:string,"
@@ -362,16 +362,18 @@ def finetune_comparison(metrics: DataFrame, reps: int = 2000) -> DataFrame:
         at("world_pretrained").alias("_p"), at("world_finetuned").alias("_f"))
     gain = F.when(F.col("metric").isin("mse", "mae"), F.col("_p") - F.col("_f")).otherwise(F.col("_f") - F.col("_p"))
     patient = wide.groupBy("metric", "patient_id").agg(F.avg(gain).alias("gain")).where(F.col("gain").isNotNull())
+    patient, n = cut_counted(patient)  # read five times
     base = patient.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n_patients"), F.avg("gain").alias("mean_improvement"),
         F.avg((F.col("gain") > 0).cast("double")).alias("win_rate"), F.avg((F.col("gain") == 0).cast("double")).alias("tie_rate"))
     rank = S.wilcoxon(patient, ["metric"], "gain").select("metric", "w_stat", F.col("p_value").alias("wilcoxon_p"))
     # bootstrap of the mean per metric by arithmetic draws
     pos = row_rank(patient, ["metric"], ["patient_id"], "_pos").withColumn("_pos", F.col("_pos") - 1)
-    slots = pos.join(base.select("metric", "n_patients"), "metric").select(
-        "metric", "n_patients", F.col("_pos").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    sizes = patient.groupBy("metric").agg(F.count(F.lit(1)).alias("n_patients"))
+    lots = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    slots = S.draw_slots(lots, ["metric", "rep"], "n_patients", S.draw_tasks(metrics.sparkSession, n * reps))
     draws = slots.select("metric", "rep", S.draw_index(F.col("rep"), F.col("_slot"), F.col("n_patients")).alias("_pos"))
-    means = draws.join(pos, ["metric", "_pos"]).groupBy("metric", "rep").agg(F.avg("gain").alias("_m"))
+    means = draws.join(pos.select("metric", "_pos", "gain").hint("shuffle_hash"), ["metric", "_pos"]).groupBy("metric", "rep").agg(F.avg("gain").alias("_m"))
     ci = quantiles(means, ["metric"], "_m", {"ci_low": 0.025, "ci_high": 0.975}, reps)
     med = quantiles(patient, ["metric"], "gain", {"median_improvement": 0.5})
     return base.join(med, "metric").join(ci, "metric").join(rank, "metric", "left")

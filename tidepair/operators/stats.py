@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidepair.functions.pvalues import mannwhitney_p, student_t_p, wilcoxon_p
 from tidepair.plans.ordered import attach_one, avg_rank, quantiles, row_rank, running, with_totals
+from tidepair.plans.session import broadcast_rows, cut, cut_counted, hot_rows
 
 
 def safe_corr(x, y) -> Column:
@@ -138,24 +139,50 @@ def draw_index(rep: Column, slot: Column, n: Column, seed: int = 0) -> Column:
     return F.pmod(F.pmod(b * F.lit(48271), F.lit(2147483647)), n)
 
 
+#: Draws that one task makes at most, and slots of one replicate that are listed at once.
+TASK_DRAWS, SLOTS_AT_ONCE = 2_000_000, 10_000
+
+
+def draw_tasks(spark, draws: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-draws // TASK_DRAWS))
+
+
+def draw_slots(lots: DataFrame, keys, n: str, tasks: int) -> DataFrame:
+    """Slots 0 to n - 1 of every lot as `_slot`; lots are dealt to tasks by their keys before their slots are listed."""
+    first = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / SLOTS_AT_ONCE) * SLOTS_AT_ONCE, F.lit(SLOTS_AT_ONCE).cast("bigint"))
+    dealt = lots.where(F.col(n) > 0).repartition(tasks, *keys).select(*lots.columns, F.explode(first).alias("_first"))
+    last = F.least(F.col("_first") + SLOTS_AT_ONCE, F.col(n)) - 1
+    return dealt.select(*lots.columns, F.explode(F.sequence(F.col("_first"), last)).alias("_slot"))
+
+
 def bootstrap_draws(df: DataFrame, order: str, reps: int, seed: int = 0) -> DataFrame:
-    """Rows of `df` drawn with replacement: n rows per replicate `rep`.
+    """Rows of `df` drawn with replacement: n rows per replicate `rep`, the draws of a replicate in one partition.
 
-    Every row number is expanded to its (rep, slot) hash draws and joined back by position,
-    so replicates stay distributed; nothing is collected.
+    Replicates are dealt to tasks before their slots are listed, so no task makes more than TASK_DRAWS draws (or one
+    replicate), and only rows that are drawn meet the numbered table: sent to the tasks if proven small, else by a hash
+    join on the position.
     """
-    rows = row_rank(df, [], [order], "_pos").withColumn("_pos", F.col("_pos") - 1)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    slots = attach_one(rows.select("_pos"), n)
-    draws = slots.select(F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), F.col("_pos").alias("_slot"), "_n")
-    draws = draws.select("rep", draw_index(F.col("rep"), F.col("_slot"), F.col("_n"), seed).alias("_pos"))
-    return draws.join(rows, "_pos").drop("_pos")
+    return _draws(df, order, reps, seed)[0]
+
+
+def _draws(df: DataFrame, order: str, reps: int, seed: int) -> tuple[DataFrame, int]:
+    """The draws and the size n of a replicate."""
+    spark = df.sparkSession
+    rows, n = cut_counted(row_rank(df, [], [order], "_pos").withColumn("_pos", F.col("_pos") - 1))
+    lots = spark.range(1, reps + 1).select(F.col("id").cast("int").alias("rep"), F.lit(n).cast("bigint").alias("_n"))
+    tasks = draw_tasks(spark, n * reps)
+    slots = draw_slots(lots, ["rep"], "_n", tasks)
+    draws = slots.select("rep", draw_index(F.col("rep"), F.col("_slot"), F.col("_n"), seed).alias("_pos"))
+    if n <= broadcast_rows(spark):
+        return draws.join(F.broadcast(rows), "_pos").drop("_pos"), n
+    return draws.join(rows.hint("shuffle_hash"), "_pos").drop("_pos").repartition(tasks, "rep"), n
 
 
 def bootstrap_auroc_ci(df: DataFrame, order: str, score: str, label: str, reps: int, seed: int = 0) -> DataFrame:
     """2.5 / 97.5 percentiles of the AUROC over resamples; single-class draws are skipped."""
-    stats = auroc(bootstrap_draws(df, order, reps, seed), ["rep"], score, label)
-    stats = stats.where(F.col("auroc").isNotNull())
+    draws, n = _draws(df.select(order, score, label), order, reps, seed)
+    stats = auroc(draws.drop(order), ["rep"], score, label, probe=n if n <= hot_rows(df.sparkSession) else None)
+    stats = cut(stats.where(F.col("auroc").isNotNull()))  # a row a replicate, read twice
     ci = quantiles(stats, [], "auroc", {"ci_low": 0.025, "ci_high": 0.975}, reps)
     return attach_one(ci, stats.agg(F.count(F.lit(1)).alias("n_valid")))
 
