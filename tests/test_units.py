@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepair.functions import clean as C
 from tidepair.functions import pvalues as V
-from tidepair.operators import enrich, joins, latent, neighbors, outcomes, splits, stats
+from tidepair.operators import enrich, joins, latent, neighbors, outcomes, reports, splits, stats
 from tidepair.plans import ordered as O
 from tidepair.sources import readers
 
@@ -402,3 +402,12 @@ def test_bootstrap_draws_are_dealt_and_whole(spark):
         for r in rows:
             by_part.setdefault(r[0], set()).add(r[2])
         assert len({p for s in by_part.values() for p in s}) > 1 and all(len(s) == 1 for s in by_part.values())
+
+
+def test_floor_is_compared_at_nine_digits(spark):
+    made = [("arm", 0.0, 1, 0.1 + 0.2), ("arm", 1.0, 2, 0.3), ("arm", 1.0, 3, 0.2), ("none", 1.0, 4, 0.5), ("zero", 0.0, 5, 0.0), ("zero", 2.0, 6, 0.0)]
+    agg = spark.createDataFrame(made, "arm string, level double, config int, best_mean double")
+    got = {r["config"]: (r["floor"], r["improvement_pct"], r["beats_floor"], r["promoted"]) for r in reports.vs_floor(agg, "arm", "level", "config", 3).collect()}
+    assert got[2] == (0.3, 0.0, False, False) and got[1] == (0.3, 0.0, False, False)
+    assert got[3][2:] == (True, True) and got[3][1] == pytest.approx(100 / 3)
+    assert got[4] == (None, None, False, False) and got[5] == got[6] == (0.0, None, False, False)

@@ -453,9 +453,9 @@ def run_aggregate(t):
     return _agg(t).select("config", "arm", "n_folds", _r("best_mean"), _r("best_sd"), "arm_rank")
 
 
-@query(f"""WITH {AGG}, f AS (SELECT *, min(best_mean) FILTER (level = 0) OVER (PARTITION BY arm) AS floor FROM ag), b AS (SELECT *, level <> 0 AND best_mean < floor AS beats FROM f),
- p AS (SELECT *, beats AND row_number() OVER (PARTITION BY arm, beats ORDER BY round(best_mean, 9), config) <= 3 AS promoted FROM b)
- SELECT config, arm, round(floor, 9) AS floor, round(100 * (floor - best_mean) / floor, 6) AS improvement_pct, beats AS beats_floor, promoted FROM p""")
+@query(f"""WITH {AGG}, m AS (SELECT config, arm, level, round(best_mean, 9) AS best FROM ag), f AS (SELECT *, min(best) FILTER (level = 0) OVER (PARTITION BY arm) AS floor FROM m),
+ b AS (SELECT *, coalesce(level <> 0 AND best < floor, false) AS beats FROM f), p AS (SELECT *, beats AND row_number() OVER (PARTITION BY arm, beats ORDER BY best, config) <= 3 AS promoted FROM b)
+ SELECT config, arm, round(floor, 9) AS floor, CASE WHEN floor > 0 THEN round(100 * (floor - best) / floor, 6) + 0.0::DOUBLE END AS improvement_pct, beats AS beats_floor, promoted FROM p""")
 def vs_floor(t):
     out = R.vs_floor(cut(_agg(t)), "arm", "level", "config", 3)
     return out.select("config", "arm", _r("floor"), _r("improvement_pct", 6), "beats_floor", "promoted")

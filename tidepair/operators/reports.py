@@ -37,15 +37,18 @@ def is_floor(level: str, config: str) -> Column:
 
 
 def vs_floor(agg: DataFrame, arm: str, level: str, config: str, top: int) -> DataFrame:
-    """% improvement over the best level-0 run of the arm; the top beaters are promoted."""
-    floor = is_floor(level, config)
-    rows = with_totals(agg.withColumn("_floor", floor), [arm], floor=F.min(F.when(F.col("_floor"), F.col("best_mean"))))
-    rows = rows.withColumn("improvement_pct", F.when(F.col("floor") > 0, 100.0 * (F.col("floor") - F.col("best_mean")) / F.col("floor")))
-    beats = ~F.col("_floor") & (F.col("best_mean") < F.col("floor"))
-    rows = rows.withColumn("beats_floor", F.coalesce(beats, F.lit(False)))
-    promoted = top_rows(rows.where("beats_floor"), [arm], [F.round("best_mean", 9), F.col(config)], top, "_k").select(
+    """% improvement over the best level-0 run of the arm, null without a positive one; the top beaters are promoted.
+
+    Means are compared at nine digits: equal runs neither beat nor miss the floor by the order in which they were summed.
+    """
+    best = F.col("_mean")
+    rows = agg.withColumn("_floor", is_floor(level, config)).withColumn("_mean", F.round("best_mean", 9))
+    rows = with_totals(rows, [arm], floor=F.min(F.when(F.col("_floor"), best)))
+    rows = rows.withColumn("improvement_pct", F.when(F.col("floor") > 0, 100.0 * (F.col("floor") - best) / F.col("floor")))
+    rows = rows.withColumn("beats_floor", F.coalesce(~F.col("_floor") & (best < F.col("floor")), F.lit(False)))
+    promoted = top_rows(rows.where("beats_floor"), [arm], [best, F.col(config)], top, "_k").select(
         arm, config, F.lit(True).alias("promoted"))
-    return rows.join(promoted, [arm, config], "left").na.fill(False, ["promoted"]).drop("_floor")
+    return rows.join(promoted, [arm, config], "left").na.fill(False, ["promoted"]).drop("_floor", "_mean")
 
 
 def cross_arm(agg: DataFrame, mmd: str, arm: str, level: str, config: str) -> DataFrame:
