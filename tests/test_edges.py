@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from tidepair.catalog import edge_queries
 from tidepair.operators import edges as E
 
 SCHEMA = "grp string, ord long, source_cell string, target_cell string, probability double"
@@ -105,3 +106,13 @@ def test_zero_rows_of_a_matrix(spark):
     for ord_, cell in ((1, cells[8]), (2, cells[8]), (3, cells[9])):
         assert got[ord_].combined == pytest.approx(0.4 * share(cell, "econf") + 0.3 * share(cell, "margin") + 0.3 * share(cell, "max"))
     assert [got[i].rank for i in (1, 2, 3)] == [1, 2, 1]
+
+
+def test_pair_selection_lists_and_counts(spark):
+    big = 4_000_000_000_000_000_000  # sums leave 64 bits
+    made = [("a|1", "S1_0", "T1", 0.9, big), ("a|1", "S1_0", "T2", 0.1, big + 1), ("a|1", "S2_0", "T1", 0.5, big + 2), ("b|1", "S1_0", "T1", 0.5, 7)]
+    edges = spark.createDataFrame(made, "grp string, source_cell string, target_cell string, probability double, ord long")
+    got = [tuple(r) for r in edge_queries.pair_selection({"edges": edges}.__getitem__).select("selection", "grp", "ord", "n", "ord_sum").collect()]
+    want = {("all", "a|1"): [big, big + 1, big + 2], ("top1", "a|1"): [big, big + 2], ("top1_target", "a|1"): [big, big + 1],
+            ("mutual_top1", "a|1"): [big], **{(s, "b|1"): [7] for s in ("all", "top1", "top1_target", "mutual_top1")}}
+    assert sorted(got) == sorted((s, g, o, len(ords), sum(ords)) for (s, g), ords in want.items() for o in ords)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidepair.operators import edges as E
-from tidepair.plans.ordered import percent_rank_avg, quantiles
+from tidepair.plans.ordered import percent_rank_avg, quantiles, with_totals
 
 from tidepair.plans.session import cut
 
@@ -195,15 +195,19 @@ def confidence_score(t):
 @query(f"""WITH {SCORED}, u AS (SELECT 'all' AS selection, grp, ord FROM scored
  UNION ALL SELECT 'top1', grp, ord FROM scored WHERE source_rank = 1
  UNION ALL SELECT 'top1_target', grp, ord FROM scored WHERE target_rank = 1
- UNION ALL SELECT 'mutual_top1', grp, ord FROM scored WHERE source_rank = 1 AND target_rank = 1)
- SELECT * FROM u""")
+ UNION ALL SELECT 'mutual_top1', grp, ord FROM scored WHERE source_rank = 1 AND target_rank = 1),
+ s AS (SELECT selection, grp, count(*) AS n, sum(ord)::DECIMAL(38, 0) AS ord_sum FROM u GROUP BY ALL)
+ SELECT selection, grp, ord, n, ord_sum FROM u JOIN s USING (selection, grp)""")
 def pair_selection(t):
+    """The pairs of every selection, beside the size of their selection in their group and its sum of ord."""
     ranked = _ranked(t, "source", "target")
-    flags = ranked.select("grp", "ord", (F.col("source_rank") == 1).alias("a"), (F.col("target_rank") == 1).alias("b"))
+    flags = cut(ranked.select("grp", "ord", (F.col("source_rank") == 1).alias("a"), (F.col("target_rank") == 1).alias("b")))  # read twice
     picked = F.array_compact(F.array(
         F.lit("all"), F.when(F.col("a"), F.lit("top1")), F.when(F.col("b"), F.lit("top1_target")),
         F.when(F.col("a") & F.col("b"), F.lit("mutual_top1"))))
-    return flags.select(F.explode(picked).alias("selection"), "grp", "ord")
+    pairs = flags.select(F.explode(picked).alias("selection"), "grp", "ord")
+    total = F.sum(F.col("ord").cast("decimal(20, 0)")).cast("decimal(38, 0)")  # beyond 64 bits on large tables
+    return with_totals(pairs, ["selection", "grp"], n=F.count(F.lit(1)), ord_sum=total)
 
 
 SELECTED = f"""{SCORED}, cand AS (SELECT *, round(source_combined, 12) AS score FROM scored WHERE source_rank = 1),
