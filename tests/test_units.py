@@ -12,6 +12,7 @@ from tidepair.functions import clean as C
 from tidepair.functions import pvalues as V
 from tidepair.operators import enrich, joins, latent, neighbors, outcomes, reports, splits, stats
 from tidepair.plans import ordered as O
+from tidepair.plans.session import cut_counted
 from tidepair.sources import readers
 
 
@@ -411,3 +412,27 @@ def test_floor_is_compared_at_nine_digits(spark):
     assert got[2] == (0.3, 0.0, False, False) and got[1] == (0.3, 0.0, False, False)
     assert got[3][2:] == (True, True) and got[3][1] == pytest.approx(100 / 3)
     assert got[4] == (None, None, False, False) and got[5] == got[6] == (0.0, None, False, False)
+
+
+def test_classifier_rows_carry_no_model(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 3)) * [1.0, 20.0, 0.0] + [0.0, 5.0, 2.0]
+    y = (x[:, 0] + r.normal(size=60) > 0.4).astype(int).tolist()
+    df = spark.createDataFrame([(i, i % 3, x[i].tolist(), y[i]) for i in range(60)], "id int, fold int, x array<double>, label int")
+    assert cut_counted(df)[1] == 60  # a session that has observed something can't be sent along
+    got = outcomes.response_classifier(df, "fold", "x", "label")
+    got = {a.id: a.probability for a in got.collect()}
+    vec = df.withColumn("v", array_to_vector("x"))
+    for k in range(3):
+        train, test = vec.where(F.col("fold") != k), vec.where(F.col("fold") == k)
+        scaler = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="s").fit(train)
+        ones = sum(y[i] for i in range(60) if i % 3 != k)
+        w = F.when(F.col("label") == 1, 40 / (2.0 * ones)).otherwise(40 / (2.0 * (40 - ones)))
+        model = LogisticRegression(featuresCol="s", labelCol="label", weightCol="w", regParam=1 / (0.1 * 40), standardization=False, maxIter=2000).fit(scaler.transform(train).withColumn("w", w))
+        for a in scaler.transform(test).withColumn("s", vector_to_array("s")).collect():
+            assert got[a.id] == pytest.approx(1 / (1 + math.exp(-(np.dot(a.s, model.coefficients) + model.intercept))), abs=1e-9)
+    assert len(got) == 60

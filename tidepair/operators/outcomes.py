@@ -308,9 +308,17 @@ def baseline_pca_ridge(rows: DataFrame, fold: str, x: str, y: str, components: i
     return out
 
 
+def _numbers(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
 def response_classifier(rows: DataFrame, fold: str, x: str, label: str, components: int | None = None, c: float = 0.1) -> DataFrame:
-    """Out-of-fold probability of a standardised, class-balanced L2 logistic model (MLlib)."""
-    vec = rows.withColumn("_x0", array_to_vector(x))
+    """Out-of-fold probability of a standardised, class-balanced L2 logistic model (MLlib).
+
+    Fitted means, deviations and weights enter the plan as plain numbers. A fitted model can't: the summary of its training
+    holds the session, which can't be sent to tasks once it has observed anything (cut_counted).
+    """
+    vec = cut(rows.withColumn("_x0", F.col(x).cast("array<double>")))  # read in several passes for every fold
     out = None
     for k in [r[0] for r in vec.select(fold).distinct().orderBy(fold).collect()]:
         train = vec.where((F.col(fold) != k) & F.col(label).isNotNull())
@@ -320,23 +328,31 @@ def response_classifier(rows: DataFrame, fold: str, x: str, label: str, componen
         if n < 4 or len(counts) < 2:
             scored = test.withColumn("probability", F.lit(None).cast("double"))
         else:
-            source = "_x0"
             if components:
-                pca = PCA(k=components, inputCol="_x0", outputCol="_xp").fit(train)
-                train, test, source = pca.transform(train), pca.transform(test), "_xp"
-            scale = StandardScaler(withMean=True, withStd=True, inputCol=source, outputCol="_x").fit(train)
+                pca = PCA(k=components, inputCol="_v", outputCol="_p").fit(train.withColumn("_v", array_to_vector("_x0")))
+                axes = [_numbers(axis) for axis in pca.pc.toArray().T]
+                project = F.array(*[_dot(F.col("_x0"), axis) for axis in axes])
+                train, test = train.withColumn("_x0", project), test.withColumn("_x0", project)
+            fit = StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_s").fit(train.select(array_to_vector("_x0").alias("_v")))
+            mean, scale = _numbers(fit.mean), _numbers([1 / s if s else 0.0 for s in fit.std])
+            scaled = F.zip_with(F.zip_with("_x0", mean, lambda v, m: v - m), scale, lambda v, s: v * s)
             weight = F.lit(0.0)
             for cls, m in counts.items():
                 weight = F.when(F.col(label) == cls, n / (2.0 * m)).otherwise(weight)
             model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0,
                                        standardization=False, maxIter=2000).fit(
-                scale.transform(train).withColumn("_w", weight).withColumn("_y", F.col(label).cast("double")))
-            scored = model.transform(scale.transform(test)).withColumn("probability", vector_to_array("probability")[1])
+                train.select(array_to_vector(scaled).alias("_x"), weight.alias("_w"), F.col(label).cast("double").alias("_y")))
+            margin = _dot(scaled, _numbers(model.coefficients)) + F.lit(float(model.intercept))
+            scored = test.withColumn("probability", 1 / (1 + F.exp(-margin)))
         scored = scored.select(*rows.columns, "probability")
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+
 def grouped_stratified_folds(rows: DataFrame, group: str, label: str, folds: int, seed: int = 0) -> DataFrame:
     """Group-disjoint folds, label balanced: groups sorted by stratum mix and size are dealt in a snake."""
     stratum = F.coalesce(F.col(label).cast("int"), F.lit(2))
