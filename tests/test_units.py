@@ -436,3 +436,19 @@ def test_classifier_rows_carry_no_model(spark):
         for a in scaler.transform(test).withColumn("s", vector_to_array("s")).collect():
             assert got[a.id] == pytest.approx(1 / (1 + math.exp(-(np.dot(a.s, model.coefficients) + model.intercept))), abs=1e-9)
     assert len(got) == 60
+
+
+def test_gsea_ranks_genes_once(spark, hot, monkeypatch):
+    """One ranking of the genes serves scores, null and leading edges; bounded and counted ways give the same scores."""
+    calls, real = [], enrich.positions
+    monkeypatch.setattr(enrich, "positions", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    ranked = spark.createDataFrame([(f"g{i}", (17.0 - i) * (i % 5 > 0)) for i in range(35)], "gene_id string, score double")
+    sets = spark.createDataFrame([(f"s{k}", f"g{i}") for k in range(1, 6) for i in range(35) if i % 5 == 0 or i % (k + 1) == 0][:60], "set_name string, gene_id string")
+    sets = sets.union(spark.createDataFrame([("flat", f"g{i}") for i in (0, 5, 30)], sets.schema))
+    split = sorted(rows(enrich.gsea_nes(ranked, sets, 20)))
+    assert len(calls) == 1
+    spark.conf.set("spark.tidepair.hotGroupRows", "4000000")
+    whole = sorted(rows(enrich.gsea_nes(ranked, sets, 20)))
+    assert len(whole) == len(split) > 3 and "flat" in {r[0] for r in whole}
+    for a, b in zip(whole, split, strict=True):
+        assert all(x == pytest.approx(y, abs=1e-9) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))

@@ -1,18 +1,21 @@
 """Gene-set enrichment: list splits, rankings, running-sum scores, over-representation and term reports."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepair.functions.clean import clean, clean_term, library_label, parse_overlap
 from tidepair.functions.pvalues import hypergeom_greater
 from tidepair.operators.splits import shuffle_key
-from tidepair.plans.ordered import attach_one, bh_fdr, quantiles, row_rank, running, top_rows
+from tidepair.plans.ordered import attach_one, bh_fdr, is_hot, quantiles, row_rank, running, top_rows
+from tidepair.plans.session import cut, cut_counted, hot_rows
 
 # fixed values: cut-offs and report sizes
 FDR_CUTOFF = 0.05
 PLOT_FDR = 0.25
 TOP_TERMS = 12
 EPS = 1e-6
+#: Genes of permutations that one task lists.
+PERMUTED_AT_ONCE = 2_000_000
 
 
 def split_deg(table: DataFrame, keys, order: str = "ord") -> DataFrame:
@@ -36,23 +39,35 @@ def rank_genes_mean(table: DataFrame, keys, value: str) -> DataFrame:
     return out.where(~F.isnan("score") & (F.abs("score") != float("inf")))
 
 
-def positions(ranked: DataFrame, gene: str = "gene_id", score: str = "score") -> DataFrame:
-    """0-based position by score descending; a repeated gene keeps its last position."""
-    pos = row_rank(ranked, [], [(score, False), (gene, True)], "_p").withColumn("pos", F.col("_p") - 1).drop("_p")
+def positions(ranked: DataFrame, gene: str = "gene_id", score: str = "score", bound: int | None = None) -> DataFrame:
+    """0-based position by score descending; a repeated gene keeps its last position. `bound`: number of rows, if known."""
+    pos = row_rank(ranked, [], [(score, False), (gene, True)], "_p", bound).withColumn("pos", F.col("_p") - 1).drop("_p")
     return top_rows(pos, [gene], [F.desc("pos")], 1, "_k").select(F.col(gene).alias("gene_id"), F.col(score).alias("score"), "pos")
 
 
-def running_es(hits: DataFrame, keys, n_genes: DataFrame) -> DataFrame:
+def running_es(hits: DataFrame, keys, n_genes: DataFrame, bound: int | None = None) -> DataFrame:
     """Enrichment score from hit rows only (keys, pos, weight).
 
-    The running sum peaks right after a hit and dips right before one; between hits it only falls.
+    The running sum peaks right after a hit and dips right before one; between hits it only falls. `bound`: proven number
+    of hits of the largest key; totals and running sums then come from one shuffle and one sort.
     """
     keys = list(keys)
-    size = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"), F.sum("weight").alias("_w"))
-    rows = hits.join(size, keys).withColumn("_x", F.when(F.col("_w") > 0, F.col("weight")).otherwise(1.0))
-    rows = rows.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.col("n_hit").cast("double")))
-    rows = attach_one(rows, n_genes)
-    rows = running(rows, keys, ["pos"], {"_cw": "_x", "_i": F.lit(1).cast("bigint")})
+    one = F.lit(1).cast("bigint")
+    if bound is not None and not is_hot(hits, keys, bound):
+        w = Window.partitionBy(*keys).orderBy("pos")
+        every, upto = (w.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
+        rows = (hits.withColumn("n_hit", F.count(one).over(every)).withColumn("_w", F.sum("weight").over(every))
+                .withColumn("_i", F.count(one).over(upto)).withColumn("_cw", F.sum("weight").over(upto)))
+        flat = F.col("_w") > 0
+        rows = rows.select(*keys, "pos", "n_hit", "_i", F.when(flat, F.col("weight")).otherwise(1.0).alias("_x"),
+                           F.when(flat, F.col("_cw")).otherwise(F.col("_i").cast("double")).alias("_cw"),
+                           F.when(flat, F.col("_w")).otherwise(F.col("n_hit").cast("double")).alias("_w"))
+        rows = attach_one(rows, n_genes)
+    else:
+        size = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"), F.sum("weight").alias("_w"))
+        rows = hits.join(size, keys).withColumn("_x", F.when(F.col("_w") > 0, F.col("weight")).otherwise(1.0))
+        rows = rows.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.col("n_hit").cast("double")))
+        rows = running(attach_one(rows, n_genes), keys, ["pos"], {"_cw": "_x", "_i": one})
     miss = F.col("n_genes") - F.col("n_hit")
     fall = (F.col("pos") - (F.col("_i") - 1)) / F.nullif(miss, F.lit(0))
     after, before = F.col("_cw") / F.col("_w") - fall, (F.col("_cw") - F.col("_x")) / F.col("_w") - fall
@@ -63,33 +78,47 @@ def running_es(hits: DataFrame, keys, n_genes: DataFrame) -> DataFrame:
     return out.withColumn("es", es).drop("_hi", "_lo", "n_genes")
 
 
+def _placed(ranked: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Positions, written once in as many parts as tasks should read them; the number of ranked genes, as a frame and a number."""
+    ranked, n = cut_counted(ranked)
+    pos = positions(ranked, bound=n).repartition(ranked.sparkSession.sparkContext.defaultParallelism, "gene_id")
+    return cut(pos), ranked.agg(F.count(F.lit(1)).alias("n_genes")), n
+
+
+def _set_scores(pos: DataFrame, n_genes: DataFrame, n: int, sets: DataFrame, min_overlap: int) -> DataFrame:
+    hits = sets.distinct().join(pos, "gene_id").select("set_name", "pos", F.abs("score").alias("weight"))
+    return running_es(hits, ["set_name"], n_genes, n).where(F.col("n_hit") >= min_overlap)
+
+
 def gsea_es(ranked: DataFrame, sets: DataFrame, min_overlap: int = 1) -> DataFrame:
     """Preranked ES per set(set_name, gene_id), weight |score|."""
-    pos = positions(ranked)
-    n = ranked.agg(F.count(F.lit(1)).alias("n_genes"))
-    hits = sets.distinct().join(pos, "gene_id").select("set_name", "pos", F.abs("score").alias("weight"))
-    return running_es(hits, ["set_name"], n).where(F.col("n_hit") >= min_overlap)
+    return _set_scores(*_placed(ranked), sets, min_overlap)
 
 
 def gsea_nes(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, min_overlap: int = 1, seed: int = 0) -> DataFrame:
     """ES with a permutation null: NES, p, BH q and the first 50 hit genes.
 
     The null depends on the set size only: one seeded gene order per permutation serves every
-    size by its prefix, so the null costs permutations x (sum of distinct sizes), not x sets.
+    size by its prefix, so the null costs permutations x (sum of distinct sizes), not x sets. Positions and observed
+    scores are written once; tasks keep no more of a permutation than the largest set needs.
     """
-    pos = positions(ranked)
-    n = ranked.agg(F.count(F.lit(1)).alias("n_genes"))
-    observed = gsea_es(ranked, sets, min_overlap)
+    pos, n_genes, n = _placed(ranked)
+    spark = ranked.sparkSession
+    observed, n_sets = cut_counted(_set_scores(pos, n_genes, n, sets, min_overlap))
     sizes = observed.select("n_hit").distinct()
     most = sizes.agg(F.max("n_hit")).first()[0] or 0
-    perms = pos.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn(
+    dealt = pos.repartition(max(spark.sparkContext.defaultParallelism, -(-n * permutations // PERMUTED_AT_ONCE)))
+    perms = dealt.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn(
         "_k", shuffle_key(seed, "perm", "gene_id"))
     # first `most` genes of every permutation's order
-    order = row_rank(perms, ["perm"], [("_k", True), ("gene_id", True)], "_r", pos.count()).where(F.col("_r") <= most)
+    if most <= hot_rows(spark):
+        order = top_rows(perms, ["perm"], ["_k", "gene_id"], most, "_r")
+    else:
+        order = row_rank(perms, ["perm"], [("_k", True), ("gene_id", True)], "_r", n).where(F.col("_r") <= most)
     listed = sizes.agg(F.sort_array(F.collect_set("n_hit")).alias("_sizes"))  # distinct sizes, at most the gene panel
     null = attach_one(order, listed).select(
         "perm", "pos", F.abs("score").alias("weight"), F.explode(F.filter("_sizes", lambda s: s >= F.col("_r"))).alias("size"))
-    null = running_es(null, ["size", "perm"], n).select(F.col("size").alias("n_hit"), F.col("es").alias("_null"))
+    null = running_es(null, ["size", "perm"], n_genes, most).select(F.col("size").alias("n_hit"), F.col("es").alias("_null"))
     rows = observed.join(null, "n_hit")
     same = F.when(F.col("es") >= 0, F.col("_null") >= 0).otherwise(F.col("_null") < 0)
     beyond = F.when(F.col("es") >= 0, F.round("_null", 12) >= F.round("es", 12)).otherwise(F.round("_null", 12) <= F.round("es", 12))
@@ -100,7 +129,7 @@ def gsea_nes(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, min_o
     lead = lead.groupBy("set_name").agg(F.sort_array(F.collect_list(F.struct("pos", "gene_id"))).alias("_g")).select(
         "set_name", F.array_join(F.transform("_g", lambda x: x["gene_id"]), ";").alias("leading_edge_genes"))
     out = out.withColumn("nes", F.col("es") / (F.col("_d") + EPS)).drop("_d").join(lead, "set_name")
-    return bh_fdr(out, [], "p_value", "fdr")
+    return bh_fdr(cut(out), [], "p_value", "fdr", n_sets)
 
 
 def ora(genes: DataFrame, keys, sets: DataFrame, background: DataFrame, min_genes: int = 5) -> DataFrame:
