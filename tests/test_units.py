@@ -452,3 +452,22 @@ def test_gsea_ranks_genes_once(spark, hot, monkeypatch):
     assert len(whole) == len(split) > 3 and "flat" in {r[0] for r in whole}
     for a, b in zip(whole, split, strict=True):
         assert all(x == pytest.approx(y, abs=1e-9) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))
+
+
+def test_signature_scores_from_signature_sums(spark):
+    from tidepair.operators import pseudobulk as P
+
+    genes = spark.createDataFrame([(1, "g1", "a"), (2, "g2", "B"), (3, "g3", "A"), (4, "g4", "c")], "gene_index int, gene_id string, gene_symbol string")
+    wanted = spark.createDataFrame([("s", "A"), ("s", "B"), ("s", "A"), ("u", "B"), ("v", "none")], "signature string, symbol string")
+    found = P.signature_genes(genes, wanted)
+    assert sorted(rows(found)) == [("s", "g1"), ("s", "g2"), ("u", "g2")]
+    made = [(f"r{k}", "t", f"p{k}", f"a{k}", f"b{k}", "x", "x") for k in range(4)]
+    pairs = spark.createDataFrame(made, "replicate_id string, tumor_type string, pair_id string, source_cell string, target_cell string, source_label string, target_label string")
+    expr = [(f"b{k}", g, float(k + 1) * w) for k in range(3) for g, w in (("g1", 2.0), ("g2", 1.0), ("g3", 9.0))]
+    expr = P.signature_expression(spark.createDataFrame(expr, "cell_id string, gene_id string, value double"), found)
+    by = ["tumor_type", "source_label", "target_label"]
+    states, counts = P.pseudobulk_states(pairs, expr, by), P.scope_counts(pairs, by, P.tumor_scopes())
+    assert states.count() == 3 * 2  # a row a replicate and signature, not one a gene
+    out = P.signature_scores_test(P.pseudobulk_means(states, P.tumor_scopes(), counts), P.scope_sizes(counts), found)
+    got = {r.signature: (r.n_genes_found, r.n_replicates, r.pseudobulk_delta) for r in out.where("scope = 'global'").collect()}
+    assert got == {"s": (2, 4, pytest.approx((1.5 + 3 + 4.5) / 4)), "u": (1, 4, pytest.approx((1 + 2 + 3) / 4))}

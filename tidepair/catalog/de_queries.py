@@ -61,8 +61,9 @@ def _metric_scopes():
                                      for i, m in enumerate(LOWS)]))
 
 
-def _states(t, by_metric=False):
+def _states(t, by_metric=False, expr=None):
     """(states, counts, scopes): expression summed once per replicate, labels (or band) and gene, and pairs per scope."""
+    expr = t("expr") if expr is None else expr
     pairs = _pairs(t)
     if by_metric:
         band = sum(((F.col("probability") >= low).cast("int") for low in LOWS.values()), F.lit(0))
@@ -71,12 +72,12 @@ def _states(t, by_metric=False):
         by, scopes, least = LABELS, P.tumor_scopes(), MIN_PAIRS
     counts, n = cut_counted(P.scope_counts(pairs, by, scopes, least))
     counts = F.broadcast(counts) if n <= broadcast_rows(t.spark) else counts
-    return P.pseudobulk_states(pairs, t("expr"), by), counts, scopes
+    return P.pseudobulk_states(pairs, expr, by), counts, scopes
 
 
-def _bulk(t, by_metric=False):
+def _bulk(t, by_metric=False, expr=None):
     """Means per scope, replicate and gene, and sizes of the scopes."""
-    states, counts, scopes = _states(t, by_metric)
+    states, counts, scopes = _states(t, by_metric, expr)
     sizes, n = cut_counted(P.scope_sizes(counts))
     return P.pseudobulk_means(states, scopes, counts), F.broadcast(sizes) if n <= broadcast_rows(t.spark) else sizes
 
@@ -221,9 +222,9 @@ def transition_enrichment(t):
  SELECT scope, scope_key, signature, n_genes_found, n_replicates, round(ms, 9) AS mean_source_score, round(mt, 9) AS mean_target_score, round(md, 9) AS mean_delta,
  round(t_stat, 6) AS t_stat, round(p_value, 7) AS p_value, round({_Q}, 6) AS fdr FROM d JOIN nf USING (signature)""")
 def signature_scores_test(t):
-    bulk, sizes = _bulk(t)
     signatures = t("genes").select(F.concat(F.lit("SIG_"), "brand").alias("signature"), F.col("gene_symbol").alias("symbol"))
-    out = P.signature_scores_test(bulk, sizes, t("genes"), signatures)
+    found = cut(P.signature_genes(t("genes"), signatures))
+    out = P.signature_scores_test(*_bulk(t, expr=P.signature_expression(t("expr"), found)), found)
     return out.select(*KEYS, "signature", "n_genes_found", "n_replicates", _r("pseudobulk_source_mean", 9, "mean_source_score"),
                       _r("pseudobulk_target_mean", 9, "mean_target_score"), _r("pseudobulk_delta", 9, "mean_delta"), _r("t_stat", 6),
                       _r("p_value", 7), _r("fdr", 6))
