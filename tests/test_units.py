@@ -471,3 +471,18 @@ def test_signature_scores_from_signature_sums(spark):
     out = P.signature_scores_test(P.pseudobulk_means(states, P.tumor_scopes(), counts), P.scope_sizes(counts), found)
     got = {r.signature: (r.n_genes_found, r.n_replicates, r.pseudobulk_delta) for r in out.where("scope = 'global'").collect()}
     assert got == {"s": (2, 4, pytest.approx((1.5 + 3 + 4.5) / 4)), "u": (1, 4, pytest.approx((1 + 2 + 3) / 4))}
+
+
+def test_bh_of_a_large_group_is_no_single_sort(spark, monkeypatch):
+    """Beyond BH_ROWS, q comes from distinct p values; rows without p stay, wherever they are dealt."""
+    from tidepair.plans import ordered
+
+    made = [(i, "ab"[i % 2] if i % 7 else None, None if i % 5 == 0 else float("nan") if i % 11 == 0 else (i * 37 % 50) / 50) for i in range(300)]
+    df = spark.createDataFrame(made, "id int, k string, p double")
+    whole = {keys: sorted(rows(ordered.bh_fdr(df, keys, "p", "q").select("id", "q"))) for keys in ((), ("k",))}
+    monkeypatch.setattr(ordered, "BH_ROWS", 20)
+    for keys, want in whole.items():
+        out = ordered.bh_fdr(df, keys, "p", "q", values=df.select("k", "p"))
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString().split("LeftOuter")[0]
+        got = sorted(rows(out.select("id", "q")))
+        assert len(got) == 300 and all(a[0] == b[0] and a[1] == (b[1] and pytest.approx(b[1], abs=1e-12)) for a, b in zip(got, want, strict=True))

@@ -126,7 +126,7 @@ def bh_fdr(t):
     from tidepair.plans.ordered import bh_fdr as bh_
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.when(
         F.col("l_linenumber") != 3, F.col("l_extendedprice") / 200000).alias("p_value"))
-    out = bh_(bh_(rows, [], "p_value", "q_all"), ["l_returnflag"], "p_value", "q_group")
+    out = bh_(bh_(rows, [], "p_value", "q_all"), ["l_returnflag"], "p_value", "q_group", values=rows)
     return out.select("l_orderkey", "l_linenumber", "p_value", _r("q_all"), _r("q_group"))
 
 

@@ -10,7 +10,7 @@ group like any other: groups are joined back null-safely.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import broadcast_rows, cut, hot_rows
+from .session import broadcast_rows, cut, cut_counted, hot_rows
 
 
 def _sort(order):
@@ -116,9 +116,9 @@ def value_counts(df: DataFrame, keys, value: str, probe: DataFrame | int | None
     return running(counts, keys, [value], {"_cum": "_n"}, probe)
 
 
-def is_hot(df: DataFrame, keys, probe: DataFrame | int | None = None) -> bool:
-    """Does some group exceed what one task should hold?"""
-    limit = hot_rows(df.sparkSession)
+def is_hot(df: DataFrame, keys, probe: DataFrame | int | None = None, limit: int | None = None) -> bool:
+    """Does some group exceed what one task should hold (or another limit)?"""
+    limit = hot_rows(df.sparkSession) if limit is None else limit
     if isinstance(probe, int):
         if probe <= limit:
             return False
@@ -178,27 +178,38 @@ def quantiles(df: DataFrame, keys, value: str, qs: dict, probe: DataFrame | int
         (F.col("_lo_" + n) + (F.col("_hi_" + n) - F.col("_lo_" + n)) * F.col("_f_" + n)).alias(n) for n in qs])
 
 
-def bh_fdr(df: DataFrame, keys, p: str, out: str, probe: DataFrame | int | None = None) -> DataFrame:
+#: Rows of a group beyond which bh_fdr works on its distinct p values rather than sort the group in one task.
+BH_ROWS = 250_000
+
+
+def bh_fdr(df: DataFrame, keys, p: str, out: str, probe: DataFrame | int | None = None, values: DataFrame | None = None) -> DataFrame:
     """Benjamini-Hochberg q per group over finite p; null p stays null.
 
-    Works on distinct p values: a tied block shares the q of its last rank.
+    Works on distinct p values where groups are large: a tied block shares the q of its last rank. Their counts are written
+    once, and every row looks its q up. `values`: cheaper frame with the same keys and p, if there is one.
     """
     keys = list(keys)
-    df = df.withColumn(p, F.nanvl(F.col(p), F.lit(None).cast("double")))
-    if not is_hot(df, keys, probe):
+    finite = lambda rows: rows.withColumn(p, F.nanvl(F.col(p), F.lit(None).cast("double")))
+    df = finite(df)
+    values = df if values is None else finite(values)
+    if not is_hot(values if probe is None else df, keys, probe, min(BH_ROWS, hot_rows(df.sparkSession))):
         group = Window.partitionBy(*keys)
         upto = group.orderBy(F.col(p).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         after = group.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         df = df.withColumn("_raw", F.col(p) * F.count(p).over(group) / F.count(p).over(upto))
         q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min("_raw").over(after)))
         return df.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_raw")
-    steps = value_counts(df, keys, p, probe)
-    totals = df.groupBy(*keys).agg(F.count(p).alias("_m"))
+    counts, n = cut_counted(values.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n")))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_m"))
+    steps = running(counts, keys, [p], {"_cum": "_n"}, n)
     steps = join_on(steps, totals, keys) if keys else attach_one(steps, totals)
-    steps = steps.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_cum"))
-    q = suffix_min(steps, keys, p, "_raw", out, probe)
-    q = q.select(*keys, p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))).alias(out))
-    return join_on(df, q, keys + [p], "left")
+    steps = cut(steps.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_cum")))
+    q = suffix_min(steps, keys, p, "_raw", out, n)
+    q = q.select(*keys, p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))).alias(out), F.lit(0).cast("bigint").alias("_at"))
+    # rows without p find nothing: spread, so that they don't meet in one task
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = df.withColumn("_at", F.when(F.col(p).isNull(), F.xxhash64(*plain)).otherwise(0))
+    return join_on(rows, q, [*keys, p, "_at"], "left").drop("_at")
 
 
 def suffix_min(df: DataFrame, keys, order: str, value: str, out: str,
