@@ -486,3 +486,22 @@ def test_bh_of_a_large_group_is_no_single_sort(spark, monkeypatch):
         assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString().split("LeftOuter")[0]
         got = sorted(rows(out.select("id", "q")))
         assert len(got) == 300 and all(a[0] == b[0] and a[1] == (b[1] and pytest.approx(b[1], abs=1e-12)) for a, b in zip(got, want, strict=True))
+
+
+def test_nearest_measures_few_pairs_and_keeps_ties(monkeypatch):
+    r = np.random.default_rng(3)
+    p = np.concatenate([r.integers(0, 4, size=(300, 3)).astype(float), 1e6 + r.normal(size=(100, 3)), [[np.nan, 0, 0], [np.inf, 1, 1]]])
+    for pts in (p, p[:400], p[:1], p[:5]):
+        ids = r.permutation(len(pts)).astype("int64")
+        got = list(zip(*[x.tolist() for x in neighbors._nearest(pts, ids, pts, ids, 7)], strict=True))
+        want = []
+        for i, x in enumerate(pts):
+            with np.errstate(invalid="ignore"):
+                d = ((x - pts) ** 2).sum(axis=1)
+            want += [(i, b, a) for a, b in sorted((a, b) for a, b in zip(d.tolist(), ids.tolist(), strict=True) if math.isfinite(a) and b != ids[i])[:7]]
+        assert got == want
+    seen, real = [], np.lexsort
+    monkeypatch.setattr(neighbors.np, "lexsort", lambda keys, **a: (seen.append(np.size(keys[0])), real(keys, **a))[1])
+    wide = r.normal(size=(2000, 8))
+    neighbors._nearest(wide, np.arange(2000), wide, np.arange(2000), 10)
+    assert sum(seen) < 2000 * 20
