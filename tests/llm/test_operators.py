@@ -263,6 +263,32 @@ def test_hamming_search_is_complete():
     assert {(i, i) for i in range(len(c.prints))} <= set(zip(windows.tolist(), items.tolist(), strict=True))
 
 
+def test_decontamination_goes_by_simhash(monkeypatch):
+    """Bags at similarity 0.8 and above, repeats among them, are near; others are not; what is not near is not found."""
+    r = random.Random(3)
+    worst = 0
+    for n in [4, 5, 9, 10, 12, 20, 46, 91, 196] * 20:
+        lost = next(d for d in range(n, -1, -1) if (n - d) >= 0.8 * (n + d))
+        bag = [r.getrandbits(64) if r.random() < 0.7 else r.randint(1, 3) for _ in range(n)]
+        other = bag[lost:] + [r.choice([r.getrandbits(64), 7]) for _ in range(lost)]
+        r.shuffle(other)
+        short = bag[: -(-8 * n // 10)]
+        for x in (other, short):
+            a, b = (decontaminate.window_prints(np.array(s, np.uint64), len(s))[0] for s in (bag, x))
+            worst = max(worst, int(np.bitwise_count(a ^ b).sum()))
+    assert 30 < worst <= decontaminate.NEAR - 10
+    s = np.array([r.choice([r.getrandbits(64), 5, 6]) for _ in range(90)], np.uint64)
+    direct = [decontaminate.window_prints(s[i : i + 30], 30)[0].tolist() for i in range(61)]
+    assert decontaminate.window_prints(s, 30).tolist() == direct
+    noise = lambda n: [f"n{r.randint(0, 999)}" for _ in range(n)]
+    item = noise(60)
+    index, text = decontaminate.build_index([(1, " ".join(item))]), " ".join(noise(80) + item + noise(5))
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 9)
+    assert decontaminate.matches([text], index) == [{1: (1.0, 80)}]
+    monkeypatch.setattr(decontaminate, "NEAR", -1)
+    assert decontaminate.matches([text], index) == [{}]
+
+
 def test_language(spark, docs, empty):
     r = random.Random(2)
     make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n)).capitalize() + "."

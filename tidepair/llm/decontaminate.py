@@ -1,4 +1,6 @@
-"""Benchmark decontamination: item-sized windows at every word, found by shared shingles, compared exactly; none is missed."""
+"""Benchmark decontamination: SimHash of item-sized windows at every word, Hamming search, exact comparison.
+
+Shared benchmark shingles first tell, without losses, where windows that resemble an item can lie."""
 
 from __future__ import annotations
 
@@ -13,10 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed
-from .shingles import shingle_hashes, slices, word_hashes, word_stream
+from .shingles import ODD, mixed, shingle_hashes, slices, word_hashes, word_stream
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints within RADIUS bits have one of BLOCKS 16-bit blocks within RADIUS // BLOCKS bits: none is missed.
+#: Fingerprints of windows: lanes of 64 bits, and the Hamming distance up to which a window is compared exactly. At
+#: similarity 0.8 a bit differs with probability 0.15, or 0.19 at most (4 of 5 shingles): more than NEAR of 256 bits do
+#: with less than 1e-10. Unrelated windows differ in 128 bits, give or take 8.
+LANES, NEAR = 4, 96
+#: Windows fingerprinted at once.
+WINDOWS_AT_ONCE = 1 << 12
+#: 64-bit fingerprints within RADIUS bits have one of BLOCKS 16-bit blocks within RADIUS // BLOCKS bits: none is missed.
 RADIUS, BLOCKS = 11, 4
 #: Window sizes grow by RATIO; items above LONGEST words are cut into segments of at most that size.
 RATIO, SHORTEST, LONGEST = 1.1, 5, 200
@@ -42,6 +50,46 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, n) -> np.ndarray:
     return np.packbits(votes > half, axis=1).view(np.uint64).ravel()
 
 
+def element_bits(shingles: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The LANES * 64 bits of shingles, one row each. The second copy of a shingle is an element of its own, and so on: so
+    bags are sets, and a shingle that repeats has no more votes than it has places."""
+    lane = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+    seeds = shingles + copies.astype(np.uint64) * ODD
+    return np.unpackbits(mixed(seeds[:, None] + lane).view(np.uint8), axis=1)
+
+
+def prints_of(votes: np.ndarray, n) -> np.ndarray:
+    """SimHash of n elements: a bit is set if more than half of them have it."""
+    return np.packbits(2 * votes > n, axis=1).view(np.uint64)
+
+
+def window_prints(shingles: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the window of so many shingles from every place on: votes move on by the element that leaves and the
+    one that comes."""
+    n = len(shingles)
+    _, k = np.unique(shingles, return_inverse=True)
+    place = np.arange(n)
+    keys = np.sort(k * (n + 1) + place)
+    same = lambda at, low, high: np.searchsorted(keys, k[at] * (n + 1) + high) - np.searchsorted(keys, k[at] * (n + 1) + low)
+    comes = element_bits(shingles, same(place, np.maximum(place - size + 1, 0), place))
+    first = place[: n - size]
+    goes = element_bits(shingles[first], same(first, first + 1, first + size))
+    start = comes[:size].sum(axis=0, dtype=np.int32)
+    moved = np.cumsum(comes[size:].astype(np.int32) - goes, axis=0)
+    return prints_of(np.concatenate((start[None], start + moved)), size)
+
+
+def near_windows(shingles: np.ndarray, size: int, own: np.ndarray) -> np.ndarray:
+    """Places from which the window's fingerprint is within NEAR bits of an item's. Such a window is within NEAR // LANES in
+    one lane at least, so lanes are looked at first."""
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(shingles) - size + 1, WINDOWS_AT_ONCE):
+        apart = np.bitwise_count(window_prints(shingles[at : at + WINDOWS_AT_ONCE + size - 1], size) ^ own)
+        some = np.flatnonzero(apart.min(axis=1) <= NEAR // LANES)
+        out.append(at + some[apart[some].sum(axis=1, dtype=np.int64) <= NEAR])
+    return np.concatenate(out)
+
+
 def window_sizes() -> np.ndarray:
     sizes, x = [], float(SHORTEST)
     while not sizes or sizes[-1] < LONGEST:
@@ -75,10 +123,11 @@ class Index:
     rare_begin: np.ndarray  # known shingle k is in the prefix of pieces rare[rare_begin[k]:rare_begin[k + 1]]
     rare: np.ndarray
     short: dict[int, list[int]]  # items of fewer words than a shingle, by their one shingle
+    prints: np.ndarray  # fingerprints of the pieces, LANES numbers each
 
     @functools.cached_property
     def classes(self) -> list[Class]:
-        """The pieces by SimHash, for within_radius(); the search, which has to find all, does without."""
+        """The pieces by 64-bit SimHash, for within_radius(); the search, which has to find all, goes by prints."""
         return hamming_classes(self)
 
 
@@ -99,7 +148,7 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
     than 1 - SIMILARITY of the piece's shingles. So it has at least one of any so many of them and one more: the prefix,
     for which those of the fewest pieces are taken.
     """
-    ids, sizes, bags, short = [], [], [], {}
+    ids, sizes, bags, short, prints = [], [], [], {}, []
     for name, text in items:
         words = word_hashes((text or "").encode())
         cuts = -(-len(words) // LONGEST)
@@ -111,6 +160,7 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
             ids.append(name)
             sizes.append(len(piece))
             bags.append(np.unique(s, return_counts=True))
+            prints.append(window_prints(s, len(s))[0])
     begin = np.concatenate(([0], np.cumsum([len(s) for s, _ in bags]))).astype(np.int64)
     all_ = np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in bags)])
     times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in bags)])
@@ -128,7 +178,7 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
     rare, of = np.concatenate(rare), np.concatenate(of)
     order = np.argsort(rare, kind="stable")
     rare_begin = np.concatenate(([0], np.cumsum(np.bincount(rare, minlength=len(known))))).astype(np.int64)
-    return Index(ids, np.array(sizes, np.int64), known, some, begin, held, times, rare_begin, of[order], short)
+    return Index(ids, np.array(sizes, np.int64), known, some, begin, held, times, rare_begin, of[order], short, np.array(prints, np.uint64).reshape(-1, LANES))
 
 
 def hamming_classes(index: Index) -> list[Class]:
@@ -201,7 +251,9 @@ def matches_of(words: np.ndarray, begin: np.ndarray, index: Index) -> list[tuple
     """(text, item id, similarity, first word) of every item that a window of a text resembles by SIMILARITY or more.
 
     words: those of many texts, text i from begin[i] to begin[i + 1]. Windows stay inside texts; a text shorter than the
-    window is one window.
+    window is one window. Where known shingles leave room for a similar window, all windows are fingerprinted; those near
+    the item's fingerprint are compared exactly. Items of one shingle are met by that shingle's hash, which is all that
+    their fingerprint would say.
     """
     out, size = [], np.diff(begin)
     for k in range(1, SHINGLE):
@@ -241,6 +293,10 @@ def matches_of(words: np.ndarray, begin: np.ndarray, index: Index) -> list[tuple
     for text, piece, left, right in zip(t[fresh].tolist(), i[fresh].tolist(), low[fresh].tolist(), high[ends].tolist(), strict=True):
         full = int(index.sizes[piece]) - SHINGLE + 1
         width = min(full, int(size[text]) - SHINGLE + 1)
+        close = near_windows(shingles[left:right], width, index.prints[piece])
+        if not len(close):
+            continue
+        left, right = left + int(close[0]), left + int(close[-1]) + width
         both, place = best_window(at, found, left, right, width, piece, index)
         score = both / (full + width - both)
         if score >= SIMILARITY:
