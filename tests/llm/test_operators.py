@@ -366,6 +366,18 @@ def test_token_table(spark, docs, empty, tmp_path):
     assert tokens.op8_token_ids(empty).count() == 0
 
 
+def test_words_remember_stems_alone():
+    """All that a worker keeps between lots are stems, within their bound: no chunk with marks, no chunk twice."""
+    words, r = tokens.Words(tokens.default_tokenizer()), random.Random(9)
+    words.stems.bound = 20
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(5)) + r.choice(["", ".", "?!"]) for _ in range(30)) for _ in range(40)]
+    for t in texts:
+        assert next(iter(words.encode([t]))).tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    held = [v for v in vars(words).values() if hasattr(v, "young")]
+    assert held == [words.stems] and len(words.stems.young) + len(words.stems.old) <= 2 * 50
+    assert not any(c in "".join([*words.stems.young, *words.stems.old]) for c in ".?!")
+
+
 def test_words_match_whole_texts():
     from tokenizers import Tokenizer
 
