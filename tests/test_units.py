@@ -505,3 +505,27 @@ def test_nearest_measures_few_pairs_and_keeps_ties(monkeypatch):
     wide = r.normal(size=(2000, 8))
     neighbors._nearest(wide, np.arange(2000), wide, np.arange(2000), 10)
     assert sum(seen) < 2000 * 20
+
+
+def test_sparse_sums_equal_states(spark):
+    """Sums by numbered combinations equal those of states: repeated cells, null labels, small cell types left out, no row lost."""
+    from pyspark.sql import functions as F
+
+    from tidepair.operators import pseudobulk as P
+
+    rows = [(f"r{i % 3}", f"t{i % 2}", i, f"c{i % 7}", f"c{i % 5}", ["a", "b", None][i % 3], ["b", "a"][i % 2]) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "replicate_id string, tumor_type string, pair_id long, source_cell string, target_cell string, source_label string, target_label string")
+    expr = spark.createDataFrame([(f"c{i % 7}", f"g{i % 4}", float(i % 3)) for i in range(28)], "cell_id string, gene_id string, value double")
+    by, scopes, least = ["tumor_type", "source_label", "target_label"], P.tumor_scopes(), 10
+    counts = P.scope_counts(pairs, by, scopes, least)
+    want = P.pseudobulk_means(P.pseudobulk_states(pairs, expr, by), scopes, counts)
+    combos, _ = P.coded(pairs.groupBy("replicate_id", *by).agg(F.count(F.lit(1)).alias("_n")), "_combo")
+    numbered, _ = P.coded(P.combo_counts(combos, scopes, least), "_g")
+    groups = P.combo_groups(combos, scopes, numbered.drop("n_pairs"))
+    for few in (True, False):
+        sums = P.sparse_sums(pairs, expr, combos, by, groups, few).join(numbered, "_g").drop("_g")
+        got = P.with_means(sums).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 20
+    plan = P.sparse_sums(pairs, expr, combos, by, groups, True)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert not any("replicate_id" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)

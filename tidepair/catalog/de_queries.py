@@ -61,25 +61,48 @@ def _metric_scopes():
                                      for i, m in enumerate(LOWS)]))
 
 
-def _states(t, by_metric=False, expr=None):
-    """(states, counts, scopes): expression summed once per replicate, labels (or band) and gene, and pairs per scope."""
-    expr = t("expr") if expr is None else expr
+def _scoped(t, by_metric=False):
+    """(pairs, columns that scopes are made of, scopes, least pairs of a cell type in a replicate)."""
     pairs = _pairs(t)
     if by_metric:
         band = sum(((F.col("probability") >= low).cast("int") for low in LOWS.values()), F.lit(0))
-        pairs, by, scopes, least = pairs.withColumn("band", band), ["tumor_type", "band"], _metric_scopes(), 0
-    else:
-        by, scopes, least = LABELS, P.tumor_scopes(), MIN_PAIRS
-    counts, n = cut_counted(P.scope_counts(pairs, by, scopes, least))
-    counts = F.broadcast(counts) if n <= broadcast_rows(t.spark) else counts
-    return P.pseudobulk_states(pairs, expr, by), counts, scopes
+        return pairs.withColumn("band", band), ["tumor_type", "band"], _metric_scopes(), 0
+    return pairs, LABELS, P.tumor_scopes(), MIN_PAIRS
+
+
+def _small(t, df, n):
+    return F.broadcast(df) if n <= broadcast_rows(t.spark) else df
+
+
+def _sparse(t, by_metric=False, replicates=True, expr=None):
+    """(sums, counts, sizes) for genes that few cells hold: sums per scope, gene and, if asked for, replicate."""
+    pairs, by, scopes, least = _scoped(t, by_metric)
+    combos, n_combos = P.coded(pairs.groupBy("replicate_id", *by).agg(F.count(F.lit(1)).alias("_n")), "_combo")
+    counts, n = P.coded(P.combo_counts(combos, scopes, least), "_g")
+    sizes, n_sizes = P.coded(P.scope_sizes(counts), "_size")
+    groups = counts if replicates else P.join_on(counts.drop("_g"), sizes.select(*KEYS, F.col("_size").alias("_g")), KEYS)
+    listed = cut(P.combo_groups(combos, scopes, groups.select(*KEYS, "replicate_id", "_g")))
+    sums = P.sparse_sums(pairs, t("expr") if expr is None else expr, combos, by, listed, n_combos <= broadcast_rows(t.spark))
+    names = _small(t, counts, n) if replicates else _small(t, sizes.select(F.col("_size").alias("_g"), *KEYS, "n_pairs"), n_sizes)
+    return sums.join(names, "_g").drop("_g"), counts.drop("_g"), _small(t, sizes.drop("_size"), n_sizes)
 
 
 def _bulk(t, by_metric=False, expr=None):
-    """Means per scope, replicate and gene, and sizes of the scopes."""
-    states, counts, scopes = _states(t, by_metric, expr)
+    """Means per scope, replicate and gene, and sizes of the scopes. expr: expression of few genes, held by many cells."""
+    if expr is None:
+        sums, _, sizes = _sparse(t, by_metric)
+        return P.with_means(sums), sizes
+    pairs, by, scopes, least = _scoped(t, by_metric)
+    counts, n = cut_counted(P.scope_counts(pairs, by, scopes, least))
+    counts = _small(t, counts, n)
     sizes, n = cut_counted(P.scope_sizes(counts))
-    return P.pseudobulk_means(states, scopes, counts), F.broadcast(sizes) if n <= broadcast_rows(t.spark) else sizes
+    return P.pseudobulk_means(P.pseudobulk_states(pairs, expr, by), scopes, counts), _small(t, sizes, n)
+
+
+def _summary(t):
+    """gene_summary without the replicates, which it only adds up; and scope_counts."""
+    sums, counts, _ = _sparse(t, replicates=False)
+    return P.with_summary(sums), counts
 
 
 def _table(t, by_metric=False):
@@ -103,7 +126,7 @@ def pseudobulk_means(t):
  round(source_pct, 9) AS source_pct, round(target_pct, 9) AS target_pct, round(target_mean - source_mean, 9) AS mean_delta,
  round(log2((target_mean + 1e-6::DOUBLE) / (source_mean + 1e-6::DOUBLE)), 7) AS log2fc FROM gs""")
 def gene_summary(t):
-    return P.gene_summary(*_bulk(t)).select(
+    return _summary(t)[0].select(
         *KEYS, "gene_id", "n_pairs", *[_r(c) for c in ("source_mean", "target_mean", "source_pct", "target_pct", "mean_delta")], _r("log2fc", 7))
 
 
@@ -276,10 +299,10 @@ def volcano_table(t):
  SELECT scope, scope_key, gene_id, replicate_id, round(delta, 9) AS delta, round((delta - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 7) AS z FROM zz""")
 def replicate_delta_z(t):
     from tidepair.plans.ordered import top_rows
-    bulk, sizes = _bulk(t)
-    bulk = cut(bulk)  # read twice
-    top = top_rows(P.gene_summary(bulk, sizes), KEYS, [P.rounded("abs_mean_delta").desc(), F.col("gene_id")], 20)
-    return P.replicate_delta_z(bulk, top, KEYS).select(*KEYS, "gene_id", "replicate_id", _r("delta"), _r("z", 7))
+    summary, counts = _summary(t)
+    top = cut(top_rows(summary, KEYS, [P.rounded("abs_mean_delta").desc(), F.col("gene_id")], 20).select(*KEYS, "gene_id"))
+    bulk = P.with_means(_sparse(t, expr=t("expr").join(top.select("gene_id").distinct(), "gene_id", "left_semi"))[0])
+    return P.replicate_delta_z(bulk, top, KEYS, counts).select(*KEYS, "gene_id", "replicate_id", _r("delta"), _r("z", 7))
 
 
 @query(f"""WITH {TRANS}, x AS (SELECT tumor_type, source_label, target_label, sum(n_pairs)::BIGINT AS n_pairs FROM tr GROUP BY ALL),
