@@ -70,3 +70,18 @@ def test_a_crowd_of_outer_nodes_meets_few_others(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.op6_minhash_near_dedup(docs).collect()}
     assert got == dict(enumerate(least_linked(texts)))
     assert seen[0].count() < 20 * 800
+
+
+def test_only_open_changes_are_joined(spark, monkeypatch):
+    """Changes that one node or one component makes can't lead to a link: they don't go through the joins of a large crowd."""
+    ready(spark)
+    seen, real = [], neardup.Consensus.changes
+    monkeypatch.setattr(neardup.Consensus, "changes", lambda self, roots: seen.append((self, neardup.cut(real(self, roots)))) or seen[-1][1])
+    texts = crowd(9, 200, 22, ["change"], 100_000) + crowd(10, 200, 22, ["change"], 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.op6_minhash_near_dedup(docs).collect()}
+    assert got == dict(enumerate(least_linked(texts)))
+    consensus, changes = seen[0]
+    made = changes.groupBy("crowd", "lacks", "h").count()
+    assert made.count() > 0 and made.where("count < 2").count() == 0
+    assert changes.where("NOT lacks").count() < consensus.marked.where("NOT core").count()

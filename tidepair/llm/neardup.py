@@ -241,29 +241,34 @@ class Consensus:
         return self.nodes.where("own OR NOT outer").join(nearest, "crowd").where("node <> u").select("u", F.col("node").alias("v")).distinct()
 
     def changes(self, roots: DataFrame) -> DataFrame:
-        """Differences (crowd, lacks, h, c nodes that make it) of nodes, where nodes of several components make it. Lacks are
-        listed for outer nodes and for those that lack more than they add."""
-        added = self.marked.where("NOT core").select("crowd", "node", F.lit(False).alias("lacks"), "h", "c")
-        wanted = self.nodes.where("outer OR a < r").select("crowd", "node")
+        """Open differences (crowd, lacks, h, what is known of the node) of nodes: those that an outer node makes and one of
+        another component has in its index, the rarest of its differences that are enough for the search. Lacks are there
+        for outer nodes and for those that lack more than they add, and listed in the index of the latter only. A node's
+        numbers come to its differences as the first row of its own, so all of them meet no join; most are dropped then,
+        as one node or one component makes them."""
+        about = self.nodes.join(roots, "node", "left").select("crowd", "node", F.struct("own", "n", "n_b", "a", "r", "outer", F.coalesce("root", "node").alias("root")).alias("about"))
+        first = about.select("crowd", "node", "about", F.lit(False).alias("lacks"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), F.lit(False).alias("listed"))
+        added = self.marked.where("NOT core").select("crowd", "node", F.lit(False).alias("lacks"), "h", "c", F.lit(True).alias("listed"))
+        wanted = self.nodes.where("outer OR a < r").select("crowd", "node", F.expr("a < r").alias("listed"))
         all_ = wanted.join(self.counts.where("core").select("crowd", "h", (F.col("members") - F.col("c")).alias("c")), "crowd")
         lacks = all_.join(self.marked.where("core").select("crowd", "node", "h"), ["crowd", "node", "h"], "left_anti")
-        both = cut(added.unionByName(lacks.select("crowd", "node", F.lit(True).alias("lacks"), "h", "c")))
-        of = both.where("c > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = of.groupBy("crowd", "lacks", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        open_ = open_.select("crowd", "lacks", "h", F.lit(True).alias("open"))
-        return both.join(open_, ["crowd", "lacks", "h"], "left")
+        lacks = lacks.select("crowd", "node", F.lit(True).alias("lacks"), "h", "c", "listed")
+        rarest = W.partitionBy("crowd", "node").orderBy("c", "lacks", "h")
+        rows = first.unionByName(added.unionByName(lacks), allowMissingColumns=True)
+        rows = rows.withColumn("at", F.count_if("listed").over(rarest)).withColumn("about", F.first("about").over(rarest))
+        rows = rows.where("c > 1").select("crowd", "node", "lacks", "h", "listed", "at", "about.*")
+        full = F.col("a") >= F.col("r")
+        enough = F.when(full, F.col("a") - F.floor(4 * (F.col("a") - F.col("r")) / 9)).otherwise(F.col("a") + F.col("r") - F.floor((5 * F.col("r") + 4 * F.col("a")) / 9))
+        rows = cut(rows.withColumn("index", F.col("listed") & (F.col("at") <= enough)).where("outer OR index").drop("listed", "at"))
+        open_ = rows.groupBy("crowd", "lacks", "h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("outer").alias("asks"), F.max("index").alias("answers"))
+        return rows.join(open_.where("low < high AND asks AND answers").select("crowd", "lacks", "h"), ["crowd", "lacks", "h"], "left_semi")
 
     def pairs(self, roots: DataFrame) -> DataFrame:
         """Pairs of different components, at least one of them outer, that can reach the similarity."""
-        about = self.nodes.join(roots, "node", "left").select("crowd", "node", "own", "n", "n_b", "a", "r", "outer", F.coalesce("root", "node").alias("root"))
-        rows = cut(self.changes(roots).join(about, ["crowd", "node"]))
-        full = F.col("a") >= F.col("r")
-        listed = rows.where(~F.col("lacks") | (F.col("a") < F.col("r")))
-        enough = F.when(full, F.col("a") - F.floor(4 * (F.col("a") - F.col("r")) / 9)).otherwise(F.col("a") + F.col("r") - F.floor((5 * F.col("r") + 4 * F.col("a")) / 9))
-        rank = F.row_number().over(W.partitionBy("crowd", "node").orderBy("c", "lacks", "h"))  # a node's own differences, the rarest first
-        index = listed.withColumn("at", rank).where((F.col("at") <= enough) & F.col("open")).drop("at", "outer")
+        rows = cut(self.changes(roots))
+        index = rows.where("index")
         index = index.select("crowd", "lacks", "h", F.col("n_b"), *[F.col(c).alias(f"{c}_x") for c in ("node", "own", "n", "a", "r", "root")])
-        probe = rows.where("outer AND open").select("crowd", "lacks", "h", "node", "own", "n", "a", "r", "root")
+        probe = rows.where("outer").select("crowd", "lacks", "h", "node", "own", "n", "a", "r", "root")
         fits = (F.col("root") != F.col("root_x")) & (F.col("own") | F.col("own_x")) & (100 * F.least("n", "n_x") >= SIMILARITY * F.greatest("n", "n_x"))
         fits &= 9 * (F.least("a", "a_x") + F.least("r", "r_x")) >= 5 * (F.col("r") + F.col("r_x")) + 4 * (F.col("a") + F.col("a_x")) - F.col("n_b")
         return probe.join(index, ["crowd", "lacks", "h"]).where(fits).select(F.least("node", "node_x").alias("u"), F.greatest("node", "node_x").alias("v")).distinct()
