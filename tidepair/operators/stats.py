@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepair.functions.pvalues import mannwhitney_p, student_t_p, wilcoxon_p
-from tidepair.plans.ordered import attach_one, avg_rank, quantiles, row_rank, running, with_totals
+from tidepair.plans.ordered import attach_one, avg_rank, join_on, quantiles, row_rank, running, with_totals
 from tidepair.plans.session import broadcast_rows, cut, cut_counted, hot_rows
 
 
@@ -91,11 +91,24 @@ def cohen_d(df: DataFrame, keys, value: str, label: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, probe=None) -> DataFrame:
-    """Correlation of average-tie ranks (null for a constant side) and its t-based p."""
+    """Correlation of average-tie ranks (null for a constant side) and its t-based p.
+
+    Equal pairs of values are counted first and written once; both sides' ranks are read off from their counts, and the
+    pairs meet them with their number as weight. So rows are shuffled once, and less the more of them are equal.
+    """
     keys = list(keys)
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = avg_rank(avg_rank(both, keys, x, "_rx", probe), keys, y, "_ry", probe)
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias("rho"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    pairs, bound = cut_counted(both.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = pairs.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    ranked = join_on(pairs, sizes, keys) if keys else attach_one(pairs, sizes)
+    for v in ("_x", "_y"):
+        steps = running(pairs.groupBy(*keys, v).agg(F.sum("_n").alias("_t")), keys, [v], {"_cum": "_t"}, bound)
+        centred = F.col("_cum") - (F.col("_t") - 1) / F.lit(2.0)
+        ranked = join_on(ranked, steps.select(*keys, v, centred.alias("_r" + v)), [*keys, v])
+    rx, ry, w = [F.col("_r" + v) - (F.col("n") + 1) / F.lit(2.0) for v in ("_x", "_y")] + [F.col("_n")]
+    out = ranked.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.sum(w * rx * ry).alias("_xy"), F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy"))
+    spread = F.sqrt("_xx") * F.sqrt("_yy")
+    out = out.withColumn("rho", F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_xy") / spread)))).drop("_xy", "_xx", "_yy")
     df_ = (F.col("n") - 2).cast("double")
     t = F.when((F.col("n") > 2) & F.col("rho").isNotNull(), F.when(F.abs("rho") >= 1, F.lit(float("inf"))).otherwise(
         F.col("rho") * F.sqrt(df_ / (1 - F.col("rho") * F.col("rho")))))
