@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidepair.operators import edges as E
 from tidepair.operators import stats as S
 
 
@@ -13,3 +14,15 @@ def test_spearman_ranks_distinct_values(spark, monkeypatch):
     got = S.spearman(spark.createDataFrame(rows, "k string, a double, b double"), ["k"], "a", "b").collect()
     assert seen == [3, 2]
     assert got[0].n == 80 and got[0].rho == pytest.approx(0.5 ** 0.5, abs=1e-12)
+
+
+def test_scored_edges_are_written_narrow(spark, monkeypatch):
+    """Tables of edges on the way hold what was read, not the metrics of their cells."""
+    seen = []
+    for name in ("cut", "cut_counted"):
+        monkeypatch.setattr(E, name, lambda df, real=getattr(E, name): seen.append(df.columns) or real(df))
+    rows = [("f", i, f"S{i % 3}", f"T{i % 4}", 0.1 * i) for i in range(12)]
+    edges = spark.createDataFrame(rows, "grp string, ord long, source_cell string, target_cell string, probability double")
+    sizes = spark.createDataFrame([("f", 3, 4)], "grp string, n_source long, n_target long")
+    assert E.score_edges(edges, sizes).count() == 12
+    assert max(len(c) for c in seen if "probability" in c) == 5

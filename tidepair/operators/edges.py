@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidepair.functions.clean import finite, strip_concat_suffix, to_number
 from tidepair.plans.session import broadcast_rows, cut, cut_counted, hot_rows
-from tidepair.plans.ordered import attach_one, is_hot, join_on, quantiles, row_rank, running, with_totals
+from tidepair.plans.ordered import attach_one, group_bound, is_hot, join_on, quantiles, row_rank, running, with_totals
 
 EPS = 1e-8
 # fixed values: weights of the concentration score and of the combined confidence
@@ -176,9 +176,30 @@ def add_concentration(measured: DataFrame, sides=("source", "target"), bound: in
 
 
 def score_edges(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All edge metrics of both sides (prefix source_ / target_)."""
-    measured, n = measure_edges(edges, sizes)
-    return add_concentration(measured, bound=n)
+    """All edge metrics of both sides (prefix source_ / target_).
+
+    Each side's cells are written once with their metrics and ranks; edges stay narrow and meet their two cells, so only the
+    metrics that are asked for afterwards ride along, and the edge ranks and flags cost nothing where they are not.
+    """
+    base, n = prepare_counted(edges)
+    sizes, groups = cut_counted(sizes)
+    sizes = F.broadcast(sizes) if groups <= broadcast_rows(edges.sparkSession) else sizes
+    out, cells = base, {}
+    for side in ("source", "target"):
+        key = side + "_id"
+        bound = group_bound(base, ["grp", key], n)
+        own, n_cells = cut_counted(cells_of(measured_side(base, sizes, side, bound), side))
+        ranks = concentration(own.select("grp", key, *CONCENTRATION), side, n_cells).select("grp", key, "combined")
+        cells[side] = join_on(own, ranks, ["grp", key])
+        out = ranked_side(out, side, bound).drop(side + "_mass", side + "_p")
+    for side, frame in cells.items():
+        key = side + "_id"
+        out = join_on(out, frame.select("grp", key, *[F.col(c).alias(f"{side}_{c}") for c in frame.columns if c not in ("grp", key)]), ["grp", key])
+        out = out.withColumn(side + "_p", F.col("probability") / (F.col(side + "_mass") + F.lit(EPS)))
+    return (out.withColumn("is_top1_target", (F.col("source_rank") == 1).cast("int"))
+            .withColumn("is_top1_source", (F.col("target_rank") == 1).cast("int"))
+            .withColumn("is_mutual_top1", F.col("is_top1_target") * F.col("is_top1_source"))
+            .withColumn("both_combined", 0.5 * (F.col("source_combined") + F.col("target_combined"))))
 
 
 def confidence_score(metric: str, axis: str = "source") -> Column:

@@ -127,6 +127,19 @@ def is_hot(df: DataFrame, keys, probe: DataFrame | int | None = None, limit: int
     return (sizes.agg(F.max("_size")).first()[0] or 0) > limit
 
 
+#: Buckets of group_bound().
+BOUND_BUCKETS = 1 << 14
+
+
+def group_bound(df: DataFrame, keys, n: int) -> int:
+    """A proven bound on the size of df's groups, n being that of df: where n is too much for one task, the size of the
+    largest of a fixed number of buckets of groups, which a shuffle of a few counts a task finds."""
+    if n <= hot_rows(df.sparkSession):
+        return n
+    buckets = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BOUND_BUCKETS)).alias("_b")).agg(F.count(F.lit(1)).alias("_size"))
+    return int(buckets.agg(F.max("_size")).first()[0] or 0)
+
+
 def avg_rank(df: DataFrame, keys, value: str, out: str, probe: DataFrame | int | None = None,
              count: str | None = None) -> DataFrame:
     """Average-tie ascending rank of non-null values (null stays null); `count` adds the non-null count."""
