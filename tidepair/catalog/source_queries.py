@@ -95,7 +95,7 @@ def pair_file_audit(t):
     are not there."""
     base, rows = workdir(t.spark), cut(t("edges"))
     for patient, names in (("A", ["ord", "probability", "target_cell", "source_cell"]), ("N", ["source_cell", "target_cell", "probability"]), ("R", ["source_cell", "target_cell"])):
-        mine = rows.where(F.col("grp").startswith(patient)).select("grp", *names).repartition("grp")
+        mine = rows.where(F.col("grp").startswith(patient)).select("grp", *names)  # several files a group, written where the rows are
         mine.write.partitionBy("grp").option("header", True).csv(f"{base}/{patient}/all/nonzero_pairs_source_to_target")
     paths = [f"{base}/*/all/nonzero_pairs_source_to_target/*/*.csv"]
     group = F.url_decode(F.regexp_extract("file_path", "grp=([^/]*)/", 1)).alias("grp")
