@@ -1,9 +1,12 @@
 """Steps that stay narrow: what is written and ranked on the way to a result."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidepair.operators import edges as E
+from tidepair.operators import pseudobulk as P
 from tidepair.operators import stats as S
+from tidepair.plans.ordered import bh_counts, bh_fdr
 
 
 def test_spearman_ranks_distinct_values(spark, monkeypatch):
@@ -26,3 +29,77 @@ def test_scored_edges_are_written_narrow(spark, monkeypatch):
     sizes = spark.createDataFrame([("f", 3, 4)], "grp string, n_source long, n_target long")
     assert E.score_edges(edges, sizes).count() == 12
     assert max(len(c) for c in seen if "probability" in c) == 5
+
+
+def _sparse_case(spark):
+    """Pairs with repeated cells, null labels and small cell types; expression with a missing gene name and missing values."""
+    rows = [(f"r{i % 3}", f"t{i % 2}", i, f"c{i % 7}", f"c{i % 5}", ["a", "b", None][i % 3], ["b", "a"][i % 2]) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "replicate_id string, tumor_type string, pair_id long, source_cell string, target_cell string, source_label string, target_label string")
+    expr = [(f"c{i % 7}", f"g{i % 4}", float(i % 3)) for i in range(28)] + [("c1", None, 2.0), ("c6", "g8", None), ("c2", "g9", 1.5)]
+    return pairs, spark.createDataFrame(expr, "cell_id string, gene_id string, value double")
+
+
+@pytest.mark.parametrize("size", [1, 7, 50_000])
+def test_sparse_states_equal_gene_states(spark, monkeypatch, size):
+    """States added up batch by batch equal those from all sums per replicate and gene, wherever batches end."""
+    monkeypatch.setattr(P, "STATE_ROWS", size)
+    pairs, expr = _sparse_case(spark)
+    by, scopes, least = ["tumor_type", "source_label", "target_label"], P.tumor_scopes(), 10
+    counts = P.scope_counts(pairs, by, scopes, least)
+    sizes, _ = P.coded(P.scope_sizes(counts), "_scope")
+    bulk = P.pseudobulk_means(P.pseudobulk_states(pairs, expr.na.fill(0.0, ["value"]), by), scopes, counts)
+    combos, _ = P.coded(pairs.groupBy("replicate_id", *by).agg(F.count(F.lit(1)).alias("_n")), "_combo")
+    numbered, _ = P.coded(P.combo_counts(combos, scopes, least), "_g")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        states = P.sparse_states(pairs, expr, combos, by, P.scope_groups(combos, scopes, numbered, sizes))
+        got = P.with_t_test(P.with_summary(states.join(sizes, "_scope"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = P.with_t_test(P.with_summary(P.gene_states(bulk, sizes.drop("_scope")))).collect()
+    key = lambda r: (r.scope, str(r.scope_key), str(r.gene_id))
+    got, want = {key(r): r for r in got}, {key(r): r for r in want}
+    assert got.keys() == want.keys() and len(got) > 20
+    for k, w in want.items():
+        for c in ("n_pairs", "n_replicates", "source_mean", "target_mean", "source_pct", "target_pct", "pseudobulk_source_mean", "pseudobulk_target_mean", "t_stat", "p_value"):
+            if k[2] != "g8" or c not in ("source_mean", "target_mean"):
+                same = got[k][c] is None if w[c] is None else got[k][c] == pytest.approx(w[c], rel=1e-9, abs=1e-12)
+                assert same, (k, c, got[k][c], w[c])
+    lost = [r for r in got.values() if r.gene_id == "g8"]
+    assert lost and all(r.source_mean in (0.0, None) and r.target_mean in (0.0, None) for r in lost)
+
+
+def _tested(spark):
+    """Genes of scopes with many, few and no significant ones, tied and missing p values, and no p at all."""
+    p = {1: [0.001 * (i % 6) if i < 9 else 0.3 + 0.01 * (i % 50) for i in range(90)], 2: [0.5 + 0.1 * (i % 3) for i in range(40)],
+         3: [None] * 8, 4: [0.2, None, float("nan"), 0.9], 5: [0.0] * 30 + [None] * 5, 6: [0.01, 0.9, None]}
+    rows = [(s, f"g{i}", float((i * 7) % 11), v) for s, vs in p.items() for i, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "_scope long, gene_id string, abs_mean_delta double, p_value double")
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_leading_genes_and_counts_equal_full_q(spark, limit):
+    """First genes and significant counts without the q of every gene equal those with it; small and hot groups."""
+    if limit:
+        spark.conf.set("spark.tidepair.hotGroupRows", str(limit))
+    try:
+        tested, keys = _tested(spark), ["_scope"]
+        full = P.with_flags(bh_fdr(tested, keys, "p_value", "fdr"))
+        pick = lambda df, rank: sorted((r["_scope"], r[rank], r["gene_id"]) for r in df.collect())
+        for n in (5, 100):
+            assert pick(P.top_genes(P.leading(tested, keys, n), keys, n), "gene_rank") == pick(P.top_genes(full, keys, n), "gene_rank")
+            want = P.screen_top_genes(P.all_genes_ranked(full, keys), keys, n)
+            assert pick(P.screen_of_tested(tested, keys, n), "screen_rank") == pick(want, "screen_rank")
+        got = bh_counts(tested, keys, "p_value", {"a": 0.05, "b": 0.10}).collect()
+        want = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("significant_05").alias("a"), F.count_if("significant_10").alias("b")).collect()
+        assert sorted((r["_scope"], r.n_rows, r.a, r.b) for r in got) == sorted((r["_scope"], r.n_rows, r.a, r.b) for r in want)
+        assert any(r.a for r in got)
+    finally:
+        spark.conf.unset("spark.tidepair.hotGroupRows")
+
+
+def test_leading_rows_are_few(spark):
+    """Only rows up to the block of the n-th q go on to be ranked; the last p of a key of 1,000 is not."""
+    rows = spark.range(1000).select(F.lit(1).alias("_scope"), F.col("id").cast("string").alias("gene_id"),
+                                    F.lit(0.0).alias("abs_mean_delta"), ((F.col("id") / 1000) ** 3).alias("p_value"))
+    assert 10 <= P.leading(rows, ["_scope"], 10).count() < 30

@@ -79,12 +79,26 @@ def _sparse(t, by_metric=False, replicates=True, expr=None):
     pairs, by, scopes, least = _scoped(t, by_metric)
     combos, n_combos = P.coded(pairs.groupBy("replicate_id", *by).agg(F.count(F.lit(1)).alias("_n")), "_combo")
     counts, n = P.coded(P.combo_counts(combos, scopes, least), "_g")
-    sizes, n_sizes = P.coded(P.scope_sizes(counts), "_size")
-    groups = counts if replicates else P.join_on(counts.drop("_g"), sizes.select(*KEYS, F.col("_size").alias("_g")), KEYS)
+    sizes, n_sizes = P.coded(P.scope_sizes(counts), "_scope")
+    groups = counts if replicates else P.join_on(counts.drop("_g"), sizes.select(*KEYS, F.col("_scope").alias("_g")), KEYS)
     listed = cut(P.combo_groups(combos, scopes, groups.select(*KEYS, "replicate_id", "_g")))
     sums = P.sparse_sums(pairs, t("expr") if expr is None else expr, combos, by, listed, n_combos <= broadcast_rows(t.spark))
-    names = _small(t, counts, n) if replicates else _small(t, sizes.select(F.col("_size").alias("_g"), *KEYS, "n_pairs"), n_sizes)
-    return sums.join(names, "_g").drop("_g"), counts.drop("_g"), _small(t, sizes.drop("_size"), n_sizes)
+    names = _small(t, counts, n) if replicates else _small(t, sizes.select(F.col("_scope").alias("_g"), *KEYS, "n_pairs"), n_sizes)
+    return sums.join(names, "_g").drop("_g"), counts.drop("_g"), _small(t, sizes.drop("_scope"), n_sizes)
+
+
+def _tested(t, by_metric=False):
+    """(genes with their paired test under the number of their scope, scope_sizes with that number)."""
+    pairs, by, scopes, least = _scoped(t, by_metric)
+    combos, n_combos = P.coded(pairs.groupBy("replicate_id", *by).agg(F.count(F.lit(1)).alias("_n")), "_combo")
+    counts, n = P.coded(P.combo_counts(combos, scopes, least), "_g")
+    sizes, n_sizes = P.coded(P.scope_sizes(counts), "_scope")
+    if max(n, n_combos) > broadcast_rows(t.spark):
+        bulk, own = _bulk(t, by_metric)
+        numbered = P.join_on(P.gene_states(bulk, own).drop("n_pairs", "n_replicates"), sizes.select(*KEYS, "_scope"), KEYS).drop(*KEYS)
+        return P.tested_genes(numbered, _small(t, sizes, n_sizes)), _small(t, sizes, n_sizes)
+    groups = P.scope_groups(combos, scopes, counts, sizes)
+    return P.tested_genes(P.sparse_states(pairs, t("expr"), combos, by, groups), F.broadcast(sizes)), F.broadcast(sizes)
 
 
 def _bulk(t, by_metric=False, expr=None):
@@ -106,7 +120,17 @@ def _summary(t):
 
 
 def _table(t, by_metric=False):
-    return P.de_table(*_bulk(t, by_metric))
+    tested, sizes = _tested(t, by_metric)
+    tested, n = cut_counted(tested.select("_scope", "gene_id", "mean_delta", "abs_mean_delta", "t_stat", "p_value"))
+    table = P.bh_fdr(tested, ["_scope"], "p_value", "fdr", n)
+    return P.with_flags(table.join(sizes.select("_scope", *KEYS, "n_pairs", "n_replicates"), "_scope").drop("_scope"))
+
+
+def _first(t, pick):
+    """Rows that pick takes from the tested genes, their scopes named."""
+    tested, sizes = _tested(t)
+    tested = cut(tested.select("_scope", "gene_id", "abs_mean_delta", "p_value"))
+    return pick(tested, ["_scope"]).join(sizes.select("_scope", *KEYS), "_scope")
 
 
 KEYS = P.KEYS
@@ -133,7 +157,8 @@ def gene_summary(t):
 @query(f"""WITH {SCOPES}{BULK}{TTEST} SELECT scope, scope_key, gene_id, n_replicates, round(ps, 9) AS pseudobulk_source_mean, round(pt, 9) AS pseudobulk_target_mean,
  round(pd, 9) AS pseudobulk_delta, round(t_stat, 6) AS t_stat, round(p_value, 7) AS p_value FROM tt""")
 def paired_t_test(t):
-    return P.paired_t_test(*_bulk(t)).select(
+    tested, sizes = _tested(t)
+    return tested.drop("n_pairs").join(sizes.select("_scope", *KEYS), "_scope").select(
         *KEYS, "gene_id", "n_replicates", _r("pseudobulk_source_mean"), _r("pseudobulk_target_mean"), _r("pseudobulk_delta"),
         _r("t_stat", 6), _r("p_value", 7))
 
@@ -172,7 +197,7 @@ ORDER = "round(fdr, 9) NULLS LAST, round(abs_mean_delta, 9) DESC, gene_id"
 @query(f"""WITH {SCOPES}{BULK}{TABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY scope, scope_key ORDER BY {ORDER}) AS gene_rank FROM de)
  SELECT scope, scope_key, gene_id, gene_rank FROM r WHERE gene_rank <= 200""")
 def top_genes(t):
-    return P.top_genes(_table(t), KEYS, 200).select(*KEYS, "gene_id", F.col("gene_rank").cast("bigint").alias("gene_rank"))
+    return _first(t, lambda tested, keys: P.top_genes(P.leading(tested, keys, 200), keys, 200)).select(*KEYS, "gene_id", F.col("gene_rank").cast("bigint").alias("gene_rank"))
 
 
 @query(f"""WITH {SCOPES}{BULK}{TABLE} SELECT scope, scope_key, gene_id, row_number() OVER (PARTITION BY scope, scope_key
@@ -336,5 +361,4 @@ def screen_summary(t):
  k AS (SELECT *, row_number() OVER (PARTITION BY scope, scope_key ORDER BY gene_rank) AS screen_rank FROM r WHERE coalesce(anysig, 0) = 0 OR fdr <= 0.10)
  SELECT scope, scope_key, gene_id, screen_rank FROM k WHERE screen_rank <= 25""")
 def screen_top_genes(t):
-    ranked = P.all_genes_ranked(cut(_table(t)), KEYS)
-    return P.screen_top_genes(ranked, KEYS, 25).select(*KEYS, "gene_id", F.col("screen_rank").cast("bigint").alias("screen_rank"))
+    return P.screen_top_genes(P.all_genes_ranked(cut(_table(t)), KEYS), KEYS, 25).select(*KEYS, "gene_id", F.col("screen_rank").cast("bigint").alias("screen_rank"))

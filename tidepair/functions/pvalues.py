@@ -32,7 +32,8 @@ def _beta_fraction(a, b, x):
 
 
 def _lgamma(v):
-    return np.array([math.lgamma(t) for t in np.ravel(v)])
+    some, at = np.unique(np.ravel(v), return_inverse=True)
+    return np.array([math.lgamma(t) for t in some])[at]
 
 
 def reg_beta(a, b, x):

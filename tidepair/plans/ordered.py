@@ -212,19 +212,42 @@ def bh_fdr(df: DataFrame, keys, p: str, out: str, probe: DataFrame | int | None
         df = df.withColumn("_raw", F.col(p) * F.count(p).over(group) / F.count(p).over(upto))
         q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min("_raw").over(after)))
         return df.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_raw")
-    counts, n = cut_counted(values.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n")))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_m"))
-    steps = running(counts, keys, [p], {"_cum": "_n"}, n)
-    steps = join_on(steps, totals, keys) if keys else attach_one(steps, totals)
-    steps = cut(steps.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_cum")))
-    q = suffix_min(steps, keys, p, "_raw", out, n)
-    q = q.select(*keys, p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))).alias(out), F.lit(0).cast("bigint").alias("_at"))
+    q = bh_steps(values, keys, p, out).select(*keys, p, out, F.lit(0).cast("bigint").alias("_at"))
     # rows without p find nothing: spread, so that they don't meet in one task
     plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     rows = df.withColumn("_at", F.when(F.col(p).isNull(), F.xxhash64(*plain)).otherwise(0))
     return join_on(rows, q, [*keys, p, "_at"], "left").drop("_at")
 
 
+def bh_steps(values: DataFrame, keys, p: str, out: str) -> DataFrame:
+    """Distinct finite p values per group with the rows up to each (_cum) and their Benjamini-Hochberg q."""
+    keys = list(keys)
+    rows = values.select(*keys, F.nanvl(F.col(p), F.lit(None).cast("double")).alias(p))
+    counts, n = cut_counted(rows.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n")))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_m"))
+    steps = running(counts, keys, [p], {"_cum": "_n"}, n)
+    steps = join_on(steps, totals, keys) if keys else attach_one(steps, totals)
+    steps = cut(steps.select(*keys, p, "_cum", (F.col(p) * F.col("_m") / F.col("_cum")).alias("_raw")))
+    q = suffix_min(steps, keys, p, "_raw", out, n)
+    return q.select(*keys, p, "_cum", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(out))).alias(out))
+
+
+def bh_counts(values: DataFrame, keys, p: str, cutoffs: dict) -> DataFrame:
+    """Per group: rows (n_rows) and, per entry of cutoffs (new column -> cutoff), those with Benjamini-Hochberg q up to it.
+
+    These are the rows up to the last p with p * m / rank <= cutoff. As p is never above that, larger ones need no rank.
+    """
+    keys = list(keys)
+    rows = values.select(*keys, F.nanvl(F.col(p), F.lit(None).cast("double")).alias(p))
+    counts = cut(rows.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = cut(counts.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col(p).isNotNull(), F.col("_n"))), F.lit(0)).alias("_m")))
+    low, n = cut_counted(counts.where(F.col(p) <= max(cutoffs.values()) * (1 + 1e-9)))
+    steps = join_on(running(low, keys, [p], {"_cum": "_n"}, n), sizes.select(*keys, "_m"), keys)
+    raw = F.col(p) * F.col("_m") / F.col("_cum")
+    found = steps.groupBy(*keys).agg(*[F.max(F.when(raw <= c, F.col("_cum"))).alias(name) for name, c in cutoffs.items()])
+    return join_on(sizes.drop("_m"), found, keys, "left").na.fill(0, list(cutoffs))
+
+
 def suffix_min(df: DataFrame, keys, order: str, value: str, out: str,
                probe: DataFrame | int | None = None) -> DataFrame:
     """min(value) over rows at or after this one in ascending `order` (unique per group)."""
