@@ -361,4 +361,4 @@ def screen_summary(t):
  k AS (SELECT *, row_number() OVER (PARTITION BY scope, scope_key ORDER BY gene_rank) AS screen_rank FROM r WHERE coalesce(anysig, 0) = 0 OR fdr <= 0.10)
  SELECT scope, scope_key, gene_id, screen_rank FROM k WHERE screen_rank <= 25""")
 def screen_top_genes(t):
-    return P.screen_top_genes(P.all_genes_ranked(cut(_table(t)), KEYS), KEYS, 25).select(*KEYS, "gene_id", F.col("screen_rank").cast("bigint").alias("screen_rank"))
+    return _first(t, lambda tested, keys: P.screen_of_tested(tested, keys, 25)).select(*KEYS, "gene_id", F.col("screen_rank").cast("bigint").alias("screen_rank"))
