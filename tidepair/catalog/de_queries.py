@@ -188,7 +188,7 @@ def de_table(t):
 @query(f"""WITH {SCOPES}{BULK}{TABLE} SELECT scope, scope_key, max(n_pairs)::BIGINT AS n_pairs, max(n_replicates) AS n_replicates, count(*) AS n_genes,
  count(*) FILTER (significant_05) AS n_fdr_0p05, count(*) FILTER (significant_10) AS n_fdr_0p10 FROM de GROUP BY ALL""")
 def de_index(t):
-    return P.de_index(_table(t))
+    return P.index_of_tested(*_tested(t))
 
 
 ORDER = "round(fdr, 9) NULLS LAST, round(abs_mean_delta, 9) DESC, gene_id"
@@ -352,7 +352,7 @@ def _category():
 @query(f"""WITH {SCOPES}{BULK}{TABLE}, ix AS (SELECT scope, scope_key, max(n_replicates) AS n_replicates, count(*) FILTER (significant_10) AS n_fdr_0p10 FROM de GROUP BY ALL)
  SELECT {CAT} AS category, scope, scope_key, n_replicates, n_fdr_0p10 FROM ix WHERE category IS NOT NULL""")
 def screen_summary(t):
-    ix = P.de_index(_table(t)).withColumn("metric", F.lit("entropy_confidence"))
+    ix = P.index_of_tested(*_tested(t)).withColumn("metric", F.lit("entropy_confidence"))
     return P.screen_summary(ix, _category()).select("category", "scope", "scope_key", "n_replicates", "n_fdr_0p10")
 
 
