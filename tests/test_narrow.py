@@ -1,9 +1,11 @@
 """Steps that stay narrow: what is written and ranked on the way to a result."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidepair.operators import edges as E
+from tidepair.operators import neighbors
 from tidepair.operators import pseudobulk as P
 from tidepair.operators import stats as S
 from tidepair.plans.ordered import bh_counts, bh_fdr
@@ -103,3 +105,23 @@ def test_leading_rows_are_few(spark):
     rows = spark.range(1000).select(F.lit(1).alias("_scope"), F.col("id").cast("string").alias("gene_id"),
                                     F.lit(0.0).alias("abs_mean_delta"), ((F.col("id") / 1000) ** 3).alias("p_value"))
     assert 10 <= P.leading(rows, ["_scope"], 10).count() < 30
+
+
+@pytest.mark.parametrize("n_keys", [0, 1])
+def test_points_near_many_regions_are_written_once(hot, monkeypatch, n_keys):
+    """In many dimensions every region is near: points are asked in place, not written per region; ties, copies and infinities included."""
+    rng = np.random.default_rng(n_keys)
+    x = np.concatenate([rng.normal(0, 1, (130, 24)), np.full((6, 24), 0.25), rng.normal(0, 1, (64, 24)).round(), np.full((1, 24), np.inf)])
+    x[140] = x[3]
+    df = hot.createDataFrame([("ab"[i % 2], i, [float(v) for v in p]) for i, p in enumerate(x)], "s string, id long, v array<double>")
+    seen, real = [], neighbors.cut
+    monkeypatch.setattr(neighbors, "cut", lambda rows, **k: seen.append(real(rows, **k)) or seen[-1])
+    monkeypatch.setattr(neighbors, "ASK_ROWS", 50)
+    got = {(r.id, r["rank"]): (r.neighbor, r.dist2) for r in neighbors.knn_join(df, ["s"][:n_keys], "id", "v", 5).collect()}
+    assert max(t.count() for t in seen if "_v" in t.columns) <= 2 * len(x)
+    for i in range(len(x) - 1):
+        mates = [j for j in range(len(x) - 1) if j != i and (not n_keys or i % 2 == j % 2)]
+        want = sorted((((x[i] - x[j]) ** 2).sum(), j) for j in mates)[:5]
+        assert [got[i, r + 1][0] for r in range(5)] == [j for _, j in want]
+        assert [got[i, r + 1][1] for r in range(5)] == pytest.approx([d for d, _ in want], abs=1e-12)
+    assert len(got) == 5 * (len(x) - 1)
