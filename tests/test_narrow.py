@@ -1,11 +1,13 @@
 """Steps that stay narrow: what is written and ranked on the way to a result."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidepair.operators import edges as E
-from tidepair.operators import neighbors
+from tidepair.operators import neighbors, splits
 from tidepair.operators import pseudobulk as P
 from tidepair.operators import stats as S
 from tidepair.plans.ordered import bh_counts, bh_fdr
@@ -125,3 +127,21 @@ def test_points_near_many_regions_are_written_once(hot, monkeypatch, n_keys):
         assert [got[i, r + 1][0] for r in range(5)] == [j for _, j in want]
         assert [got[i, r + 1][1] for r in range(5)] == pytest.approx([d for d, _ in want], abs=1e-12)
     assert len(got) == 5 * (len(x) - 1)
+
+
+def test_panel_coverage_reads_its_rows_once(spark):
+    """All figures come from one pass over the measured rows; a row without a gene counts as a gene that no dataset measures."""
+    rows = [(f"d{i % 7}", f"g{i % 11}") for i in range(60)] * 2 + [("d1", None), ("d2", "h"), ("d8", "g1")]
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda d: read.add(1) or d, "string")
+    df = spark.createDataFrame(rows, "dataset_id string, gene_id string").withColumn("dataset_id", seen("dataset_id"))
+    got = {r.q: r for r in splits.gene_panel_by_coverage(df, (0.2, 0.7)).collect()}
+    assert read.value == len(rows)
+    pairs = set(rows)
+    n, many = len({d for d, _ in pairs}), Counter(g for _, g in pairs)
+    for q in (0.2, 0.7):
+        panel = {g for g, m in many.items() if m >= q * n}
+        share = sorted(k / len(panel) for k in Counter(d for d, g in pairs if g in panel and g is not None).values())
+        assert got[q].n_genes == len(panel)
+        assert [got[q].density_min, got[q].density_max, got[q].density_median] == pytest.approx([share[0], share[-1], np.median(share)], abs=1e-12)
+    assert set(got) == {0.2, 0.7}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidepair.functions.clean import source_study
 from tidepair.functions.pvalues import blake_fold
 from tidepair.plans.ordered import attach_one, quantiles, row_rank, running, top_rows, with_totals
+from tidepair.plans.session import cut
 
 
 def unknown_fails(ok: Column, value: Column, message: str) -> Column:
@@ -117,13 +118,14 @@ def min_cells_detected(train: DataFrame, minimum: int) -> DataFrame:
 
 def gene_panel_by_coverage(measured: DataFrame, qs=(0.5, 0.9, 1.0)) -> DataFrame:
     """Per coverage share q: panel size and the spread over datasets of the measured share of the panel."""
-    measured = measured.distinct()
-    n = measured.agg(F.count_distinct("dataset_id").alias("_n"))
-    genes = attach_one(measured.groupBy("gene_id").agg(F.count(F.lit(1)).alias("_m")), n)
+    # genes counted by dataset and by how many datasets have them: a few rows, from one pass, that all figures follow from
+    held = measured.distinct().withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("gene_id")))
+    counts = cut(held.groupBy("_m", "dataset_id", F.col("gene_id").isNull().alias("_none")).agg(F.count(F.lit(1)).alias("_k")))
     wanted = F.filter(F.array(*[F.lit(float(q)) for q in qs]), lambda q: F.col("_m") >= q * F.col("_n"))
-    panel = genes.select("gene_id", F.explode(wanted).alias("q"))
-    sizes = panel.groupBy("q").agg(F.count(F.lit(1)).alias("n_genes"))
-    share = (measured.join(panel, "gene_id").groupBy("q", "dataset_id").agg(F.count(F.lit(1)).alias("_k"))
+    panel = attach_one(counts, counts.agg(F.count_distinct("dataset_id").alias("_n"))).withColumn("q", F.explode(wanted))
+    genes = panel.groupBy("q", "_m").agg((F.sum("_k") / F.col("_m")).cast("bigint").alias("_g"))  # a gene has _m rows
+    sizes = genes.groupBy("q").agg(F.sum("_g").alias("n_genes"))
+    share = (panel.where(~F.col("_none")).groupBy("q", "dataset_id").agg(F.sum("_k").alias("_k"))
              .join(sizes, "q").withColumn("density", F.col("_k") / F.col("n_genes")))
     spread = share.groupBy("q").agg(F.min("density").alias("density_min"), F.max("density").alias("density_max"))
     return sizes.join(spread, "q").join(quantiles(share, ["q"], "density", {"density_median": 0.5}), "q")
