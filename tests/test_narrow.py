@@ -1,5 +1,6 @@
 """Steps that stay narrow: what is written and ranked on the way to a result."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepair.operators import edges as E
-from tidepair.operators import neighbors, splits
+from tidepair.operators import enrich, neighbors, splits
 from tidepair.operators import pseudobulk as P
 from tidepair.operators import stats as S
 from tidepair.plans.ordered import bh_counts, bh_fdr
@@ -145,3 +146,32 @@ def test_panel_coverage_reads_its_rows_once(spark):
         assert got[q].n_genes == len(panel)
         assert [got[q].density_min, got[q].density_max, got[q].density_median] == pytest.approx([share[0], share[-1], np.median(share)], abs=1e-12)
     assert set(got) == {0.2, 0.7}
+
+
+def test_gsea_null_keeps_the_first_genes_of_each_order(spark):
+    """Few genes of each order are kept, and scores are those of its first genes, counted here one by one."""
+    n, sizes = 3000, [1, 40, 90]
+    weight = [round(((i * 7919) % n) / 97, 3) for i in range(n)]
+    pos = spark.createDataFrame([(f"G{i}", weight[i], i) for i in range(n)], "gene_id string, score double, pos long").cache()
+    null = enrich._null_in_place(pos, n, sizes, 12, 4)
+    got = sorted((r.n_hit, round(r["_null"], 9)) for r in null.collect())
+    want = []
+    for perm in range(1, 13):
+        order = sorted(range(n), key=lambda i: hashlib.md5(f"4:{perm}:G{i}".encode()).hexdigest())
+        for size in sizes:
+            hit, total, run, high, low = set(order[:size]), sum(weight[i] for i in order[:size]), 0.0, 0.0, 0.0
+            for i in range(n):
+                run += weight[i] / total if i in hit else -1 / (n - size)
+                high, low = max(high, run), min(low, run)
+            want.append((size, round(high if round(high, 12) >= round(-low, 12) else low, 9)))
+    assert [s for s, _ in got] == sorted(s for s, _ in want)
+    assert [e for _, e in got] == pytest.approx([e for _, e in sorted(want)], abs=2e-9)
+    pos.unpersist()
+
+
+def test_gsea_query_takes_a_thousand_permutations(spark):
+    import __spark_entry__ as entry
+
+    p = [r.p_value * 1001 for r in entry.queries()["gsea_nes"](spark, "/root/testdata/sf0.001").collect()]
+    assert all(x == pytest.approx(round(x), abs=1e-5) for x in p) and any(round(x) % 77 for x in p)  # 1001 = 13 * 77
+    assert "range(1, 1001)" in entry.oracle_sql()["gsea_nes"]

@@ -65,16 +65,16 @@ def gsea_es(t):
 _RAWQ, _QQ = bh("p_value")
 
 
-@query(f"""WITH {OBS}, pm AS (SELECT perm, pos, score, row_number() OVER (PARTITION BY perm ORDER BY md5(concat('4:', perm, ':', gene_id)), gene_id) AS r FROM ps, (SELECT unnest(range(1, 13)) AS perm)),
+@query(f"""WITH {OBS}, pm AS (SELECT perm, pos, score, row_number() OVER (PARTITION BY perm ORDER BY md5(concat('4:', perm, ':', gene_id)), gene_id) AS r FROM ps, (SELECT unnest(range(1, 1001)) AS perm)),
  sk AS (SELECT DISTINCT k AS size FROM es_ob), nl AS (SELECT size, perm, pos, abs(score) AS w FROM pm JOIN sk ON r <= size), {_es_sql('nl', 'size, perm')},
  cmp AS (SELECT o.set_name, o.k, o.es, e.es AS nul FROM es_ob o JOIN es_nl e ON e.size = o.k),
  a AS (SELECT set_name, k, es, coalesce(abs(avg(CASE WHEN es >= 0 AND nul >= 0 OR es < 0 AND nul < 0 THEN nul END)), 1.0::DOUBLE) AS d,
-  (count(*) FILTER (CASE WHEN es >= 0 THEN round(nul, 12) >= round(es, 12) ELSE round(nul, 12) <= round(es, 12) END) + 1) / 13.0::DOUBLE AS p_value FROM cmp GROUP BY ALL),
+  (count(*) FILTER (CASE WHEN es >= 0 THEN round(nul, 12) >= round(es, 12) ELSE round(nul, 12) <= round(es, 12) END) + 1) / 1001.0::DOUBLE AS p_value FROM cmp GROUP BY ALL),
  b AS (SELECT *, {_RAWQ} AS raw_q FROM a), le AS (SELECT set_name, string_agg(gene_id, ';' ORDER BY pos) AS leading_edge_genes FROM
   (SELECT set_name, gene_id, pos FROM gene_sets JOIN ps USING (gene_id) QUALIFY row_number() OVER (PARTITION BY set_name ORDER BY pos) <= 50) GROUP BY 1)
  SELECT set_name, k AS n_hit, round(es, 8) AS es, round(es / (d + 1e-6), 6) AS nes, round(p_value, 9) AS p_value, round({_QQ}, 9) AS fdr, leading_edge_genes FROM b JOIN le USING (set_name)""")
 def gsea_nes(t):
-    out = E.gsea_nes(t("ranked"), t("gene_sets"), 12, 1, 4)
+    out = E.gsea_nes(t("ranked"), t("gene_sets"), 1000, 1, 4)
     return out.select("set_name", "n_hit", _r("es", 8), _r("nes", 6), _r("p_value"), _r("fdr"), "leading_edge_genes")
 
 

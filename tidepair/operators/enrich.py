@@ -1,5 +1,7 @@
 """Gene-set enrichment: list splits, rankings, running-sum scores, over-representation and term reports."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ FDR_CUTOFF = 0.05
 PLOT_FDR = 0.25
 TOP_TERMS = 12
 EPS = 1e-6
-#: Genes of permutations that one task lists.
+#: Genes of permutations that one task lists, or keeps of several permutations.
 PERMUTED_AT_ONCE = 2_000_000
 
 
@@ -95,30 +97,85 @@ def gsea_es(ranked: DataFrame, sets: DataFrame, min_overlap: int = 1) -> DataFra
     return _set_scores(*_placed(ranked), sets, min_overlap)
 
 
+def _prefix_scores(order, pos, weight, sizes, n: int):
+    """Enrichment score of the first s genes of an order (their places in it, positions and weights), for every s of sizes."""
+    by = np.argsort(pos)
+    order, pos, weight, out = order[by], pos[by], weight[by], {}
+    for size in sorted(sizes, reverse=True):
+        keep = order < size
+        order, pos, weight = order[keep], pos[keep], weight[keep]
+        total = weight.sum()
+        step, total = (weight, total) if total > 0 else (np.ones(size), float(size))
+        upto = np.cumsum(step)
+        fall = (pos - np.arange(size)) / max(n - size, 1)
+        high, low = max((upto / total - fall).max(), 0.0), min(((upto - step) / total - fall).min(), 0.0)
+        out[size] = 0.0 if size == n else high if round(abs(high), 12) >= round(abs(low), 12) else low
+    return out
+
+
+def _null_in_place(pos: DataFrame, n: int, sizes, permutations: int, seed: int) -> DataFrame:
+    """Null scores (n_hit, _null) of every size and permutation, a permutation within one task.
+
+    Each task reads all genes past its permutations and keeps those that can be among the first of an order: their keys are
+    evenly spread, so a bound on the key leaves little more than the largest set needs. Nothing is shuffled.
+    """
+    most, spark = max(sizes), pos.sparkSession
+    share = (most + 12 * most ** 0.5 + 100) / n
+    lot = max(1, min(-(-permutations // (4 * spark.sparkContext.defaultParallelism)), PERMUTED_AT_ONCE // most))
+    perms = spark.range(1, permutations + 1, 1, -(-permutations // lot)).withColumnRenamed("id", "perm")
+    key = shuffle_key(seed, "perm", "gene_id")
+    low = key < F.lit(format(int(share * 2 ** 128), "032x")) if share < 1 else F.lit(True)
+    drawn = pos.coalesce(1).hint("shuffle_replicate_nl").crossJoin(perms).where(low).select(
+        "perm", "pos", F.abs("score").alias("weight"), F.unhex(key).alias("key"))
+
+    def key_words(keys):
+        words = np.frombuffer(keys.buffers()[2], ">u8", 2 * len(keys), 16 * keys.offset).astype("u8").reshape(-1, 2)
+        return words[:, 0], words[:, 1]
+
+    def score(batches):
+        kept = [[*[np.asarray(b.column(c)) for c in ("perm", "pos", "weight")], *key_words(b.column("key"))] for b in batches if b.num_rows]
+        if not kept:
+            return
+        perm, place, weight, high, low = (np.concatenate(x) for x in zip(*kept, strict=True))
+        by = np.lexsort((low, high, perm))
+        perm, place, weight = perm[by], place[by], weight[by]
+        for one in np.unique(perm):
+            start, end = np.searchsorted(perm, [one, one + 1])
+            if end - start < most:
+                raise RuntimeError(f"permutation {one}: {end - start} genes up to the bound on the key, {most} wanted")
+            first = slice(start, start + most)
+            found = _prefix_scores(np.arange(most), place[first], weight[first], sizes, n)
+            yield pa.RecordBatch.from_pydict({"n_hit": pa.array(found.keys(), "int64"), "_null": pa.array(found.values(), "float64")})
+
+    return drawn.mapInArrow(score, "n_hit long, _null double")
+
+
 def gsea_nes(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, min_overlap: int = 1, seed: int = 0) -> DataFrame:
     """ES with a permutation null: NES, p, BH q and the first 50 hit genes.
 
     The null depends on the set size only: one seeded gene order per permutation serves every
     size by its prefix, so the null costs permutations x (sum of distinct sizes), not x sets. Positions and observed
-    scores are written once; tasks keep no more of a permutation than the largest set needs.
+    scores are written once; tasks keep no more of a permutation than the largest set needs. Where that is too much for a
+    task, orders are ranked and summed in parts.
     """
     pos, n_genes, n = _placed(ranked)
     spark = ranked.sparkSession
     observed, n_sets = cut_counted(_set_scores(pos, n_genes, n, sets, min_overlap))
     sizes = observed.select("n_hit").distinct()
-    most = sizes.agg(F.max("n_hit")).first()[0] or 0
-    dealt = pos.repartition(max(spark.sparkContext.defaultParallelism, -(-n * permutations // PERMUTED_AT_ONCE)))
-    perms = dealt.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn(
-        "_k", shuffle_key(seed, "perm", "gene_id"))
-    # first `most` genes of every permutation's order
-    if most <= hot_rows(spark):
-        order = top_rows(perms, ["perm"], ["_k", "gene_id"], most, "_r")
+    listed = [r[0] for r in sizes.collect()]  # at most the number of genes
+    most = max(listed, default=0)
+    if 0 < most <= hot_rows(spark):
+        null = _null_in_place(pos, n, listed, permutations, seed)
     else:
+        dealt = pos.repartition(max(spark.sparkContext.defaultParallelism, -(-n * permutations // PERMUTED_AT_ONCE)))
+        perms = dealt.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn(
+            "_k", shuffle_key(seed, "perm", "gene_id"))
+        # first `most` genes of every permutation's order
         order = row_rank(perms, ["perm"], [("_k", True), ("gene_id", True)], "_r", n).where(F.col("_r") <= most)
-    listed = sizes.agg(F.sort_array(F.collect_set("n_hit")).alias("_sizes"))  # distinct sizes, at most the gene panel
-    null = attach_one(order, listed).select(
-        "perm", "pos", F.abs("score").alias("weight"), F.explode(F.filter("_sizes", lambda s: s >= F.col("_r"))).alias("size"))
-    null = running_es(null, ["size", "perm"], n_genes, most).select(F.col("size").alias("n_hit"), F.col("es").alias("_null"))
+        every = sizes.agg(F.sort_array(F.collect_set("n_hit")).alias("_sizes"))  # distinct sizes, at most the gene panel
+        null = attach_one(order, every).select(
+            "perm", "pos", F.abs("score").alias("weight"), F.explode(F.filter("_sizes", lambda s: s >= F.col("_r"))).alias("size"))
+        null = running_es(null, ["size", "perm"], n_genes, most).select(F.col("size").alias("n_hit"), F.col("es").alias("_null"))
     rows = observed.join(null, "n_hit")
     same = F.when(F.col("es") >= 0, F.col("_null") >= 0).otherwise(F.col("_null") < 0)
     beyond = F.when(F.col("es") >= 0, F.round("_null", 12) >= F.round("es", 12)).otherwise(F.round("_null", 12) <= F.round("es", 12))
